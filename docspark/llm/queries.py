@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality, url_reputation
+from . import exact_dedup, mixing, packing, quality, token_counts, toxicity, url_reputation
 from .common import read
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "size", "source_size", F.round("target", 4).alias("target"), "copies", "taken")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -17,17 +22,57 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.token_lengths(read(spark, sf_dir, "documents")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     return url_reputation.judge_urls(read(spark, sf_dir, "pages"), outcomes)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
+    "op6_token_counts": op6_token_counts,
     "op8_url_filter": op8_url_filter,
+    "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
+#: Entropy balancing with one constraint a source has a closed form, rate = target / source_size.
+MIX_SQL = r"""
+x_docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), x_sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM x_docs GROUP BY 1
+), x_fill AS (
+  SELECT *, row_number() OVER r AS pos, source_size * 3 AS cap, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM x_sources WINDOW r AS (ORDER BY source_size * 3 / weight, source NULLS LAST)
+), x_targets AS (
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * (SELECT arg_min(level, pos) FROM x_fill WHERE cap / weight > level), cap::DOUBLE)) AS target FROM x_fill
+), x_rates AS (
+  SELECT d.*, t.source_size, t.target, least(3.0, target / source_size) AS rate, ('0x' || left(md5(d.doc_id::VARCHAR), 13))::BIGINT / 4503599627370496.0 AS draw
+  FROM x_docs d JOIN x_targets t ON d.source IS NOT DISTINCT FROM t.source
+), x_whole AS (
+  SELECT *, floor(rate + 1e-9) AS whole, rate - floor(rate + 1e-9) AS fraction FROM x_rates
+), x_turns AS (
+  SELECT *, sum(whole * size) OVER (PARTITION BY source) AS given,
+         sum(CASE WHEN fraction > 1e-9 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY draw, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM x_whole
+), x_mix AS (
+  SELECT doc_id, source, size, source_size, target, (coalesce(whole, 0) + CASE WHEN fraction > 1e-9 AND size > 0 AND before + size / 2 <= target - given THEN 1 ELSE 0 END)::BIGINT AS copies FROM x_turns
+)
+"""
+
 _OP4 = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS content FROM documents
@@ -106,6 +151,7 @@ SELECT page_id, host, path, rule,
 _STRENGTH = """CASE WHEN sum(n * m * (1 - m)) > sum(m * (1 - m)) THEN greatest(1.0, least(1000.0, 1 / greatest((sum(n * pow(good / n - m, 2)) - sum(m * (1 - m))) / (sum(n * m * (1 - m)) - sum(m * (1 - m))), 1e-6) - 1)) ELSE 1000.0 END"""
 
 ORACLES = {
+    "op2_mixing": f"WITH {MIX_SQL} SELECT doc_id, source, size, source_size, round(target, 4) AS target, copies, copies * size AS taken FROM x_mix",
     "op4_exact_dedup": _OP4,
     "op5_quality": f"WITH {QUALITY_SQL} SELECT * FROM q_verdict",
     "op8_url_filter": _OP8.replace("TWO", ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)).replace("STRENGTH", _STRENGTH),
