@@ -1,44 +1,33 @@
-"""What the operators of this subpackage share: reading, cutting lineage, naming."""
+"""What the operators of this subpackage share: reading and size-checked joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspark.storage import cut
+
+__all__ = ["WORD", "cut", "join_small", "read", "shuffle_width"]
 
 #: Java and RE2 pattern of a word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: str | None = None
+#: Rows of a narrow table up to which it is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    global _own_folder
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if _own_folder is None:
-            _own_folder = tempfile.mkdtemp(prefix="spark-cut-")
-        base = f"file://{_own_folder}"
-    return base.rstrip("/")
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def join_small(wide: DataFrame, narrow: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a table of texts to a written table of a few numbers a row, by broadcast if it has few rows.
 
-    Later steps then start from files that every executor can read: a lost executor costs no
-    recomputation, and two consumers of the result don't compute it twice.
+    The count decides only how the join runs; beyond it both sides are shuffled.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = narrow.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return wide.join(F.broadcast(narrow) if few else narrow, on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, token_counts, toxicity, url_reputation
+from . import exact_dedup, mixing, ngram_join, packing, quality, token_counts, toxicity, url_reputation
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", F.round("target", 4).alias("target"), "copies", "taken")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
@@ -73,6 +78,20 @@ x_docs AS (
 )
 """
 
+_OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(seen) AS c FROM r GROUP BY 1) m USING (doc_id)
+"""
+
 _OP4 = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS content FROM documents
@@ -152,6 +171,7 @@ _STRENGTH = """CASE WHEN sum(n * m * (1 - m)) > sum(m * (1 - m)) THEN greatest(1
 
 ORACLES = {
     "op2_mixing": f"WITH {MIX_SQL} SELECT doc_id, source, size, source_size, round(target, 4) AS target, copies, copies * size AS taken FROM x_mix",
+    "op3_ngram_join": _OP3,
     "op4_exact_dedup": _OP4,
     "op5_quality": f"WITH {QUALITY_SQL} SELECT * FROM q_verdict",
     "op8_url_filter": _OP8.replace("TWO", ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)).replace("STRENGTH", _STRENGTH),
