@@ -3,9 +3,10 @@
 A token is a shingle hash. Documents whose sets overlap enough share a token in their prefixes under any
 common order of tokens. The order puts rare tokens first and frequent ones last, by counts over the corpus;
 rare tokens are indexed alone, frequent ones as pairs within a prefix longer by one (two documents that
-share no rare token there share two frequent ones). Equal sets collapse to one node first, and nodes
-linked to a common centre form components before tokens are counted: a large group of near copies then
-needs no pairs within itself, since pairs are only drawn between components.
+share no rare token there share two frequent ones). Equal sets collapse to one node first, and a first
+round links nodes to a few of their nearest neighbours: a large group of near copies becomes a component
+before tokens are counted, and the exact round draws pairs only between components. Parity bitmaps bound
+the difference of two sets from below, so most pairs that would fail are never drawn.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ COUNTED = np.uint64(int(0.3 * 2**64))
 #: Frequent tokens in a prefix up to which their pairs are indexed.
 MOST_PAIRED = 64
 GROUP = 512
+#: Bits of a set's parity bitmap, and of the one that sets of over ``WIDE_ABOVE`` tokens have.
+BITS, WIDE_BITS, WIDE_ABOVE = 512, 4096, 800
+#: Neighbours by size that the first round looks at in a list, and those that it keeps.
+LOOK, KEEP = 64, 4
+#: Lists up to this length are compared row by row together; longer ones one at a time.
+SHORT_LIST = 64
 
 
 def token_sets(block: K.Block, k: int) -> list[np.ndarray]:
@@ -50,8 +57,42 @@ def _longs(x) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if getattr(x, "dtype", None) == np.uint64 else np.asarray(x, np.int64))
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of tokens fall on it: each token of only one set flips one bit."""
+    width = WIDE_BITS if len(s) > WIDE_ABOVE else BITS
+    odd = np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Parity bitmaps of many sets; wide ones also folded to the common width."""
+
+    def __init__(self, column: pa.Array) -> None:
+        data, ptr = K.buffers(column)
+        size = np.diff(ptr)
+        self.wide_at = np.where(size == WIDE_BITS // 8, np.cumsum(size == WIDE_BITS // 8) - 1, -1)
+        self.wide = np.concatenate([data[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True) if b - a == WIDE_BITS // 8] or [np.zeros(0, np.uint8)]).view(np.uint64).reshape(-1, WIDE_BITS // 64)
+        self.common = np.zeros((len(size), BITS // 64), np.uint64)
+        narrow = np.flatnonzero(size == BITS // 8)
+        self.common[narrow] = data[(ptr[narrow][:, None] + np.arange(BITS // 8)).reshape(-1)].view(np.uint64).reshape(-1, BITS // 64)
+        self.common[self.wide_at >= 0] = np.bitwise_xor.reduce(self.wide.reshape(-1, WIDE_BITS // BITS, BITS // 64), axis=1)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of tokens that only one of the two sets has."""
+        out = np.bitwise_count(self.common[i] ^ self.common[j]).sum(1, dtype=np.int64)
+        both = np.flatnonzero((self.wide_at[i] >= 0) & (self.wide_at[j] >= 0))
+        if len(both):
+            out[both] = np.bitwise_count(self.wide[self.wide_at[i[both]]] ^ self.wide[self.wide_at[j[both]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def may_link(apart: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """100 * both >= percent * union, where both = (total - apart) / 2 and union = (total + apart) / 2."""
+    return 100 * (total - apart) >= percent * (total + apart)
+
+
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, sig, low``: set size, its 64-bit signature and its three smallest hashes."""
+    """``doc_id, n_shingles, sig, low, bits``: set size, 64-bit signature, three smallest hashes, parity bitmap."""
 
     def run(batches):
         for batch in batches:
@@ -60,11 +101,62 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 sig = np.array([np.bitwise_xor.reduce(K.mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64)
                 low = [s[:3] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.slice(block.row, len(block)).column("doc_id"), _longs([len(s) for s in sets]), _longs(sig), K.list_array(_longs(np.concatenate(low) if low else np.zeros(0, np.uint64)), np.array([len(x) for x in low]))],
-                    ["doc_id", "n_shingles", "sig", "low"],
-                )
+                    [
+                        batch.slice(block.row, len(block)).column("doc_id"), _longs([len(s) for s in sets]), _longs(sig),
+                        K.list_array(_longs(np.concatenate(low)), np.array([len(x) for x in low])), pa.array([_parity(s) for s in sets], pa.binary()),
+                    ],
+                    ["doc_id", "n_shingles", "sig", "low", "bits"],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, low array<long>, bits binary")
+
+
+def whole_lists(batches):
+    """Batches sorted by ``key``, dealt anew so that no key's rows fall in two of them."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        key = batch.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            yield batch.slice(0, last)
+        rest = batch.slice(last)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, low array<long>")
+def nearest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each node and the ``KEEP`` nearest, by bitmap, of its ``LOOK`` neighbours by size in a list."""
+
+    def run(batches):
+        for batch in whole_lists(batches):
+            key, node, n = (batch.column(c).to_numpy() for c in ("key", "node", "n"))
+            maps, found = Bitmaps(batch.column("bits")), []
+            live = np.arange(len(key))
+            for d in range(1, LOOK + 1):
+                live = live[live + d < len(key)]
+                live = live[(key[live] == key[live + d]) & (100 * n[live] >= percent * n[live + d])]
+                if not len(live):
+                    break
+                apart = maps.apart(live, live + d)
+                ok = may_link(apart, n[live] + n[live + d], percent)
+                found.append((live[ok], live[ok] + d, apart[ok]))
+            if found:
+                i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((apart, i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i)
+                near = np.arange(len(i)) - first < KEEP
+                yield _pair_batch(node[i[near]], node[j[near]])
+
+    width = max(shuffle_width(rows.sparkSession), 1)
+    return rows.repartition(width, "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -213,36 +305,61 @@ def index_rows(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray
     return docs.mapInArrow(run, "key long, comp long, node long, n int, kind byte")
 
 
+def shared_lists(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose key is in more than one component."""
+
+    def run(batches):
+        for batch in whole_lists(batches):
+            key, comp = batch.column("key").to_numpy(), batch.column("comp").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+            keep = np.repeat(mixed, np.diff(np.append(first, len(key))))
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    width = max(shuffle_width(rows.sparkSession), 1)
+    return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, rows.schema)
+
+
 def pairs_between(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of different components that share a key and may reach the threshold by size."""
-
-    def emit(key, comp, node, n, kind):
-        d = 1
-        live = np.arange(len(key))
-        while True:
-            live = live[live + d < len(key)]
-            live = live[(key[live] == key[live + d]) & (100 * n[live].astype(np.int64) >= percent * n[live + d].astype(np.int64))]
-            if not len(live):
-                return
-            use = live[(comp[live] != comp[live + d]) & ((kind[live] != 1) | (kind[live + d] != 1))]
-            if len(use):
-                a, b = node[use], node[use + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            d += 1
+    """Distinct pairs of nodes of different components that share a key and may reach the threshold.
+
+    ``rows``: ``key, comp, node, n, kind, bits``. Sizes and bitmaps rule pairs out. In a long list only rows
+    outside its largest component are held against the others.
+    """
+
+    def may(i, j, comp, n, kind, maps):
+        size = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        use = size & (comp[i] != comp[j]) & ((kind[i] != 1) | (kind[j] != 1))
+        i, j = i[use], j[use]
+        ok = may_link(maps.apart(i, j), n[i] + n[j], percent)
+        return i[ok], j[ok]
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("key", "comp", "node", "n", "kind")]
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            last = np.searchsorted(cols[0], cols[0][-1])
-            yield from emit(*(c[:last] for c in cols))
-            rest = [c[last:] for c in cols]
-        if rest is not None:
-            yield from emit(*rest)
+        for batch in whole_lists(batches):
+            key, comp, node, kind = (batch.column(c).to_numpy() for c in ("key", "comp", "node", "kind"))
+            n = batch.column("n").to_numpy().astype(np.int64)
+            maps = Bitmaps(batch.column("bits"))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            length = np.diff(np.append(first, len(key)))
+            live = np.flatnonzero(np.repeat(length <= SHORT_LIST, length))
+            for d in range(1, SHORT_LIST):
+                live = live[live + d < len(key)]
+                live = live[key[live] == key[live + d]]
+                if not len(live):
+                    break
+                i, j = may(live, live + d, comp, n, kind, maps)
+                if len(i):
+                    yield _pair_batch(node[i], node[j])
+            for begin, size in zip(first[length > SHORT_LIST], length[length > SHORT_LIST], strict=True):
+                own = comp[begin : begin + size]
+                values, counts = np.unique(own, return_counts=True)
+                main = own == values[np.argmax(counts)]
+                for t in np.flatnonzero(~main):
+                    others = begin + np.flatnonzero(main | (np.arange(size) > t))
+                    i, j = may(np.full(len(others), begin + t), others, comp, n, kind, maps)
+                    if len(i):
+                        yield _pair_batch(node[i], node[j])
 
     width = max(shuffle_width(rows.sparkSession), 1)
     return rows.repartition(width, "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long").distinct()
@@ -258,11 +375,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prof = cut(profiles(docs, words))
-    nodes = cut(prof.filter("n_shingles > 0 and doc_id is not null").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("low").alias("low")))
-    low = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("low").alias("key"))
-    centres = low.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "c")
-    near = low.join(centres, "key").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), "n")
-    first_pairs = near.filter((F.col("a") != F.col("b")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))).select("a", "b").distinct()
+    nodes = cut(prof.filter("n_shingles > 0 and doc_id is not null").groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("low").alias("low"), F.min("bits").alias("bits")))
+    low = nodes.select(F.explode("low").alias("key"), "node", F.col("n_shingles").alias("n"), "bits")
+    first_pairs = nearest_pairs(low, percent)
     first_links = cut(verified(docs, cut(first_pairs), words, percent))
     comps = cut(connected_components(first_links, "a", "b").withColumnRenamed("component", "comp"))
 
@@ -272,7 +387,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = join_small(docs.filter("doc_id is not null"), special, docs["doc_id"] == special["id"], "left").filter("id is null or comp is not null")
     reps = reps.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "text")
     frequent = frequent_tokens(reps.filter("doc_id = comp").select("doc_id", "text"), words)
-    more_pairs = cut(pairs_between(index_rows(reps, words, percent, frequent), percent))
+    lists = cut(shared_lists(index_rows(reps, words, percent, frequent)))
+    bits = nodes.select(F.col("node").alias("__n"), "bits")
+    more_pairs = cut(pairs_between(lists.join(bits, F.col("node") == F.col("__n")).drop("__n"), percent))
     more_links = verified(docs, more_pairs, words, percent)
     final = connected_components(first_links.union(more_links), "a", "b").withColumnRenamed("node", "__node")
     out = named.join(final, F.col("node") == F.col("__node"), "left")
