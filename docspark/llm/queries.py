@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, token_counts, toxicity, url_reputation
+from . import exact_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, url_reputation
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(read(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     return url_reputation.judge_urls(read(spark, sf_dir, "pages"), outcomes)
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
