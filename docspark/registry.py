@@ -1,12 +1,5 @@
 """All queries of the library by name, with DuckDB SQL for those that SQL can express."""
 
-from __future__ import annotations
+from docspark.plans.queries import ORACLES, QUERIES, flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
