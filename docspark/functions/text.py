@@ -40,7 +40,7 @@ def normalize_terms(text: Column) -> Column:
 def path_key(path: Column) -> Column:
     r"""``/`` to ``\``, long-path prefixes and trailing ``\`` removed, lower case."""
     p = F.lower(F.translate(path, "/", "\\"))
-    p = F.regexp_replace(p, r"^\\\\\?\\unc\\", r"\\\\\\\\")
+    p = F.regexp_replace(p, r"^\\\\\?\\unc\\", r"\\\\")
     p = F.regexp_replace(p, r"^\\\\\?\\", "")
     return F.regexp_replace(p, r"\\+$", "")
 
