@@ -31,7 +31,7 @@ class Settings:
     shortest: int = 3
     longest: int = 5
     window: int = 4
-    per_class: int = 1500
+    per_class: int = 900
     most_chars: int = 20_000
     mean_rounds: int = 6
     window_rounds: int = 150
