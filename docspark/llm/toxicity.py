@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import cut
 
 #: Bytes that end a word besides white space.
 ENDS = b'.,;:!?"()[]{}|<>&/\\'
@@ -175,12 +176,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[li
     sample is the rows of smallest hash, so reruns agree.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(F.length("text").between(1, s.most_chars)).join(marks, F.col("doc_id") == F.col("__id")).select("text", "toxic", F.xxhash64("text").alias("h"))
-    texts, toxic = [], []
-    for mark in (0, 1):
-        chosen = rows.filter(F.col("toxic") == mark).dropDuplicates(["h"]).orderBy("h").limit(s.per_class).collect()
-        texts += [r.text for r in chosen]
-        toxic += [mark] * len(chosen)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    # Chosen by numbers alone; the few chosen rows (their count is bounded) then fetch their texts in a scan.
+    rows = hashed.filter(F.length("text").between(1, s.most_chars)).select("doc_id", "h").join(marks, F.col("doc_id") == F.col("__id"))
+    rows = rows.groupBy("toxic", "h").agg(F.min("doc_id").alias("id")).select("toxic", F.col("h").alias("k"), "id")
+    chosen = cut(rows.filter("toxic = 0").orderBy("k").limit(s.per_class).union(rows.filter("toxic = 1").orderBy("k").limit(s.per_class)))
+    found = hashed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("k"))).select("toxic", "k", "text").collect()
+    found = sorted({(r.toxic, r.k): r.text for r in found}.items())
+    texts, toxic = [text for _, text in found], [mark for (mark, _), _ in found]
     return texts, np.array(toxic, np.int64)
 
 
