@@ -1,5 +1,6 @@
 """All queries of the library by name, with DuckDB SQL for those that SQL can express."""
 
+from docspark.plans import more_queries  # noqa: F401  (registers its queries)
 from docspark.plans.queries import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
