@@ -71,3 +71,28 @@ def trace_timings(nodes: DataFrame, stages: list[str]) -> DataFrame:
     wide = nodes.groupBy("operation_id").pivot("node", stages).agg(F.round(F.sum("elapsed_ms"), 4))
     total = F.round(sum((F.coalesce(F.col(s), F.lit(0.0)) for s in stages), F.lit(0.0)), 4)
     return wide.withColumn("total_ms", total)
+
+
+def scorecard(components: DataFrame, gates: DataFrame, pass_mark: float = 85) -> DataFrame:
+    """``run_id, total, failed_gates, passed``: components (``score, maximum``) clamped and added; every gate must hold."""
+    t = components.groupBy("run_id").agg(F.round(F.sum(F.greatest(F.lit(0.0), F.least("score", "maximum"))), 6).alias("total"))
+    g = gates.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("gate")))), ",").alias("failed_gates"))
+    return t.join(g, "run_id", "left").withColumn("passed", (F.col("total") >= pass_mark) & (F.coalesce("failed_gates", F.lit("")) == ""))
+
+
+def metric_means(scores: DataFrame) -> DataFrame:
+    """Mean and number of finite values by metric, and distinct cases scored (``case_id, metric, value``)."""
+    finite = scores.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+    return finite.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases"))
+
+
+def split_three(last_byte: Column) -> Column:
+    """Tuning, development or hidden by an id's last byte modulo 10 (0-5, 6-7, 8-9)."""
+    d = last_byte % 10
+    return F.when(d < 6, "tuning").when(d < 8, "development").otherwise("hidden")
+
+
+def baseline_check(cases: DataFrame) -> DataFrame:
+    """``case_id, passed``: an expected file was returned and no forbidden one; cases that need OCR are left out."""
+    hit = F.arrays_overlap("expected", "returned") & ~F.arrays_overlap("forbidden", "returned")
+    return cases.filter(~F.coalesce("requires_ocr", F.lit(False))).select("case_id", F.coalesce(hit, F.lit(False)).alias("passed"))

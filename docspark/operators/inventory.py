@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import path_key
@@ -104,3 +104,23 @@ def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
     fresh = F.col("e").isNotNull() & (F.col("last_ts").isNull() | (F.col("e.ts") > F.col("last_ts")))
     state = F.when(F.col("e.event_type") == "removed", "missing").otherwise("present")
     return m.select("root_id", "path", F.when(fresh, state).otherwise(F.col("availability")).alias("availability"), F.when(fresh, F.col("e.ts")).otherwise(F.col("last_ts")).alias("last_ts"))
+
+
+#: The allowed changes of a job's status; staying is allowed too.
+JOB_STEPS = {
+    "queued": ["running", "cancelled"],
+    "running": ["paused", "awaiting_user", "succeeded", "partial", "failed", "cancelled"],
+    "paused": ["running", "failed", "cancelled"],
+    "awaiting_user": ["running", "failed", "cancelled"],
+}
+
+
+def job_transition_violations(history: DataFrame, steps: dict[str, list[str]] = JOB_STEPS) -> DataFrame:
+    """``job_id, seq, problem`` of a history (``job_id, seq, status, progress, processed, total``): a change of status
+    that is not allowed, progress outside [0, 1], or more processed than there is."""
+    before = F.lag("status").over(Window.partitionBy("job_id").orderBy("seq"))
+    allowed = F.create_map(*[x for k, v in steps.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    h = history.withColumn("before", before)
+    step = F.col("before").isNotNull() & (F.col("before") != F.col("status")) & ~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("before")), F.col("status")), F.lit(False))
+    problems = F.array_compact(F.array(F.when(step, "transition"), F.when(~F.col("progress").between(0, 1), "progress"), F.when(F.col("processed") > F.col("total"), "counts")))
+    return h.select("job_id", "seq", F.explode(problems).alias("problem"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking, collections, evaluation, evidence, inventory
+from docspark.operators import chunking, collections, evaluation, evidence, inventory, profiles, relations
 from docspark.plans.queries import QUERIES, bm25, query
 from docspark.plans.tables import CHUNKS, EVENTS, FILES, KEY, chunks, files, fs_events
 from docspark.sources.files import read_table
@@ -207,4 +207,56 @@ def q2(spark, sf):
     return evaluation.rag_metrics(li.select((n % 3 == 0).alias("refused"), (n % 2 == 0).alias("generated"), (F.col("l_partkey") % 3 == 0).alias("expected_refusal"), (F.col("l_suppkey") % 4).alias("unauthorized_citations"), (F.col("l_partkey") % 5 == 0).alias("expected_source_cited"), F.col("l_quantity").cast("long").alias("factual_claims"), F.least(F.col("l_quantity").cast("long"), n.cast("long")).alias("verified_claims"), F.floor("l_extendedprice").alias("elapsed_ms")))
 
 
+@query("c14_job_violations", "WITH h AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'paused' ELSE 'succeeded' END AS status, value / 50 AS progress, event_id % 11 AS processed, 9 AS total FROM events), l AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS before FROM h) SELECT job_id, seq, problem FROM (SELECT job_id, seq, unnest([CASE WHEN before != status AND (before || '>' || status) NOT IN ('queued>running', 'running>paused', 'running>succeeded', 'running>failed', 'paused>running', 'paused>failed') THEN 'transition' END, CASE WHEN progress NOT BETWEEN 0 AND 1 THEN 'progress' END, CASE WHEN processed > total THEN 'counts' END]) AS problem FROM l) WHERE problem IS NOT NULL")
+def c14(spark, sf):
+    t = F.col("event_type")
+    status = F.when(t == "click", "queued").when(t == "view", "running").when(t == "error", "failed").when(t == "purchase", "paused").otherwise("succeeded")
+    return inventory.job_transition_violations(read_table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status"), (F.col("value") / 50).alias("progress"), (F.col("event_id") % 11).alias("processed"), F.lit(9).alias("total")))
+
+
+@query("p6_classify", "WITH r AS (SELECT o_orderkey AS file_id, o_orderkey % 3 AS t, o_orderkey % 10 / 10 AS s FROM orders WHERE o_orderkey % 5 != 0), p AS (SELECT o_orderkey AS file_id, o_orderkey % 4 AS t, o_orderkey % 17 / 17 AS s FROM orders WHERE o_orderkey % 7 != 0), j AS (SELECT file_id, r.t AS rt, r.s AS rs, p.t AS pt, p.s AS ps FROM r FULL JOIN p USING (file_id)) SELECT file_id, CASE WHEN rt = pt THEN rt WHEN ps >= CASE WHEN rt IS NULL THEN 0.65 ELSE 0.72 END THEN pt WHEN rs >= 0.5 THEN rt END AS document_type, round(CASE WHEN rt = pt THEN 0.6::DOUBLE + 0.4::DOUBLE * greatest(rs, ps) WHEN ps >= CASE WHEN rt IS NULL THEN 0.65 ELSE 0.72 END THEN ps WHEN rs >= 0.5 THEN rs END, 6) AS confidence FROM j")
+def p6(spark, sf):
+    o, k = read_table(spark, sf, "orders"), F.col("o_orderkey")
+    score = lambda m, n: o.select(k.alias("file_id"), (k % m).alias("type"), (k % n / n).alias("score"))
+    return profiles.classify_types(score(3, 10).filter("file_id % 5 != 0"), score(4, 17).filter("file_id % 7 != 0"))
+
+
+@query("p7_stale_profiles", f"WITH {FILES} SELECT file_id, file_id % 6 = 1 OR file_id % 4 = 2 OR file_id % 9 = 5 AS stale FROM files")
+def p7(spark, sf):
+    f = files(spark, sf).select("file_id", (F.col("file_id") * 3).alias("revision_id"), F.col("content_sha256").alias("text_hash"))
+    known = f.filter("file_id % 6 != 1").select("file_id", F.when(F.col("file_id") % 4 == 2, 0).otherwise(F.col("revision_id")).alias("revision_id"), F.when(F.col("file_id") % 9 != 5, F.col("text_hash")).alias("text_hash"))
+    return profiles.stale_profiles(known.filter("file_id != 0").union(f.filter("file_id = 0")), f)
+
+
+@query("r10_query_relations", f"WITH {FILES} SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey AS left_file_id, l_suppkey AS right_file_id, l_returnflag AS relation_type, l_linestatus AS review_status, a.display_name AS left_name, b.display_name AS right_name FROM (SELECT min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber) JOIN files a ON a.file_id = l_partkey JOIN files b ON b.file_id = l_suppkey WHERE l_returnflag IN ('A', 'N') AND l_linestatus = 'O' ORDER BY edge_id LIMIT 50")
+def r10(spark, sf):
+    pick = lambda c, name: F.min(c).alias(name)
+    e = read_table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(pick("l_partkey", "left_file_id"), pick("l_suppkey", "right_file_id"), pick("l_returnflag", "relation_type"), pick("l_linestatus", "review_status"))
+    e = e.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), "left_file_id", "right_file_id", "relation_type", "review_status")
+    return relations.query_relations(e, files(spark, sf), ["A", "N"], "O")
+
+
+@query("q5_scorecard", "WITH t AS (SELECT o_custkey AS run_id, round(sum(greatest(0.0::DOUBLE, least(o_totalprice / 10000, 20.0::DOUBLE))), 6) AS total FROM orders GROUP BY 1), g AS (SELECT o_custkey AS run_id, coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FILTER (o_orderstatus = 'F'), '') AS failed_gates FROM orders GROUP BY 1) SELECT run_id, total, failed_gates, total >= 85 AND failed_gates = '' AS passed FROM t JOIN g USING (run_id)")
+def q5(spark, sf):
+    o = read_table(spark, sf, "orders").withColumnRenamed("o_custkey", "run_id")
+    return evaluation.scorecard(o.select("run_id", (F.col("o_totalprice") / 10000).alias("score"), F.lit(20.0).alias("maximum")), o.select("run_id", F.col("o_orderpriority").alias("gate"), (F.col("o_orderstatus") != "F").alias("ok")))
+
+
+@query("q11_metric_means", "SELECT event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n, count(DISTINCT user_id) AS cases FROM events WHERE event_id % 6 != 0 GROUP BY 1")
+def q11(spark, sf):
+    v = F.when(F.col("event_id") % 12 == 0, float("nan")).when(F.col("event_id") % 6 != 0, F.col("value"))
+    return evaluation.metric_means(read_table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("metric"), v.alias("value")))
+
+
+@query("q18_split_three", "SELECT doc_id, CASE WHEN doc_id % 256 % 10 < 6 THEN 'tuning' WHEN doc_id % 256 % 10 < 8 THEN 'development' ELSE 'hidden' END AS split FROM documents")
+def q18(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", evaluation.split_three(F.conv(F.right(F.hex("doc_id"), F.lit(2)), 16, 10).cast("int")).alias("split"))
+
+
+@query("q22_baseline", "SELECT o_orderkey AS case_id, (o_orderkey % 7 IN (o_custkey % 7, o_custkey % 5)) AND NOT o_orderkey % 3 IN (o_custkey % 7, o_custkey % 5) AS passed FROM orders WHERE o_orderkey % 10 != 0")
+def q22(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return evaluation.baseline_check(read_table(spark, sf, "orders").select(k.alias("case_id"), F.array(k % 7).alias("expected"), F.array(k % 3).alias("forbidden"), F.array(c % 7, c % 5).alias("returned"), (k % 10 == 0).alias("requires_ocr")))
+
+
 __all__ = ["QUERIES"]
