@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking, collections, evidence, inventory
+from docspark.operators import chunking, collections, evidence, inventory, profiles
 
 
 def rows(df, *columns):
@@ -59,3 +59,16 @@ def test_apply_events_twice(spark):
     once = inventory.apply_events(cat, ev)
     assert rows(once, "path", "availability") == {("p", "missing"), ("q", "present")}
     assert rows(inventory.apply_events(once, ev), "path", "availability", "last_ts") == rows(once, "path", "availability", "last_ts")
+
+
+def test_job_history(spark):
+    h = spark.createDataFrame([(1, 1, "queued", 0.0, 0, 5), (1, 2, "running", 0.5, 6, 5), (1, 3, "queued", 2.0, 1, None), (1, 4, None, None, None, None), (2, 1, "done", 1.0, 1, 1)], "job_id int, seq int, status string, progress double, processed long, total long")
+    assert rows(inventory.job_transition_violations(h), "job_id", "seq", "problem") == {(1, 2, "counts"), (1, 3, "transition"), (1, 3, "progress")}
+
+
+def test_classify_types(spark):
+    schema = "file_id int, type string, score double"
+    rule = spark.createDataFrame([(1, "a", 0.2), (2, "a", 0.9), (3, "a", 0.6), (4, "a", 0.1)], schema)
+    proto = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.8), (3, "b", 0.6), (5, "b", 0.66), (6, "b", 0.6)], schema)
+    got = rows(profiles.classify_types(rule, proto), "file_id", "document_type", "confidence")
+    assert got == {(1, "a", 0.8), (2, "b", 0.8), (3, "a", 0.6), (4, None, None), (5, "b", 0.66), (6, None, None)}
