@@ -2,7 +2,7 @@
 
 A column of texts is one byte buffer with offsets, so words, lines and shingles of thousands of
 documents are found with a few NumPy passes and no loop over documents or characters. Work goes in
-blocks of a few megabytes to stay in cache and to bound a task's memory.
+blocks of half a megabyte to stay in cache and to bound a task's memory.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -23,6 +23,8 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: A worker forgets its table beyond so many distinct pre-tokens, which bounds its memory.
 MOST_KNOWN = 1 << 20
+#: Pre-tokens that the library encodes in one call; its results weigh about a kilobyte each until they are read.
+AT_ONCE = 4096
 
 _classes: np.ndarray | None = None
 
@@ -144,9 +146,12 @@ class Encoder:
             todo, slot = todo[left], (slot[left] + 1) & (self.slots - 1)
 
     def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(counts.sum()))
+        sizes, parts = [], []
+        for i in range(0, len(pieces), AT_ONCE):
+            got = [e.ids for e in self.tokenizer.encode_batch(pieces[i : i + AT_ONCE], add_special_tokens=False)]
+            sizes += map(len, got)
+            parts.append(np.fromiter((x for ids in got for x in ids), np.uint32))
+        counts, flat = np.array(sizes, np.int64), np.concatenate(parts)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.known + len(h) > len(self.first):
