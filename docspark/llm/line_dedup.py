@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join.
 
-A line of n bytes is cut into threshold + 1 even segments; a line within the threshold keeps one of them
+A line of n characters is cut into threshold + 1 even segments; a line within the threshold keeps one of them
 whole, near its old place. Segments are indexed under (length, place in the cut, content); every line
 probes, for each length that it may pair with, the substrings that the multi-match-aware window allows.
 Candidates are verified with banded bit-parallel edit distance, many pairs at once.
@@ -20,35 +20,49 @@ from .common import BROADCAST_ROWS, cut, shuffle_width
 from .ngram_join import _longs, _pair_batch, whole_lists
 
 
-def _long_lines(block: K.Block, least: int):
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each character's bytes begin (and the end of all), its bytes as one number, and each byte's character."""
+    lead = (data & 0xC0) != 0x80
+    if lead.all() and not (data & 0x80).any():
+        places = np.arange(len(data) + 1)
+        return places, data.astype(np.uint64), places
+    at = np.flatnonzero(lead)
+    value, end = data[at].astype(np.uint64), np.append(at[1:], len(data))
+    for k in range(1, 4):
+        more = np.flatnonzero(at + k < end)
+        value[more] = value[more] * np.uint64(256) + data[at[more] + k]
+    return np.append(at, len(data)), value, np.concatenate([[0], np.cumsum(lead)])
+
+
+def _lines(block: K.Block, least: int, char_of: np.ndarray):
+    """Starts, ends, text and number of the lines of at least ``least`` characters."""
     starts, ends, first = K.lines(block)
     owner = np.repeat(np.arange(len(block)), np.diff(first))
     number = np.arange(len(starts)) - first[owner]
-    keep = ends - starts >= least
+    keep = char_of[ends] - char_of[starts] >= least
     return starts[keep], ends[keep], owner[keep], number[keep]
 
 
 def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """``doc_id, line_no, line, n_bytes`` of every line of at least ``least`` bytes; ``line`` is its hash."""
+    """``doc_id, line_no, line, n_bytes`` of every line of at least ``least`` characters; ``line`` is its hash."""
 
     def run(batches):
         for batch in batches:
             for block in K.blocks(batch.column("text")):
-                s, e, owner, number = _long_lines(block, least)
+                s, e, owner, number = _lines(block, least, characters(block.data)[2])
                 ids = batch.slice(block.row, len(block)).column("doc_id").take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), _longs(K.hashes(K.prefix(block.data), s, e)), pa.array((e - s).astype(np.int32))], ["doc_id", "line_no", "line", "n_bytes"])
 
     return docs.mapInArrow(run, "doc_id long, line_no int, line long, n_bytes int")
 
 
-def bigram_parity(block: K.Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit map of each span: a bit tells whether an odd number of its byte pairs fall on it.
+def bigram_parity(value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit map of each span: a bit tells whether an odd number of its character pairs fall on it.
 
     One edit takes or adds at most four pairs, so lines within ``tau`` edits differ in at most 4 ``tau`` bits.
     """
-    data = block.data.astype(np.uint64)
-    bit = np.uint64(1) << (K.mix(data[:-1] * np.uint64(256) + data[1:]) >> np.uint64(58))
-    running = np.zeros(len(data), np.uint64)
+    bit = np.uint64(1) << (K.mix((value[:-1] << np.uint64(32)) + value[1:]) >> np.uint64(58))
+    running = np.zeros(len(value), np.uint64)
     np.bitwise_xor.accumulate(bit, out=running[1:])
     return running[ends - 1] ^ running[starts]
 
@@ -62,13 +76,14 @@ def segment_keys(docs: DataFrame, least: int, tau: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block in K.blocks(batch.column("text")):
-                s, e, _, _ = _long_lines(block, least)
+                place, value, char_of = characters(block.data)
+                s, e, _, _ = _lines(block, least, char_of)
                 sums = K.prefix(block.data)
                 line, at = np.unique(K.hashes(sums, s, e), return_index=True)
                 if not len(line):
                     continue
-                parity = bigram_parity(block, s[at], e[at])
-                s, n = s[at], (e - s)[at]
+                s, e = char_of[s[at]], char_of[e[at]]
+                parity, n = bigram_parity(value, s, e), e - s
                 keys, roles, lines, bits = [], [], [], []
                 for delta in range(tau + 1):
                     length = n - delta  # of the lines to find
@@ -79,7 +94,7 @@ def segment_keys(docs: DataFrame, least: int, tau: int) -> DataFrame:
                         for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
                             ok = (begin + shift >= 0) & (begin + shift + size <= n) & (length >= least)
                             p = s[ok] + begin[ok] + shift
-                            keys.append(key_of(K.hashes(sums, p, p + size[ok]), length[ok], i))
+                            keys.append(key_of(K.hashes(sums, place[p], place[p + size[ok]]), length[ok], i))
                             roles.append(np.full(len(p), 0 if delta == 0 and shift == 0 else 1, np.int8))
                             lines.append(line[ok])
                             bits.append(parity[ok])
@@ -118,7 +133,7 @@ def texts_of(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block in K.blocks(batch.column("text")):
-                s, e, _, _ = _long_lines(block, least)
+                s, e, _, _ = _lines(block, least, characters(block.data)[2])
                 line, at = np.unique(K.hashes(K.prefix(block.data), s, e).view(np.int64), return_index=True)
                 if chosen is not None:
                     keep = np.isin(line, chosen.value)
@@ -129,13 +144,21 @@ def texts_of(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "line long, body binary").dropDuplicates(["line"])
 
 
+def _codes(x: bytes) -> np.ndarray:
+    """The code points of UTF-8; bytes that are none stand for themselves."""
+    if x.isascii():
+        return np.frombuffer(x, np.uint8)
+    return np.frombuffer(x.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def within(a: list[bytes], b: list[bytes], tau: int) -> np.ndarray:
-    """Which pairs are within ``tau`` edits of bytes: banded bit-parallel columns, all pairs side by side.
+    """Which pairs of UTF-8 texts are within ``tau`` edits of code points: banded bit-parallel columns, all pairs side by side.
 
     A word of 64 bits holds the vertical differences of a band that slides down the diagonal, its top bit
     ``tau`` rows below. While the band's end is above the longer text's end the distance follows the
     diagonal; afterwards it follows the last row as the band slides past it.
     """
+    a, b = [_codes(x) for x in a], [_codes(x) for x in b]
     size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     out = np.abs(size_a - size_b) <= tau
     at = np.flatnonzero(out)
@@ -144,11 +167,12 @@ def within(a: list[bytes], b: list[bytes], tau: int) -> np.ndarray:
     rows = [(a[i], b[i]) if size_a[i] >= size_b[i] else (b[i], a[i]) for i in at]
     m, n = np.array([len(x) for x, _ in rows]), np.array([len(y) for _, y in rows])
     wide = int(m.max()) + 2 * tau + 2
-    pattern = np.zeros((len(rows), wide), np.int16) - 1  # padded by tau before and behind
-    text = np.zeros((len(rows), int(n.max(initial=0))), np.int16) - 2
+    kind = np.int32 if any(int(z.max(initial=0)) >= 1 << 15 for row in rows for z in row if z.itemsize > 1) else np.int16
+    pattern = np.full((len(rows), wide), -1, kind)  # padded by tau before and behind
+    text = np.full((len(rows), int(n.max(initial=0))), -2, kind)
     for r, (x, y) in enumerate(rows):
-        pattern[r, tau : tau + len(x)] = np.frombuffer(x, np.uint8)
-        text[r, : len(y)] = np.frombuffer(y, np.uint8)
+        pattern[r, tau : tau + len(x)] = x
+        text[r, : len(y)] = y
     pattern, text = np.ascontiguousarray(pattern.T), np.ascontiguousarray(text.T)
     one, ones = np.uint64(1), ~np.uint64(0)
     vp = np.full(len(rows), ones << np.uint64(63 - tau), np.uint64)
@@ -183,20 +207,22 @@ def verified(pairs: DataFrame, bodies: DataFrame, tau: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, least: int = 40) -> DataFrame:
-    """One row per line of at least ``least`` bytes: ``doc_id, line_no, class_doc_id, class_line_no, n_links, kept``.
+def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, least: int = 1, joined: int = 10) -> DataFrame:
+    """One row per line of at least ``least`` characters: ``doc_id, line_no, class_doc_id, class_line_no, n_links, kept``.
 
-    Lines are the parts between line feeds. Different lines are linked when at most ``tau`` byte edits turn
-    one into the other; a class is what links and equality reach, named by its first line (smallest id, then
-    number), which alone is kept. ``n_links`` counts the different lines linked to this one. Null and empty
-    texts and shorter lines give no rows; rows that share an id count as one document; a null id sorts first.
-    Other columns are not read.
+    Lines are the parts between line feeds. Different lines of at least ``joined`` characters are linked when at
+    most ``tau`` edits of characters (code points) turn one into the other; shorter ones, where so many edits
+    change what is said, stand by equality alone. A class is what links and equality reach, named by its first
+    line (smallest id, then number), which alone is kept. ``n_links`` counts the different lines linked to this
+    one. Null and empty texts and empty lines give no rows; rows that share an id count as one document; a null
+    id sorts first. Other columns are not read.
     """
+    joined = max(joined, least)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = cut(line_table(docs, least))
-    pairs = cut(candidate_pairs(segment_keys(docs, least, tau), tau))
+    pairs = cut(candidate_pairs(segment_keys(docs, joined, tau), tau))
     wanted = cut(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct())
-    links = cut(verified(pairs, cut(texts_of(docs, least, wanted)), tau))
+    links = cut(verified(pairs, cut(texts_of(docs, joined, wanted)), tau))
     comps = connected_components(links, "a", "b").select(F.col("node").alias("cn"), "component")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("dn")).agg(F.count(F.lit(1)).alias("n_links"))
     linked = cut(comps.join(degree, F.col("cn") == F.col("dn")).select("cn", "component", "n_links"))
