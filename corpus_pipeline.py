@@ -14,8 +14,8 @@ from docspark.storage import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules reject go, and from the others the boilerplate lines of their host."""
+    return quality.keep_clean(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

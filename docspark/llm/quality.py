@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 from .common import cut
@@ -35,6 +37,24 @@ def _repeats(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return later, equal
 
 
+def _lines(block: K.Block, ws: np.ndarray, we: np.ndarray):
+    """Each line's start and end, each text's first line, each line's words, and the identity of those with words.
+
+    A line's identity across documents: its lower-cased words, whatever stands between them.
+    """
+    ls, le, lf = K.lines(block)
+    first_word = np.searchsorted(ws, ls)
+    words_in = np.searchsorted(ws, le) - first_word
+    used = words_in > 0
+    lower = K.hashes(K.prefix(K.LOWER[block.data]), ws, we)
+    rank = np.zeros(len(ws), np.int64)
+    line_of_word = np.repeat(np.flatnonzero(used), words_in[used])
+    rank[:] = np.arange(len(ws)) - first_word[line_of_word] if len(ws) else 0
+    K.powers(int(rank.max(initial=0)) + 1)
+    weighted = np.concatenate([[np.uint64(0)], np.cumsum(lower * K.powers(0)[0][rank], dtype=np.uint64)])
+    return ls, le, lf, words_in, K.mix(weighted[first_word[used] + words_in[used]] - weighted[first_word[used]] + words_in[used].astype(np.uint64))
+
+
 def _measure(block: K.Block) -> dict[str, np.ndarray]:
     n, data = len(block), block.data
     sums = K.prefix(data)
@@ -45,9 +65,7 @@ def _measure(block: K.Block) -> dict[str, np.ndarray]:
     doc_of_word = np.repeat(np.arange(n), n_words)
     exact = K.hashes(sums, ws, we)
 
-    ls, le, lf = K.lines(block)
-    first_word = np.searchsorted(ws, ls)
-    words_in = np.searchsorted(ws, le) - first_word
+    ls, le, lf, words_in, line_hash = _lines(block, ws, we)
     used = words_in > 0
     doc_of_line = np.repeat(np.arange(n), np.diff(lf))[used]
     later, _ = _repeats(doc_of_line, K.hashes(sums, ls[used], le[used]))
@@ -61,15 +79,6 @@ def _measure(block: K.Block) -> dict[str, np.ndarray]:
         for t in range(3):
             covered[hit + t] = 1
     repeat_words = np.diff(np.concatenate([[0], np.cumsum(covered[:-1])])[wf])
-
-    # A line's identity across documents: its lower-cased words, whatever stands between them.
-    lower = K.hashes(K.prefix(K.LOWER[data]), ws, we)
-    rank = np.zeros(len(ws), np.int64)
-    line_of_word = np.repeat(np.flatnonzero(used), words_in[used])
-    rank[:] = np.arange(len(ws)) - first_word[line_of_word] if len(ws) else 0
-    K.powers(int(rank.max(initial=0)) + 1)
-    weighted = np.concatenate([[np.uint64(0)], np.cumsum(lower * K.powers(0)[0][rank], dtype=np.uint64)])
-    line_hash = K.mix(weighted[first_word[used] + words_in[used]] - weighted[first_word[used]] + words_in[used].astype(np.uint64))
     return {
         "content": K.hashes(sums, block.ptr[:-1], block.ptr[1:]), "n_words": n_words, "word_chars": word_chars, "n_symbols": count(_SYMBOL[data]),
         "n_dup_lines": np.bincount(doc_of_line[later], minlength=n), "n_repeat_words": repeat_words,
@@ -113,13 +122,27 @@ def quality_verdicts(
     left. A null host is a host of its own; null or empty texts have no words and fail the base rule.
     ``row`` tells repeated rows apart; other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), F.col(text_col).alias("text"))
+    profile, found = _found(docs, id_col, text_col, host_col, line_min_docs, line_host_percent)
+    return _verdicts(profile, found, min_words, max_repeat_percent, min_left_percent)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_min_docs: int, line_host_percent: int) -> tuple[DataFrame, DataFrame]:
+    """The profile of every row, and the boilerplate lines in it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), _host(host_col).alias("host"), F.col(text_col).alias("text"))
     profile = cut(rows.mapInArrow(_profile, PROFILE))
     entries = profile.select("row", "host", "content", F.explode(F.arrays_zip("line_hash", "line_words")).alias("e")).select("row", "host", "content", F.col("e.line_hash").alias("line"), F.col("e.line_words").alias("words"))
     sizes = profile.select("host", "content").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_docs"))
     common = entries.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_min_docs)
     boilerplate = common.join(sizes, F.col("host") == F.col("h")).filter(F.col("n") * 100 > F.col("host_docs") * line_host_percent).select("host", "line")
-    removed = entries.join(boilerplate, ["host", "line"]).groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("removed_words"))
+    return profile, entries.join(boilerplate, ["host", "line"])
+
+
+def _host(host_col: str):
+    return F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
+
+
+def _verdicts(profile: DataFrame, found: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 30) -> DataFrame:
+    removed = found.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("removed_words"))
     base_failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     left_words = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     depleted = left_words * 100 < F.col("n_words") * min_left_percent
@@ -137,3 +160,53 @@ def keep_good(docs: DataFrame, **rules) -> DataFrame:
     id_col = rules.get("id_col", "doc_id")
     kept = quality_verdicts(docs, **rules).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+
+
+def _keyed(text_col: str, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            content = np.concatenate([K.hashes(K.prefix(b.data), b.ptr[:-1], b.ptr[1:]) for b in K.blocks(batch.column(text_col))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content.view(np.int64))], [*names, "__content"])
+
+    return run
+
+
+def _rebuilt(text_col: str, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            texts, gone = batch.column(text_col), batch.column("__gone")
+            changed = []
+            for block in K.blocks(texts) if gone.null_count < len(batch) else ():
+                part = gone.slice(block.row, len(block))
+                ws, we, _ = K.words(block)
+                ls, le, lf, words_in, line_hash = _lines(block, ws, we)
+                identity = np.zeros(len(ls), np.uint64)
+                identity[words_in > 0] = line_hash
+                for d in np.flatnonzero(part.is_valid().to_numpy(zero_copy_only=False)):
+                    at = np.arange(lf[d], lf[d + 1])
+                    keep = at[(words_in[at] == 0) | ~np.isin(identity[at].view(np.int64), part[d].values.to_numpy())]
+                    changed.append("\n".join(block.data[ls[i] : le[i]].tobytes().decode("utf-8", "replace") for i in keep))
+            if changed:
+                texts = pc.replace_with_mask(texts, gone.is_valid(), pa.array(changed, texts.type))
+            yield pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in names], names)
+
+    return run
+
+
+def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_min_docs: int = 100, line_host_percent: int = 20, **limits) -> DataFrame:
+    """What ``keep_good`` keeps, with all its columns, and its texts without their host's boilerplate lines.
+
+    The other lines, those without words among them, keep their order and bytes; a text without boilerplate is
+    not touched. Only the text changes, not what other columns say of it.
+    """
+    profile, found = _found(docs, id_col, text_col, host_col, line_min_docs, line_host_percent)
+    found = cut(found)
+    kept = _verdicts(profile, found, **limits).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    gone = cut(found.groupBy(F.col("host").alias("__h"), F.col("content").alias("__c")).agg(F.collect_set("line").alias("__gone")))
+    good = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    key = T.StructType([*docs.schema.fields, T.StructField("__content", T.LongType())])
+    keyed = good.mapInArrow(_keyed(text_col, docs.columns), key)
+    marked = keyed.join(gone, (_host(host_col) == F.col("__h")) & (F.col("__content") == F.col("__c")), "left").select(*docs.columns, "__gone")
+    return marked.mapInArrow(_rebuilt(text_col, docs.columns), docs.schema)
