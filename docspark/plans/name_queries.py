@@ -98,6 +98,11 @@ def r5(spark, sf):
     return relations.containment_pairs(read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.array_distinct(normalize_terms(F.col("text"))).alias("terms")))
 
 
+@query("r5_containment_members", f"WITH t AS (SELECT doc_id, list_sort(list_distinct({TERM_SQL})) AS t FROM documents) SELECT doc_id AS file_id, min(doc_id) OVER (PARTITION BY t) AS representative FROM t WHERE len(t) > 0")
+def r5_members(spark, sf):
+    return relations.containment_members(read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.array_distinct(normalize_terms(F.col("text"))).alias("terms")))
+
+
 @query("r8_version_roles", "WITH e AS (SELECT label AS group_id, vec_id AS file_id, embedding::DOUBLE[] AS v, vec_id * 7919 % 1009 AS m FROM embeddings), n AS (SELECT group_id, arg_max(file_id, m * 100000000 + file_id) AS f, arg_max(v, m * 100000000 + file_id) AS nv FROM e GROUP BY 1) SELECT group_id, file_id, CASE WHEN file_id = f THEN 'latest' WHEN round(list_cosine_similarity(v, nv), 6) >= 0.99 THEN 'copy' ELSE 'version' END AS role FROM e JOIN n USING (group_id)")
 def r8(spark, sf):
     e = embedded(spark, sf)
