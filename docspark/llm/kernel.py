@@ -16,28 +16,47 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_STEP_INV = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _COMBINE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Hashes of spans are values of two polynomials modulo this prime, so they hang on no property of its binary digits.
+PRIME = (1 << 31) - 1
+_P = np.uint64(PRIME)
+_BASES = tuple(int(x) for x in _rng.integers(1 << 20, PRIME - 1, 2))
+#: A multiple of the prime above all running sums.
+_ABOVE = np.uint64(PRIME << 30)
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Bytes whose powers a worker keeps; longer texts are summed in runs of so many.
+RUN = BLOCK_BYTES + (1 << 18)
+_tables: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, in place, by folding its bits over twice."""
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x &= _P
+        x += high
+    return np.subtract(x, _P, out=x, where=x >= _P)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _mod(out * np.uint64(pow(base, len(out), PRIME)))])
+    return out[:n]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash step and of its inverse, modulo 2**64."""
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + (1 << 18))
-        up, down = np.full(size, _STEP, np.uint64), np.full(size, _STEP_INV, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers
+def tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each polynomial the powers 0..RUN of its base and of the inverse."""
+    global _tables
+    if _tables is None:
+        _tables = [(_powers(b, RUN + 1), _powers(pow(b, -1, PRIME), RUN + 1)) for b in _BASES]
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,16 +130,39 @@ def lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Running sums from which ``hashes`` takes the hash of any span."""
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(_BYTE[data] * powers(len(data))[0][: len(data)], out=out[1:])
+    """Running sums, one row for each polynomial, from which ``hashes`` takes the hash of any span."""
+    n = len(data)
+    out = np.zeros((2, n + 1), np.uint64)
+    for sums, base, (up, _) in zip(out, _BASES, tables(), strict=True):
+        for lo in range(0, n, RUN):
+            values = data[lo : lo + RUN].astype(np.uint64)
+            values += np.uint64(1)
+            values *= up[: len(values)]
+            part = sums[lo + 1 : lo + 1 + len(values)]
+            np.cumsum(values, out=part)
+            if lo:
+                part[:] = _mod(_mod(part) * np.uint64(pow(base, lo, PRIME))) + np.uint64(int(sums[lo]) % PRIME)
     return out
 
 
 def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span; equal bytes give equal hashes wherever they stand."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+    far = bool(len(starts)) and int(starts.max()) > RUN
+    halves = []
+    for s, base, (_, down) in zip(sums, _BASES, tables(), strict=True):
+        whole = s[ends]
+        whole += _ABOVE
+        whole -= s[starts]
+        whole = _mod(whole)
+        if far:
+            runs = _powers(pow(pow(base, RUN, PRIME), -1, PRIME), int(starts.max()) // RUN + 1)
+            whole *= runs[starts // RUN]
+            whole = _mod(whole)
+        whole *= down[starts % RUN if far else starts]
+        halves.append(_mod(whole))
+    halves[0] <<= np.uint64(32)
+    halves[0] |= halves[1]
+    return mix(halves[0])
 
 
 def shingles(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

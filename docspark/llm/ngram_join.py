@@ -1,12 +1,17 @@
 """N-gram Jaccard join with token-combination prefixes, exact, returning components.
 
-A token is a shingle hash. Documents whose sets overlap enough share a token in their prefixes under any
-common order of tokens. The order puts rare tokens first and frequent ones last, by counts over the corpus;
-rare tokens are indexed alone, frequent ones as pairs within a prefix longer by one (two documents that
-share no rare token there share two frequent ones). Equal sets collapse to one node first, and a first
-round links nodes to a few of their nearest neighbours: a large group of near copies becomes a component
-before tokens are counted, and the exact round draws pairs only between components. Parity bitmaps bound
-the difference of two sets from below, so most pairs that would fail are never drawn.
+A token is a shingle hash. All tokens are counted over the corpus and fall into classes: rare ones (1), frequent
+ones (2) and very frequent ones (3). A class-k token is indexed in combinations of k, so the lists of frequent
+tokens stay short, and prefixes are extended by what combinations waste. Take a set's tokens in the order of
+class and hash. Of a prefix with c tokens of class k in a group, a partner without a common combination of that
+group lacks at least c - k + 1 of them; once these numbers sum to more than the tokens that a partner may lack,
+a partner shares a combination. Frequent tokens are dealt to groups, as many as the set's size class allows
+without wasting too many tokens, so a set gives combinations in proportion to its size.
+
+Equal sets collapse to one node first, and a first round links nodes to a few of their nearest neighbours: a
+large group of near copies becomes a component before tokens are counted, and the exact round draws pairs only
+between components. Parity bitmaps bound the difference of two sets from below, so most pairs that would fail
+are never drawn.
 """
 
 from __future__ import annotations
@@ -24,14 +29,10 @@ from docspark.operators.components import connected_components
 from . import kernel as K
 from .common import cut, join_small, shuffle_width
 
-#: Tokens in more than so many components count as frequent.
-FREQUENT = 32
-#: The most frequent tokens that are told apart, so that their table (16 bytes each) stays small.
-MOST_FREQUENT = 500_000
-#: Only tokens below this hash are counted: twice the share of a document that its prefix takes.
-COUNTED = np.uint64(int(0.3 * 2**64))
-#: Frequent tokens in a prefix up to which their pairs are indexed.
-MOST_PAIRED = 64
+#: Components beyond which a token leaves class 1, and class 2.
+CLASS_BOUNDS = (32, 1024)
+#: Frequent tokens (9 bytes each) up to which their table is broadcast; beyond it they reach the texts by a join.
+BROADCAST_TOKENS = 2_000_000
 GROUP = 512
 #: Bits of a set's parity bitmap, and of the one that sets of over ``WIDE_ABOVE`` tokens have.
 BITS, WIDE_BITS, WIDE_ABOVE = 512, 4096, 800
@@ -193,11 +194,10 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return texts.repartition(width, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
 
 
-def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens, sorted, and the binary logarithm of their counts over ``docs``.
+def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
+    """``token, kind``: tokens of more than ``CLASS_BOUNDS[0]`` of ``docs`` and their class.
 
-    Each task counts its own tokens and deals sorted runs to buckets; only tokens above the bound come back,
-    and the bound rises until at most ``MOST_FREQUENT`` are above it.
+    Each task counts its own tokens and deals sorted runs to buckets, where runs are added up.
     """
     buckets = 4 * shuffle_width(docs.sparkSession)
 
@@ -217,7 +217,7 @@ def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         parts, held = [], 0
         for batch in batches:
             for block in K.blocks(batch.column("text")):
-                parts += [s[s < COUNTED] for s in token_sets(block, k)]
+                parts += token_sets(block, k)
                 held += sum(map(len, parts[-len(block) :]))
                 if held > 1 << 22:
                     yield dealt(parts)
@@ -231,78 +231,125 @@ def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(tokens, kind="stable")
         tokens, counts = tokens[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        sums = np.add.reduceat(counts, first)
-        keep = sums > FREQUENT
-        return pd.DataFrame({"token": tokens[first][keep].view(np.int64), "n": sums[keep]})
+        kind = 1 + np.searchsorted(CLASS_BOUNDS, np.add.reduceat(counts, first))
+        return pd.DataFrame({"token": tokens[first][kind > 1].view(np.int64), "kind": kind[kind > 1].astype(np.int8)})
 
     runs = docs.mapInArrow(run, "bucket int, tokens binary, counts binary")
-    counted = cut(runs.groupBy("bucket").applyInPandas(total, "token long, n long"))
-    by_size = counted.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("tokens"))  # some hundred rows
-    bound, above = 0, 0
-    for row in sorted(by_size.collect(), reverse=True):
-        above += row.tokens
-        if above > MOST_FREQUENT:
-            bound = row.step + 1
-            break
-    kept = counted.filter(F.floor(F.log2("n") * 8) >= bound).toPandas()
-    tokens = kept["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.log2(kept["n"].to_numpy(np.float64))[order].astype(np.int8)
-
-
-def index_rows(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``key, comp, node, n, kind`` of every prefix token or pair of ``docs`` (``doc_id, comp, text``).
-
-    ``kind``: 0 a rare token or a pair; a frequent token alone is 1, or 2 from a prefix with too many of them for pairs.
+    return cut(runs.groupBy("bucket").applyInPandas(total, "token long, kind byte"))
+
+
+def with_frequent(docs: DataFrame, k: int, frequent: DataFrame) -> DataFrame:
+    """``docs`` with ``often``: its frequent tokens and their classes, joined by token (a text without any has null)."""
+
+    def tokens(batches):
+        for batch in batches:
+            for block in K.blocks(batch.column("text")):
+                sets = token_sets(block, k)
+                ids = batch.slice(block.row, len(block)).column("doc_id").take(pa.array(np.repeat(np.arange(len(block)), [len(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([ids, _longs(np.concatenate(sets))], ["id", "token"])
+
+    found = docs.select("doc_id", "text").mapInArrow(tokens, "id long, token long").join(frequent, "token")
+    found = cut(found.groupBy("id").agg(F.collect_set(F.struct("token", "kind")).alias("often")))  # at most a text's own tokens
+    return docs.join(found, docs["doc_id"] == found["id"], "left").drop("id")
+
+
+def levels(n: int, percent: int) -> list[tuple[int, int]]:
+    """Size classes (binary logarithms) in which a set of ``n`` is indexed, each with 1 if it is only a guest there.
+
+    Two sets that may link meet in the class of the smaller one, where the larger one is at most a guest.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def keys(s: np.ndarray, tokens: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-        n = len(s)
-        p = n - math.ceil(percent * n / 100) + 1
-        if len(tokens):
-            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-            rank = np.where(tokens[at] == s, size[at] + 2, (s >= COUNTED).astype(np.int8))
-            order = np.argsort(rank, kind="stable")  # s ascends, so ties stay in hash order
-            s, rank = s[order], rank[order]
-        else:
-            rank = (s >= COUNTED).astype(np.int8)
-        if rank[p - 1] < 2:
-            return [s[:p]], [0]
-        s, rank = s[: p + 1], rank[: p + 1]
-        often = np.sort(s[rank >= 2])
-        heavy = len(often) > MOST_PAIRED
-        out, kinds = [s[rank < 2], often], [0, 2 if heavy else 1]
-        if not heavy and len(often) > 1:
-            i, j = np.triu_indices(len(often), 1)
-            out.append(K.mix(often[i] * K._COMBINE[40] + often[j] * K._COMBINE[41]))
-            kinds.append(0)
-        return out, kinds
+    own = n.bit_length() - 1
+    return [(own, 0)] + ([(own - 1, 1)] if math.ceil(percent * n / 100) < 1 << own else [])
+
+
+def combinations(s: np.ndarray, kind: np.ndarray, need: int, level: int, percent: int) -> np.ndarray:
+    """Keys of the combinations of the shortest prefix of ``s`` (by class, then hash) that a partner can't miss.
+
+    ``s`` are the tokens of classes above 1, of which a partner may lack fewer than ``need``. In small size classes, where
+    groups would waste more tokens than there are to spare, the classes count as lower ones.
+    """
+    spare = math.ceil(percent * (1 << level) / 100) - 1
+    kind = np.minimum(kind, 1 if spare < 1 else 2 if spare < 3 else 3).astype(np.int64)
+    groups = np.array([1, 1, max(1, spare // 3), max(1, spare // 6)], np.uint64)
+    order = np.lexsort((s, kind))
+    s, kind = s[order], kind[order]
+    group = (K.mix(s + np.uint64(level + 1)) % groups[kind]).astype(np.int64) * 4 + kind
+    by_group = np.argsort(group, kind="stable")
+    first = np.searchsorted(group[by_group], group[by_group])
+    rank = np.empty(len(s), np.int64)
+    rank[by_group] = np.arange(len(s)) - first
+    p = int(np.searchsorted(np.cumsum(rank >= kind - 1), need)) + 1
+    by_group = by_group[by_group < p]
+    s, group, kind = s[by_group], group[by_group], kind[by_group]
+    size = np.bincount(group).max(initial=0) if len(group) else 0
+    weight, tag, out = K._COMBINE[40:43], K._COMBINE[44] * np.uint64(level + 1), []
+    one = np.flatnonzero(kind == 1)
+    out.append(K.mix(s[one] * weight[0] + tag))
+    for d in range(1, size):
+        i = np.flatnonzero((group[:-d] == group[d:]) & (kind[d:] == 2))
+        out.append(K.mix(s[i] * weight[0] + s[i + d] * weight[1] + tag))
+        for e in range(d + 1, size):
+            i = np.flatnonzero((group[:-e] == group[e:]) & (kind[e:] == 3))
+            out.append(K.mix(s[i] * weight[0] + s[i + d] * weight[1] + s[i + e] * weight[2] + tag))
+    return np.concatenate(out)
+
+
+def index_keys(s: np.ndarray, kind: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Keys of a set's prefix, and 1 with those by which it is a guest: rare tokens alone, others in combinations."""
+    n = len(s)
+    need = n - math.ceil(percent * n / 100) + 1
+    rare = np.sort(s[kind == 1])[:need]
+    out = [(rare, 0)]
+    if len(rare) < need:
+        often = kind > 1
+        out += [(combinations(s[often], kind[often], need - len(rare), level, percent), guest) for level, guest in levels(n, percent)]
+    return out
+
+
+def index_rows(docs: DataFrame, k: int, percent: int, frequent: DataFrame) -> DataFrame:
+    """``key, comp, node, n, guest`` of every prefix key of ``docs`` (``doc_id, comp, text``)."""
+    few = frequent.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    if few:
+        table = frequent.toPandas().sort_values("token", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
+        shared = docs.sparkSession.sparkContext.broadcast((table["token"].to_numpy(np.int64).view(np.uint64), table["kind"].to_numpy(np.int8)))
+    else:
+        docs = with_frequent(docs, k, frequent)
+
+    def classes(s, tokens, kinds):
+        if not len(tokens):
+            return np.ones(len(s), np.int8)
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        return np.where(tokens[at] == s, kinds[at], np.int8(1))
+
+    def own(row):
+        rows = sorted((x["token"] & (1 << 64) - 1, x["kind"]) for x in row or [])
+        return np.array([t for t, _ in rows], np.uint64), np.array([c for _, c in rows], np.int8)
 
     def run(batches):
-        tokens, size = shared.value
         for batch in batches:
             for block in K.blocks(batch.column("text")):
                 part = batch.slice(block.row, len(block))
                 node, comp = part.column("doc_id").to_numpy(), part.column("comp").to_numpy()
-                found, owner, kind, sizes = [], [], [], []
+                found, owner, guest, sizes = [], [], [], []
                 for i, s in enumerate(token_sets(block, k)):
-                    if len(s):
-                        got, kinds = keys(s, tokens, size)
-                        found += got
-                        owner += [i] * len(got)
-                        kind += kinds
-                        sizes += [len(s)] * len(got)
+                    if not len(s):
+                        continue
+                    tokens, kinds = shared.value if few else own(part.column("often")[i].as_py())
+                    for keys, visiting in index_keys(s, classes(s, tokens, kinds), percent):
+                        found.append(keys)
+                        owner.append(i)
+                        guest.append(visiting)
+                        sizes.append(len(s))
                 if not found:
                     continue
                 counts = np.array([len(x) for x in found])
                 owner = np.repeat(np.array(owner), counts)
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(np.concatenate(found)), _longs(comp[owner]), _longs(node[owner]), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.repeat(np.array(kind, np.int8), counts))],
-                    ["key", "comp", "node", "n", "kind"],
+                    [_longs(np.concatenate(found)), _longs(comp[owner]), _longs(node[owner]), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.repeat(np.array(guest, np.int8), counts))],
+                    ["key", "comp", "node", "n", "guest"],
                 )
 
-    return docs.mapInArrow(run, "key long, comp long, node long, n int, kind byte")
+    return docs.mapInArrow(run, "key long, comp long, node long, n int, guest byte")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -324,20 +371,20 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 def pairs_between(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of nodes of different components that share a key and may reach the threshold.
 
-    ``rows``: ``key, comp, node, n, kind, bits``. Sizes and bitmaps rule pairs out. In a long list only rows
+    ``rows``: ``key, comp, node, n, guest, bits``. Sizes and bitmaps rule pairs out. In a long list only rows
     outside its largest component are held against the others.
     """
 
-    def may(i, j, comp, n, kind, maps):
+    def may(i, j, comp, n, guest, maps):
         size = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-        use = size & (comp[i] != comp[j]) & ((kind[i] != 1) | (kind[j] != 1))
+        use = size & (comp[i] != comp[j]) & ((guest[i] == 0) | (guest[j] == 0))
         i, j = i[use], j[use]
         ok = may_link(maps.apart(i, j), n[i] + n[j], percent)
         return i[ok], j[ok]
 
     def run(batches):
         for batch in whole_lists(batches):
-            key, comp, node, kind = (batch.column(c).to_numpy() for c in ("key", "comp", "node", "kind"))
+            key, comp, node, guest = (batch.column(c).to_numpy() for c in ("key", "comp", "node", "guest"))
             n = batch.column("n").to_numpy().astype(np.int64)
             maps = Bitmaps(batch.column("bits"))
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -348,7 +395,7 @@ def pairs_between(rows: DataFrame, percent: int) -> DataFrame:
                 live = live[key[live] == key[live + d]]
                 if not len(live):
                     break
-                i, j = may(live, live + d, comp, n, kind, maps)
+                i, j = may(live, live + d, comp, n, guest, maps)
                 if len(i):
                     yield _pair_batch(node[i], node[j])
             for begin, size in zip(first[length > SHORT_LIST], length[length > SHORT_LIST], strict=True):
@@ -357,7 +404,7 @@ def pairs_between(rows: DataFrame, percent: int) -> DataFrame:
                 main = own == values[np.argmax(counts)]
                 for t in np.flatnonzero(~main):
                     others = begin + np.flatnonzero(main | (np.arange(size) > t))
-                    i, j = may(np.full(len(others), begin + t), others, comp, n, kind, maps)
+                    i, j = may(np.full(len(others), begin + t), others, comp, n, guest, maps)
                     if len(i):
                         yield _pair_batch(node[i], node[j])
 

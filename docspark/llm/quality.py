@@ -46,13 +46,15 @@ def _lines(block: K.Block, ws: np.ndarray, we: np.ndarray):
     first_word = np.searchsorted(ws, ls)
     words_in = np.searchsorted(ws, le) - first_word
     used = words_in > 0
-    lower = K.hashes(K.prefix(K.LOWER[block.data]), ws, we)
-    rank = np.zeros(len(ws), np.int64)
-    line_of_word = np.repeat(np.flatnonzero(used), words_in[used])
-    rank[:] = np.arange(len(ws)) - first_word[line_of_word] if len(ws) else 0
-    K.powers(int(rank.max(initial=0)) + 1)
-    weighted = np.concatenate([[np.uint64(0)], np.cumsum(lower * K.powers(0)[0][rank], dtype=np.uint64)])
-    return ls, le, lf, words_in, K.mix(weighted[first_word[used] + words_in[used]] - weighted[first_word[used]] + words_in[used].astype(np.uint64))
+    # Only words and one separator after each are left, so a line's bytes run from its first word to its last.
+    space = K.SPACE[block.data]
+    keep = ~space
+    keep[1:] |= keep[:-1]
+    place = np.concatenate([[0], np.cumsum(keep)])
+    left = K.LOWER[block.data[keep]]
+    left[space[keep]] = 0x20
+    first = first_word[used]
+    return ls, le, lf, words_in, K.hashes(K.prefix(left), place[ws[first]], place[we[first + words_in[used] - 1]])
 
 
 def _measure(block: K.Block) -> dict[str, np.ndarray]:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import cut
 
 
 def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -31,7 +32,7 @@ def length_histogram(lengths: DataFrame, block: int = 4096) -> DataFrame:
     blocks of lengths with the blocks' totals added, so no task holds all lengths. An empty corpus gives
     no rows; rows without a length are left out.
     """
-    histogram = lengths.filter("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    histogram = cut(lengths.filter("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
     histogram = histogram.withColumns({"part": F.floor(F.col("n_tokens") / block), "mass": F.col("n_docs") * F.col("n_tokens")})
     parts = histogram.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum("mass").alias("m"))
     later = Window.partitionBy(F.lit(0)).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row per 4,096 lengths

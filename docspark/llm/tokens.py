@@ -20,7 +20,7 @@ DEFAULT_FILE = "byte_bpe_50k.json"
 #: Code points with the White_Space property.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
-OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
+OTHER, LETTER, NUMBER, BLANK, UNKNOWN = 0, 1, 2, 3, 4
 #: A worker forgets its table beyond so many distinct pre-tokens, which bounds its memory.
 MOST_KNOWN = 1 << 20
 #: Pre-tokens that the library encodes in one call; its results weigh about a kilobyte each until they are read.
@@ -35,10 +35,14 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
+#: Code points that this Python doesn't know may be letters or digits in the library's newer tables.
+_CLASS = {**dict.fromkeys(("Lu", "Ll", "Lt", "Lm", "Lo"), LETTER), **dict.fromkeys(("Nd", "Nl", "No"), NUMBER), "Cn": UNKNOWN}
+
+
 def _class_table() -> np.ndarray:
     global _classes
     if _classes is None:
-        _classes = np.fromiter(({"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        _classes = np.fromiter((_CLASS.get(unicodedata.category(chr(c)), OTHER) for c in range(0x110000)), np.uint8, 0x110000)
         _classes[list(WHITE)] = BLANK
     return _classes
 
@@ -63,12 +67,18 @@ def _byte_classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, lead
 
 
-def pretokens(block: K.Block) -> np.ndarray:
-    """Start of every pre-token, in order; each ends where the next or the next text begins."""
+def pretokens(block: K.Block, added: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Start of every pre-token, in order; each ends where the next or the next text begins.
+
+    A text that holds one of ``added`` (tokens that the library looks for first) or a character of unknown
+    class stays in one piece, for the library to cut.
+    """
     data, n = block.data, len(block.data)
     if not n:
         return np.zeros(0, np.int64)
     kind, lead = _byte_classes(data)
+    raw = data.tobytes() if added else b""
+    whole = np.concatenate([np.flatnonzero(kind == UNKNOWN), *(_occurrences(raw, t) for t in added)])
     text_start = np.zeros(n + 1, bool)
     text_start[block.ptr] = True
     run = text_start[:n].copy()
@@ -98,9 +108,19 @@ def pretokens(block: K.Block) -> np.ndarray:
         start[quote + 1] = False
         rest = quote + 1 + size
         start[rest[rest < n]] = True
+    for d in np.unique(np.searchsorted(block.ptr, whole, "right") - 1):
+        start[block.ptr[d] + 1 : block.ptr[d + 1]] = False
     return np.flatnonzero(start)
 
 
+def _occurrences(raw: bytes, part: bytes) -> np.ndarray:
+    found, at = [], raw.find(part)
+    while at >= 0:
+        found.append(at)
+        at = raw.find(part, at + 1)
+    return np.array(found, np.int64)
+
+
 class Encoder:
     """Ids of texts under one tokenizer file; lives as long as its Python worker."""
 
@@ -108,7 +128,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.clear()
 
     def clear(self) -> None:
@@ -174,7 +194,7 @@ class Encoder:
         """The known pre-token of each pre-token of the block, and each text's first."""
         if self.known > MOST_KNOWN:
             self.clear()
-        starts = pretokens(block)
+        starts = pretokens(block, self.added)
         ends = np.append(starts[1:], len(block.data))
         h = K.hashes(K.prefix(block.data), starts, ends) | np.uint64(1)
         place = self._find(h)
