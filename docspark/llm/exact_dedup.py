@@ -12,65 +12,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_small, shuffle_width
 
 #: What normalisation deletes, as a Java pattern.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+def _pieces(docs: DataFrame, id_col: str, text_col: str, salts: int | None, columns: list[str]) -> DataFrame:
+    """``docs`` in content order: ``id, row, n_chars, text_sha256, place, size`` within each piece of equal contents, and ``columns``.
+
+    Only the text travels: the content is taken from it before and after the shuffle.
+    """
+    salts = salts or max(64, shuffle_width(docs.sparkSession))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    content = F.regexp_replace(text, WHITE_SPACE, "")
+    rows = docs.withColumns({"__id": F.col(id_col), "__row": F.monotonically_increasing_id(), "__sha": F.sha2(content, 256), "__lead": F.substring(content, 1, 24)})
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "__row"), F.lit(salts)))
+    rows = rows.repartitionByRange("__lead", "__sha", "__salt").withColumns({"__content": content, "__chars": F.length(text)})
+    ordered = Window.partitionBy("__lead", "__sha", "__salt", "__content").orderBy(F.desc("__chars"), "__id", "__row")
+    return rows.select(
+        F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__chars").cast("long").alias("n_chars"), F.col("__sha").alias("text_sha256"),
+        F.row_number().over(ordered).alias("place"),
+        F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size"),
+        F.struct(*columns).alias("__all"),
+    )
+
+
+def _keepers(heads: DataFrame) -> DataFrame:
+    """The row that stays of each content, among the heads of its pieces."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("longest"), F.col("id"), F.col("row")))
+    return heads.groupBy(F.col("text_sha256").alias("digest")).agg(best.alias("keeper"), F.sum("size").alias("group_size"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, n_chars``.
 
     Of texts equal without white space the one with most code points stays, then the smallest id (a
     null id is smallest). Null counts as empty. Rows equal in id and text are copies of each other:
     one of them stays. Other columns of ``docs`` are not read.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).select(
-        "doc_id",
-        F.length("text").alias("n_chars"),
-        F.regexp_replace("text", WHITE_SPACE, "").alias("content"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    rows = rows.select(
-        "*",
-        F.substring("content", 1, 24).alias("lead"),
-        F.sha2("content", 256).alias("text_sha256"),
-        F.pmod(F.xxhash64("doc_id", "row"), F.lit(salts)).alias("salt"),
-    ).repartitionByRange("lead", "text_sha256", "salt")
-    piece = Window.partitionBy("lead", "text_sha256", "salt", "content")
-    ordered = piece.orderBy(F.desc("n_chars"), "doc_id", "row")
-    sorted_rows = cut(
-        rows.select(
-            "doc_id", "row", "n_chars", "text_sha256",
-            F.row_number().over(ordered).alias("place"),
-            F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size"),
-        )
-    )
-    best = F.min(F.struct((-F.col("n_chars")).alias("longest"), F.col("doc_id"), F.col("row")))
-    groups = (
-        sorted_rows.filter("place = 1")
-        .groupBy(F.col("text_sha256").alias("digest"))
-        .agg(best.alias("keeper"), F.sum("size").alias("group_size"))
-    )
+    docs = docs.select(id_col, text_col)
+    sorted_rows = cut(_pieces(docs, id_col, text_col, salts, [F.lit(0).alias("none")]).drop("__all"))
+    groups = _keepers(sorted_rows.filter("place = 1"))
     return sorted_rows.join(groups, F.col("text_sha256") == F.col("digest")).select(
-        "doc_id",
-        F.col("keeper.doc_id").alias("keep_id"),
+        F.col("id").alias("doc_id"),
+        F.col("keeper.id").alias("keep_id"),
         "group_size",
         (F.col("row") == F.col("keeper.row")).alias("kept"),
         "text_sha256",
-        F.col("n_chars").cast("long").alias("n_chars"),
+        "n_chars",
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """``docs`` with all its columns, one row of each group of equal texts, as ``exact_duplicates`` decides."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"), F.col("n_chars").alias("__keep_chars")
-    )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__sha": F.sha2(F.regexp_replace(text, WHITE_SPACE, ""), 256), "__chars": F.length(text).cast("long")})
-    same = keyed[id_col].eqNullSafe(kept["__keep_id"]) & (keyed["__sha"] == kept["__keep_sha"]) & (keyed["__chars"] == kept["__keep_chars"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__sha"]).drop("__sha", "__chars")
+    heads = cut(_pieces(docs, id_col, text_col, salts, [F.col(c) for c in docs.columns]).filter("place = 1"))
+    keeper = _keepers(heads.drop("__all")).select("digest", F.col("keeper.row").alias("stays"))
+    kept = join_small(heads, cut(keeper), (F.col("text_sha256") == F.col("digest")) & (F.col("row") == F.col("stays")), "left_semi")
+    return kept.select(*(F.col("__all")[c].alias(c) for c in docs.columns))

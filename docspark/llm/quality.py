@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import cut
+from .common import cut, join_small
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -111,32 +111,32 @@ def quality_verdicts(
     host_col: str = "source",
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    line_min_docs: int = 100,
-    line_host_percent: int = 20,
+    line_min_docs: int = 8,
     min_left_percent: int = 30,
 ) -> DataFrame:
     """One row per input row: counts, ``base_failed``, ``removed_words`` and ``kept``.
 
     A line (its words in lower case) is boilerplate on a host when it stands in more than
-    ``line_min_docs`` and more than ``line_host_percent`` % of the host's documents; documents of equal
+    ``line_min_docs`` of the host's documents, however many it has; documents of equal
     text count once, so a group of copies cannot make its own lines boilerplate. A document is depleted,
     and not kept, when boilerplate lines hold so many of its words that under ``min_left_percent`` % are
     left. A null host is a host of its own; null or empty texts have no words and fail the base rule.
     ``row`` tells repeated rows apart; other columns are not read.
     """
-    profile, found = _found(docs, id_col, text_col, host_col, line_min_docs, line_host_percent)
+    profile, found = _found(docs, id_col, text_col, host_col, line_min_docs)
     return _verdicts(profile, found, min_words, max_repeat_percent, min_left_percent)
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_min_docs: int, line_host_percent: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_min_docs: int) -> tuple[DataFrame, DataFrame]:
     """The profile of every row, and the boilerplate lines in it."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), _host(host_col).alias("host"), F.col(text_col).alias("text"))
     profile = cut(rows.mapInArrow(_profile, PROFILE))
     entries = profile.select("row", "host", "content", F.explode(F.arrays_zip("line_hash", "line_words")).alias("e")).select("row", "host", "content", F.col("e.line_hash").alias("line"), F.col("e.line_words").alias("words"))
-    sizes = profile.select("host", "content").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_docs"))
-    common = entries.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_min_docs)
-    boilerplate = common.join(sizes, F.col("host") == F.col("h")).filter(F.col("n") * 100 > F.col("host_docs") * line_host_percent).select("host", "line")
-    return profile, entries.join(boilerplate, ["host", "line"])
+    distinct = entries.select("host", "line", "content").distinct()
+    boilerplate = distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_min_docs)
+    boilerplate = cut(boilerplate.select(F.col("host").alias("__bh"), F.col("line").alias("__bl")))
+    there = (F.col("host") == F.col("__bh")) & (F.col("line") == F.col("__bl"))
+    return profile, join_small(entries, boilerplate, there, "left_semi")
 
 
 def _host(host_col: str):
@@ -197,13 +197,13 @@ def _rebuilt(text_col: str, names: list[str]):
     return run
 
 
-def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_min_docs: int = 100, line_host_percent: int = 20, **limits) -> DataFrame:
+def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_min_docs: int = 8, **limits) -> DataFrame:
     """What ``keep_good`` keeps, with all its columns, and its texts without their host's boilerplate lines.
 
     The other lines, those without words among them, keep their order and bytes; a text without boilerplate is
     not touched. Only the text changes, not what other columns say of it.
     """
-    profile, found = _found(docs, id_col, text_col, host_col, line_min_docs, line_host_percent)
+    profile, found = _found(docs, id_col, text_col, host_col, line_min_docs)
     found = cut(found)
     kept = _verdicts(profile, found, **limits).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     gone = cut(found.groupBy(F.col("host").alias("__h"), F.col("content").alias("__c")).agg(F.collect_set("line").alias("__gone")))

@@ -15,7 +15,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "size", "source_size", F.round("target", 4).alias("target"), "copies", "taken")
+    return out.select("doc_id", "source", "size", "source_size", F.round("target", 4).alias("target"), F.round("rate", 6).alias("rate"), "copies", "taken")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,30 +64,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: Entropy balancing with one constraint a source has a closed form, rate = target / source_size.
-MIX_SQL = r"""
-x_docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
-), x_sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM x_docs GROUP BY 1
-), x_fill AS (
-  SELECT *, row_number() OVER r AS pos, source_size * 3 AS cap, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM x_sources WINDOW r AS (ORDER BY source_size * 3 / weight, source NULLS LAST)
-), x_targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * (SELECT arg_min(level, pos) FROM x_fill WHERE cap / weight > level), cap::DOUBLE)) AS target FROM x_fill
-), x_rates AS (
-  SELECT d.*, t.source_size, t.target, least(3.0, target / source_size) AS rate, ('0x' || left(md5(d.doc_id::VARCHAR), 13))::BIGINT / 4503599627370496.0 AS draw
-  FROM x_docs d JOIN x_targets t ON d.source IS NOT DISTINCT FROM t.source
-), x_whole AS (
-  SELECT *, floor(rate + 1e-9) AS whole, rate - floor(rate + 1e-9) AS fraction FROM x_rates
-), x_turns AS (
-  SELECT *, sum(whole * size) OVER (PARTITION BY source) AS given,
-         sum(CASE WHEN fraction > 1e-9 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY draw, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM x_whole
-), x_mix AS (
-  SELECT doc_id, source, size, source_size, target, (coalesce(whole, 0) + CASE WHEN fraction > 1e-9 AND size > 0 AND before + size / 2 <= target - given THEN 1 ELSE 0 END)::BIGINT AS copies FROM x_turns
-)
-"""
-
 _OP3 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -132,11 +108,8 @@ q_words AS (
   WHERE len(lw) > 0
 ), q_dup AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM q_lines GROUP BY 1
-), q_hosts AS (
-  SELECT host, count(DISTINCT text) AS docs FROM q_words GROUP BY 1
 ), q_boiler AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM q_lines GROUP BY 1, 2) JOIN q_hosts USING (host)
-  WHERE n > 100 AND n * 100 > docs * 20
+  SELECT host, norm FROM q_lines GROUP BY 1, 2 HAVING count(DISTINCT text) > 8
 ), q_removed AS (
   SELECT doc_id, sum(nw)::BIGINT AS n FROM q_lines JOIN q_boiler USING (host, norm) GROUP BY 1
 ), q_counts AS (
@@ -157,16 +130,16 @@ WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
 ), l AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-h0 AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good, string_split(host, '.') AS parts FROM p LEFT JOIN l USING (page_id) GROUP BY host),
-h1 AS (SELECT *, array_to_string(parts[greatest(1, len(parts) - 1):], '.') AS t2, array_to_string(parts[greatest(1, len(parts) - 2):], '.') AS t3, parts[len(parts)] AS t1 FROM h0),
-h AS (SELECT host, n, good, CASE WHEN t2 IN (TWO) THEN t2 ELSE t1 END AS suffix, CASE WHEN t2 IN (TWO) THEN t3 ELSE t2 END AS domain FROM h1),
+h0 AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS name FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+h1 AS (SELECT *, CASE WHEN regexp_matches(name, 'SECOND') THEN 2 ELSE 1 END AS k, string_split(name, '.') AS parts FROM h0),
+h AS (SELECT host, n, good, array_to_string(parts[greatest(1, len(parts) - k + 1):], '.') AS suffix, array_to_string(parts[greatest(1, len(parts) - k):], '.') AS domain FROM h1),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM h) AS m FROM h GROUP BY 1),
 s AS (SELECT suffix, (k * m + good) / (k + n) AS suffix_mean FROM s0, (SELECT STRENGTH AS k FROM s0 WHERE n > 0)),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(suffix_mean) AS m FROM h JOIN s USING (suffix) GROUP BY 1, 2),
 d AS (SELECT domain, suffix, (k * m + good) / (k + n) AS domain_mean FROM d0, (SELECT STRENGTH AS k FROM d0 WHERE n > 0)),
 g0 AS (SELECT host, n, good, domain_mean AS m FROM h JOIN d USING (domain, suffix)),
 g AS (SELECT host, (k * m + good) / (k + n) AS mean, k + n AS total FROM g0, (SELECT STRENGTH AS k FROM g0 WHERE n > 0)),
-v AS (SELECT page_id, host, path, mean, least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (total + 1))) AS upper,
+v AS (SELECT page_id, host, path, mean, greatest(0.0, mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1))) AS lower, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM h) AS top,
   CASE WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
@@ -174,15 +147,14 @@ v AS (SELECT page_id, host, path, mean, least(1.0, mean + 1.645 * sqrt(mean * (1
        WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
   FROM p JOIN g USING (host))
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
-       round(mean, 6) AS good_rate, round(upper, 6) AS upper_bound FROM v
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower < 0.8 * top THEN 'block' ELSE 'allow' END AS verdict,
+       round(mean, 6) AS good_rate, round(lower, 6) AS lower_bound FROM v
 """
 _STRENGTH = """CASE WHEN sum(n * m * (1 - m)) > sum(m * (1 - m)) THEN greatest(1.0, least(1000.0, 1 / greatest((sum(n * pow(good / n - m, 2)) - sum(m * (1 - m))) / (sum(n * m * (1 - m)) - sum(m * (1 - m))), 1e-6) - 1)) ELSE 1000.0 END"""
 
 ORACLES = {
-    "op2_mixing": f"WITH {MIX_SQL} SELECT doc_id, source, size, source_size, round(target, 4) AS target, copies, copies * size AS taken FROM x_mix",
     "op3_ngram_join": _OP3,
     "op4_exact_dedup": _OP4,
     "op5_quality": f"WITH {QUALITY_SQL} SELECT * FROM q_verdict",
-    "op8_url_filter": _OP8.replace("TWO", ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)).replace("STRENGTH", _STRENGTH),
+    "op8_url_filter": _OP8.replace("SECOND", url_reputation.TWO_LABELS).replace("STRENGTH", _STRENGTH),
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_small
+
 #: The rules of the query, as (verdict, host and path).
 RULES = (
     ("allow", "com/"),
@@ -14,8 +16,9 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
+#: Under a country code, these labels form a suffix under which names are registered, as in ``co.uk``.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "mil", "ne", "net", "or", "org", "sch")
+TWO_LABELS = rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,24 +67,28 @@ def judge_urls(
     rules=RULES,
     id_col: str = "page_id",
     url_col: str = "url",
-    min_good_rate: float = 0.5,
+    min_good_share: float = 0.8,
     z: float = 1.645,
 ) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict`` and the host's posterior mean and bound.
 
     ``outcomes`` has ``page_id, good`` (0/1; null counts as unlabelled, an id labelled twice counts once,
     bad if any label is). Good rates are shrunk from all pages to suffix, to registered domain, to host; a page
-    that no rule fits is blocked when even the upper posterior bound of its host's good rate is below
-    ``min_good_rate``. Hosts without labels have their domain's posterior.
+    that no rule fits stays only if its host is credibly good: it is blocked when the lower posterior bound of the
+    host's good rate is below ``min_good_share`` of the rate of all pages. Hosts without labels have their domain's
+    posterior, so they are blocked only where hosts differ much. Ports, user names and trailing dots belong to the host
+    but not to its domain; the empty host is a host. Repeated pages each have a row and count each; a null page id has no
+    label. An empty table gives no rows.
     """
     host, path = split_url(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     labels = outcomes.filter("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
     labelled = judged.join(labels, "page_id", "left")
-    hosts = labelled.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    labels_of = F.split("host", r"\.")
+    hosts = cut(labelled.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
+    name = F.rtrim(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), F.lit("."))
+    labels_of = F.split(name, r"\.")
     tail = lambda k: F.array_join(F.slice(labels_of, F.greatest(F.lit(1), F.size(labels_of) - (k - 1)), k), ".")
-    two = tail(2).isin(*TWO_LABEL_SUFFIXES)
+    two = name.rlike(TWO_LABELS)
     hosts = hosts.withColumns({"suffix": F.when(two, tail(2)).otherwise(tail(1)), "domain": F.when(two, tail(3)).otherwise(tail(2))})
     totals = hosts.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("top"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).crossJoin(F.broadcast(totals))
@@ -91,13 +98,14 @@ def judge_urls(
     hosts = _shrunk(hosts.join(domains, ["domain", "suffix"]), "host", F.col("domain_mean"))
     mean = F.col("host_alpha") / (F.col("host_alpha") + F.col("host_beta"))
     total = F.col("host_alpha") + F.col("host_beta")
-    hosts = hosts.select("host", mean.alias("good_rate"), F.least(F.lit(1.0), mean + z * F.sqrt(mean * (1 - mean) / (total + 1))).alias("upper_bound"))
+    lower = F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (total + 1)))
+    hosts = hosts.crossJoin(F.broadcast(totals)).select(F.col("host").alias("h"), mean.alias("good_rate"), lower.alias("lower_bound"), (lower < min_good_share * F.col("top")).alias("doubtful"))  # totals: one row
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_rule = F.lit(None).cast("string")
     for verdict, text in rules:
         by_rule = F.when(F.col("rule") == text, verdict).otherwise(by_rule)
     return (
-        judged.join(hosts, "host")
+        join_small(judged, cut(hosts), F.col("host") == F.col("h"))
         .withColumn("rule", rule)
-        .select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.when(F.col("upper_bound") < min_good_rate, "block").otherwise("allow")).alias("verdict"), F.round("good_rate", 6).alias("good_rate"), F.round("upper_bound", 6).alias("upper_bound"))
+        .select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.when(F.col("doubtful"), "block").otherwise("allow")).alias("verdict"), F.round("good_rate", 6).alias("good_rate"), F.round("lower_bound", 6).alias("lower_bound"))
     )

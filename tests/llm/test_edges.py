@@ -1,7 +1,6 @@
 """Nulls, empty and repeated rows, empty tables and clashing columns for the operators with SQL oracles."""
 
 import hashlib
-import math
 import re
 
 import pytest
@@ -28,7 +27,8 @@ def test_exact(docs):
 
 
 def test_quality(docs):
-    rows = {r.doc_id: r for r in quality.quality_verdicts(docs.filter("doc_id is not null")).collect()}
+    rows = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    assert rows[None].n_words == 2 and not rows[None].kept
     assert (rows[6].n_words, rows[6].n_repeat_words, rows[6].base_failed) == (300, 300, True)
     assert rows[7].kept and not rows[3].kept and rows[3].n_words == 0
     assert [r.doc_id for r in quality.keep_good(docs).collect()] == [7]
@@ -52,21 +52,26 @@ def test_mix(docs):
     assert mixing.mixed(docs).columns == docs.columns
 
 
-def test_two_margins(spark):
-    cells = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 30.0), ("b", "x", 20.0), ("b", "y", 40.0)], "s string, l string, mass double")
-    t = lambda rows: spark.createDataFrame(rows, "level string, target double")
-    rows = mixing.solve_dual(cells, {"s": t([("a", 60.0), ("b", 40.0)]), "l": t([("x", 45.0), ("y", 55.0)])}, rounds=8, tolerance=1e-6).collect()
-    mass = {(r.s, r.l): r.mass * math.exp(r.tilt) for r in rows}
-    assert mass["a", "x"] + mass["a", "y"] == pytest.approx(60, rel=1e-2) and mass["a", "x"] + mass["b", "x"] == pytest.approx(45, rel=1e-2)
-
-
 def test_urls(spark):
-    urls = ["http://A.example.com/en/x?q", "http://www.example.com/en/1", "https://x.net/es/9#a", "noscheme", None, "http://h.org", "ftp://b.co.uk:8/p"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 as n", "'z' as host")
-    rows = {r.page_id: r for r in url_reputation.judge_urls(pages, spark.createDataFrame([(5, 0), (6, None), (None, 1)], "page_id long, good int")).collect()}
-    assert [rows[i].rule for i in range(7)] == ["example.com/en/", "www.example.com/en/", "net/es/", None, None, None, None]
+    urls = ["http://A.example.com/en/x?q", "http://www.example.com/en/1", "https://x.net/es/9#a", "noscheme", None, "http://h.org", "ftp://b.co.uk:8/p", "http://me@b.co.uk./q"]
+    pages = spark.createDataFrame([*enumerate(urls), (5, "http://h.org"), (None, "http://h.org/n")], "page_id long, url string").selectExpr("*", "1 as n", "'z' as host", "'h' as h")
+    got = url_reputation.judge_urls(pages, spark.createDataFrame([(5, 0), (6, None), (None, 1)], "page_id long, good int")).collect()
+    rows = {r.page_id: r for r in got}
+    assert len(got) == 10 and sorted(str(r.page_id) for r in got if r.host == "h.org") == ["5", "5", "None"]
+    assert [rows[i].rule for i in range(8)] == ["example.com/en/", "www.example.com/en/", "net/es/", *[None] * 5]
     assert (rows[0].host, rows[0].path, rows[0].verdict) == ("a.example.com", "/en/x", "block") and rows[1].verdict == "allow"
     assert (rows[3].host, rows[3].path) == ("", "") == (rows[4].host, rows[4].path)
+    assert (rows[6].host, rows[7].host) == ("b.co.uk:8", "me@b.co.uk.") and rows[6].good_rate == rows[7].good_rate
+    assert url_reputation.judge_urls(pages.limit(0), spark.createDataFrame([], "page_id long, good int")).count() == 0
+
+
+def test_bad_hosts_are_blocked(spark):
+    """Many bad labels block a host, and its unlabelled sibling under the same domain more than one elsewhere."""
+    rows = [(i, f"http://{h}/p{i}", g) for i, (h, g) in enumerate([("bad.spam.org", 0)] * 40 + [("a.fine.org", 1)] * 60 + [("b.fine.org", 1)] * 60 + [("new.spam.org", None), ("new.fine.org", None)])]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    got = {r.host: r for r in url_reputation.judge_urls(pages, spark.createDataFrame([(i, g) for i, _, g in rows], "page_id long, good int")).collect()}
+    assert got["bad.spam.org"].verdict == "block" and got["a.fine.org"].verdict == got["b.fine.org"].verdict == "allow"
+    assert got["new.spam.org"].good_rate < got["new.fine.org"].good_rate
 
 
 def test_toxicity(spark):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from docspark.llm import suffix_dedup
@@ -10,7 +11,7 @@ from docspark.llm import suffix_dedup
 
 def brute(rows, length):
     seen, out = set(), []
-    for i, t in sorted(rows):
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0], hashlib.sha256((r[1] or "").encode()).hexdigest())):
         raw = (t or "").encode()
         gone = bytearray(len(raw))
         for p in range(len(raw) - length + 1):
@@ -39,8 +40,32 @@ def test_repeats(spark, monkeypatch, seed, hot):
             parts.append(r.choice([p, p[a:], p[: a + 100], p[a : a + 99], p[a : a + r.randint(90, 120)], "".join(word() for _ in range(20))]))
         rows.append((i * 13 % 71, "".join(parts)))
     rows += [(100, None), (101, ""), (102, rows[3][1]), (103, rows[3][1])]
+    rows += [(5, rows[7][1]), (5, passages[0] + "q"), (5, "z" + passages[0]), (5, "z" + passages[0]), (104, "y" * 250), (104, "y" * 250)]  # one id with several texts, repeated rows
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sorted(tuple(x) for x in got) == brute(rows, 100)
+    assert sorted(tuple(x) for x in got) == sorted(brute(rows, 100))
+
+
+def test_null_ids_and_extra_columns(spark):
+    """Null ids come last; repeated rows keep one copy; columns named like inner ones are not read."""
+    a = "".join(chr(97 + i % 26) + str(i) for i in range(60))
+    rows = [(None, a + "1"), (None, a + "1"), (7, a), (8, "k" * 99), (8, "k" * 99)]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, tie int, doc string, at int")
+    got = sorted((tuple(x) for x in suffix_dedup.remove_repeats(docs).collect()), key=str)
+    assert got == sorted(brute(rows, 100), key=str)
+
+
+def test_longest_previous_factor():
+    """Against the definition, with runs, periods and zero bytes."""
+    rng = np.random.default_rng(3)
+    for text in (b"abab" * 40, bytes(200), bytes(rng.integers(0, 2, 300).astype(np.uint8)), b"x" * 50 + b"y" + b"x" * 80):
+        n, wide = len(text), -(-len(text) // 8) * 8
+        rows = np.frombuffer(b"".join(text[i:].ljust(wide, b"\0") for i in range(n)), ">u8").reshape(n, -1).astype(np.uint64)
+        got = suffix_dedup.longest_previous(rows, n - np.arange(n), np.zeros(n, np.int64), np.arange(n))
+
+        def common(i, j):
+            return next((t for t in range(n - i) if text[i + t] != text[j + t]), n - i)
+
+        assert got.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(n)]
 
 
 def test_empty(spark):
