@@ -11,16 +11,6 @@ from docspark.plans.tables import CHUNKS, FILES, chunks, files
 from docspark.sources.files import read_table
 
 
-@query("x2_html_text")
-def x2(spark, sf):
-    return extraction.html_visible_text(read_table(spark, sf, "pages"))
-
-
-@query("x4_delimited")
-def x4(spark, sf):
-    return extraction.delimited_to_nodes(read_table(spark, sf, "documents"))
-
-
 _HEX = "length(regexp_replace({}, '[^0-9a-fA-F]', '', 'g'))"
 
 
