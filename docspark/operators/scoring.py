@@ -192,6 +192,7 @@ def log_privacy(log: DataFrame) -> DataFrame:
     # In JSON text a key is a string before a colon, at whatever depth; a backslash there is written twice.
     key = rf'(?i)"[^"\\]*(?:\\.[^"\\]*)*?(?:{"|".join(SENSITIVE)})[^"\\]*(?:\\.[^"\\]*)*"\s*:'
     value = r'"[^"\\]*(?:\\.[^"\\]*)*?[A-Za-z]:(?:\\\\|\\?/)[^"\\]*(?:\\.[^"\\]*)*"\s*(?:[,}\]]|$)|"\\\\\\\\[^"\\]*(?:\\.[^"\\]*)*"\s*(?:[,}\]]|$)'
-    parsed = F.try_parse_json("line")
-    bad = parsed.isNull() | F.col("line").rlike(key) | F.col("line").rlike(value)
+    # As the only item of an array, so that whatever follows a value makes the line unparsable.
+    alone = F.concat(F.lit("["), "line", F.lit("]"))
+    bad = F.try_parse_json(alone).isNull() | (F.coalesce(F.json_array_length(alone), F.lit(0)) != 1) | F.col("line").rlike(key) | F.col("line").rlike(value)
     return lines.agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("events"), F.count_if(bad).alias("violations"))
