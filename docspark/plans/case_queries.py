@@ -9,6 +9,7 @@ from docspark.plans.queries import query
 from docspark.plans.recall_queries import file_profiles
 from docspark.plans.tables import FILES, files
 from docspark.sources.files import read_table
+from docspark.streaming import progress
 
 METRICS = "recall mrr ndcg citation_coverage correctness refusal_accuracy unauthorized_rejection structured_rate relation_precision relation_recall type_accuracy parse_coverage embedding_coverage vector_coverage".split()
 
@@ -50,7 +51,7 @@ def q7(spark, sf):
     ))
 
 
-@query("q9_judge_cases", "WITH l AS (SELECT l_orderkey AS case_id, list(l_suppkey ORDER BY l_linenumber) AS returned FROM lineitem WHERE l_orderkey % 11 != 0 GROUP BY 1), c AS (SELECT o_orderkey AS case_id, ['SEARCH', 'ASK', 'FILE_RELATION', 'SMART_COLLECTION'][o_orderkey % 4 + 1] AS feature, e, CASE WHEN o_custkey % 3 = 0 THEN 'version' END AS et, o_custkey FROM orders JOIN (SELECT l_orderkey, list(DISTINCT l_suppkey) FILTER (l_linenumber % 3 != 2 OR l_linenumber = 7) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey), j AS (SELECT case_id, feature, e, coalesce(returned, []) AS r, et, returned IS NOT NULL AS seen, o_custkey % 2 = 0 AS g FROM c LEFT JOIN l USING (case_id)), m AS (SELECT *, list_min(list_filter([list_position(r, x) for x in e], lambda p: p > 0)) AS top, len(list_intersect(e, r)) AS b FROM j) SELECT case_id, feature, coalesce(CASE feature WHEN 'SEARCH' THEN top <= 5 WHEN 'ASK' THEN seen AND g AND b > 0 WHEN 'FILE_RELATION' THEN round(b / len(e), 6) = 1 AND et IS NOT DISTINCT FROM CASE WHEN seen THEN 'version' END ELSE round(b / len(e), 6) = 1 END, FALSE) AS passed, top, coalesce(round(b / len(e), 6), 0.0) AS recall, coalesce(round(b / nullif(len(r), 0), 6), 0.0) AS precision FROM m")
+@query("q9_judge_cases", "WITH l AS (SELECT l_orderkey AS case_id, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS returned FROM lineitem WHERE l_orderkey % 11 != 0 GROUP BY 1), c AS (SELECT o_orderkey AS case_id, ['SEARCH', 'ASK', 'FILE_RELATION', 'SMART_COLLECTION'][o_orderkey % 4 + 1] AS feature, e, CASE WHEN o_custkey % 3 = 0 THEN 'version' END AS et, o_custkey FROM orders JOIN (SELECT l_orderkey, list(DISTINCT l_suppkey) FILTER (l_linenumber % 3 != 2 OR l_linenumber = 7) AS e FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey), j AS (SELECT case_id, feature, e, coalesce(returned, []) AS r, et, returned IS NOT NULL AS seen, o_custkey % 2 = 0 AS g FROM c LEFT JOIN l USING (case_id)), m AS (SELECT *, list_min(list_filter([list_position(r, x) for x in e], lambda p: p > 0)) AS top, len(list_intersect(e, r)) AS b FROM j) SELECT case_id, feature, coalesce(CASE feature WHEN 'SEARCH' THEN top <= 5 WHEN 'ASK' THEN seen AND g AND b > 0 WHEN 'FILE_RELATION' THEN round(b / len(e), 6) = 1 AND et IS NOT DISTINCT FROM CASE WHEN seen THEN 'version' END ELSE round(b / len(e), 6) = 1 END, FALSE) AS passed, top, coalesce(round(b / len(e), 6), 0.0) AS recall, coalesce(round(b / nullif(len(r), 0), 6), 0.0) AS precision FROM m")
 def q9(spark, sf):
     li, k, c = read_table(spark, sf, "lineitem"), F.col("o_orderkey"), F.col("o_custkey")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"])  # seven an order at most
@@ -161,3 +162,23 @@ def v6(spark, sf):
 def h9(spark, sf):
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("query_id"), F.col("source").alias("query"), "text")
     return topics.rerank(d, lambda q, t: [-abs(len(x) - 500) / 100 for x in t]).drop("query", "text")
+
+
+_ASKS = ["ask_started", "node_started", "node_progress", "node_completed", "node_failed", "node_skipped", "answer_delta", "ask_completed"]
+_NODE = "event_type IN ('node_started', 'node_progress', 'node_completed', 'node_failed', 'node_skipped')"
+
+
+@query("t5_ask_progress", f"""WITH e AS (SELECT user_id AS op, event_id AS arrival, event_id - CASE WHEN event_id % 9 = 4 THEN 3000 ELSE 0 END AS seq, {_ASKS}[CASE WHEN event_id % 97 = 0 THEN 1 ELSE event_id % 53 % 7 + 2 END] AS event_type, 'n' || event_id % 4 AS node_id, event_type AS delta, CASE WHEN event_id % 5 = 0 THEN 'failed' END AS st FROM events),
+a AS (SELECT * FROM e QUALIFY seq > coalesce(max(seq) OVER (PARTITION BY op ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000)), s AS (SELECT * FROM a QUALIFY seq >= coalesce(max(CASE WHEN event_type = 'ask_started' THEN seq END) OVER (PARTITION BY op), -1000000)),
+n AS (SELECT op, node_id, arg_max(CASE event_type WHEN 'node_completed' THEN 'completed' WHEN 'node_failed' THEN 'failed' WHEN 'node_skipped' THEN 'skipped' ELSE 'running' END, seq) AS st, max(seq) FILTER (event_type = 'node_started') AS b, max(seq) FILTER (event_type IN ('node_completed', 'node_failed', 'node_skipped')) AS x FROM s WHERE {_NODE} GROUP BY 1, 2),
+p AS (SELECT op, count(*) FILTER (st != 'skipped') AS steps, string_agg(node_id || ':' || st, ',' ORDER BY node_id) AS nodes FROM n GROUP BY 1), l AS (SELECT op, node_id, b, x FROM n WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY op ORDER BY b DESC) = 1),
+w AS (SELECT op, max(seq) AS last_sequence, arg_max(coalesce(st, 'completed'), seq) FILTER (event_type = 'ask_completed') AS final, max(seq) FILTER (event_type = 'ask_completed') AS c, coalesce(string_agg(delta, '' ORDER BY seq) FILTER (event_type = 'answer_delta'), '') AS answer FROM s GROUP BY 1)
+SELECT w.op::VARCHAR AS operation_id, CASE WHEN c IS NOT NULL AND c > coalesce(b, -1000000) THEN final WHEN b IS NOT NULL THEN 'running' ELSE 'started' END AS status, coalesce(steps, 0) AS steps, CASE WHEN b > coalesce(x, -1000000) AND b > coalesce(c, -1000000) THEN node_id END AS active_node, answer, last_sequence, coalesce(nodes, '') AS nodes FROM w LEFT JOIN p USING (op) LEFT JOIN l USING (op)""")
+def t5(spark, sf):
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, _ASKS)), F.when(i % 97 == 0, 1).otherwise(i % 53 % 7 + 2).cast("int"))
+    e = read_table(spark, sf, "events").select(
+        F.col("user_id").alias("operation_id"), i.alias("arrival"), (i - F.when(i % 9 == 4, 3000).otherwise(0)).alias("sequence"), kind.alias("event_type"), F.concat(F.lit("n"), (i % 4).cast("string")).alias("node_id"),
+        F.lit(None).cast("long").alias("duration_ms"), F.col("event_type").alias("delta"), F.when(i % 5 == 0, "failed").alias("status"),
+    )
+    return progress.ask_progress(e)
