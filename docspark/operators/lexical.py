@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import normalize_terms
+from docspark.storage import cut
 
 
 def text_lines_to_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,14 +31,19 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return t.select("query_id", F.explode(F.when(F.size(long_ones) > 0, long_ones).otherwise(F.col("all"))).alias("term"))
 
 
-def bm25_search(terms: DataFrame, postings: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query_id, chunk_id, score, place``: the ``k`` best chunks of each query, score s / (1 + s), ties by id.
+def bm25_search(terms: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``query_id, chunk_id, score, place``: the ``k`` best chunks of each query (``query_id, term``), score s / (1 + s), ties by id.
 
-    Postings are cut to the queries' terms before anything else; document counts come from the postings.
+    Chunks are split into terms once. Each gives a row of its length, and rows of the terms that some query has; only those
+    are grouped, and written once for the three uses of them.
     """
-    sizes = postings.select("chunk_id", "chunk_len").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("chunk_len").alias("mean_len"))
-    wanted = terms.select("term").distinct()
-    hits = postings.join(wanted, "term", "left_semi")
+    t = chunks.select(F.col(id_col).alias("chunk_id"), normalize_terms(F.col(text_col)).alias("terms"))
+    rows = t.select("chunk_id", F.size("terms").cast("long").alias("chunk_len"), F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
+    wanted = terms.select("term").distinct().select(F.col("term").alias("w"))
+    rows = rows.join(wanted, F.col("term") == F.col("w"), "left").filter("w is not null or term is null")
+    hits = cut(rows.groupBy("term", "chunk_id", "chunk_len").agg(F.count(F.lit(1)).alias("tf")))
+    sizes = hits.filter("term is null and chunk_len > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("chunk_len").alias("mean_len"))
+    hits = hits.filter("term is not null")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(sizes))  # sizes: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

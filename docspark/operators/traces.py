@@ -18,7 +18,8 @@ def query_logs(log: DataFrame, equal: dict | None = None, page: int = 0, size: i
     """A page of log rows (``ts, record_id``, others), newest first, each with the ``total`` that the filter finds."""
     for name, value in (equal or {}).items():
         log = log.filter(F.col(name) == value)
-    return log.orderBy(F.desc("ts"), F.desc("record_id")).offset(page * size).limit(size).withColumn("total", F.lit(log.count()).cast("long"))
+    total = log.agg(F.count(F.lit(1)).alias("total"))
+    return log.orderBy(F.desc("ts"), F.desc("record_id")).offset(page * size).limit(size).crossJoin(F.broadcast(total))  # total: one row
 
 
 def ocr_routing(lines: DataFrame, threshold: float = 0.45) -> DataFrame:
@@ -48,7 +49,7 @@ def analyze_failures(results: DataFrame, categories: list[str], samples: int = 3
     """
     known = F.when(F.col("category").isin(categories), F.col("category")).otherwise(categories[-1])
     bad = results.filter("not passed").withColumns({"category": known, "salt": F.pmod(F.xxhash64("case_id"), F.lit(salts))})
-    total = results.count()
+    total = results.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("all"))
     n = bad.groupBy("category").agg(F.count(F.lit(1)).alias("failed"))
     said = bad.filter("diagnosis is not null").select("category", "salt", "case_id", "diagnosis")
     for keys in (["category", "salt"], ["category"]):
@@ -56,5 +57,5 @@ def analyze_failures(results: DataFrame, categories: list[str], samples: int = 3
         said = said.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= samples)
     said = said.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "diagnosis"))), lambda s: s["diagnosis"]), "; ").alias("diagnoses"))
     order = F.array_position(F.array(*map(F.lit, categories)), F.col("category"))
-    out = n.join(said, "category", "left").withColumn("rate", F.round(F.col("failed") * 100 / max(1, total), 6))
+    out = n.join(said, "category", "left").crossJoin(F.broadcast(total)).withColumn("rate", F.round(F.col("failed") * 100 / F.col("all"), 6))  # total: one row
     return out.withColumn("top", F.row_number().over(Window.orderBy(order)) <= 3).select("category", "failed", "rate", "diagnoses", "top")  # a row a category

@@ -36,37 +36,39 @@ def mean_vector(df: DataFrame, key: str, col: str) -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, part: int = 4096) -> DataFrame:
     """``query_id, id, score, place``: exact cosine neighbours, score (1 + cos) / 2, ties by id.
 
-    Queries (``query_id, vector``) go in blocks of ``block`` rows to every partition of ``vectors``
-    (``id, vector``), where one matrix product gives each batch's best ``k``; only those are shuffled.
+    Queries (``query_id, vector``) are dealt to blocks and vectors (``id, vector``) to parts; a task holds one block against one
+    part as a matrix product and keeps the ``k`` best of each query, so neither table goes through the driver or whole
+    to a task. Queries meet vectors of their own dimension; null vectors meet none.
     """
-    spark = queries.sparkSession
-    numbered = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(max(1, queries.count())) / block)).alias("b")).persist()
-    out = None
-    for b in [r.b for r in numbered.select("b").distinct().orderBy("b").collect()]:
-        part = numbered.filter(F.col("b") == b).select("query_id", "v").toArrow()  # about ``block`` rows
-        ids = part.column("query_id").to_numpy()
-        q = np.stack(part.column("v").to_pylist()).astype(np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def best(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                own = batch.column("id").to_numpy()
-                flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                v = flat.reshape(len(own), -1)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                score = np.round((1 + q @ v.T) / 2, 6)
-                top = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(own[top.reshape(-1)]), pa.array(score[rows, top.reshape(-1)])], ["query_id", "id", "score"])
-
-        got = vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(best, "query_id long, id long, score double")
-        out = got if out is None else out.union(got)
+    vector = F.col("vector").cast("array<double>")
+    good = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    q = queries.filter(good).select(F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), vector.alias("vector"), F.size("vector").alias("dim"))
+    v = vectors.filter(good).select(F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vector.alias("vector"), F.size("vector").alias("dim"))
+    counts = q.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).join(v.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")), "dim")  # a row for each dimension
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n)
+    q = q.join(F.broadcast(counts), "dim").select("dim", dealt("blocks").alias("b"), spread("parts").alias("p"), "asks", "id", "vector")
+    v = v.join(F.broadcast(counts), "dim").select("dim", spread("blocks").alias("b"), dealt("parts").alias("p"), "asks", "id", "vector")
+
+    def best(table: pa.Table) -> pa.Table:
+        def unit(asks: bool) -> tuple[np.ndarray, np.ndarray]:
+            own = table.filter(pa.array(table.column("asks").to_numpy() == asks))
+            x = own.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, table.column("dim")[0].as_py())
+            return own.column("id").to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+        (ids, x), (own, y) = unit(True), unit(False)
+        score = np.round((1 + x @ y.T) / 2, 6)
+        # All that may be among the best by score, then those by score and id.
+        rows, top = np.arange(len(ids)), np.empty((len(ids), min(k, len(own))), np.int64)
+        for i in rows:
+            near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k]) if k < len(own) else np.arange(len(own))
+            top[i] = near[np.lexsort((own[near], -score[i, near]))[:k]]
+        rows, top = np.repeat(rows, top.shape[1]), top.reshape(-1)
+        return pa.table({"query_id": ids[rows], "id": own[top], "score": score[rows, top]})
+
+    found = q.unionByName(v).groupBy("dim", "b", "p").applyInArrow(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -48,9 +48,9 @@ def l10(spark, sf):
     return names.name_search(read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text")), files(spark, sf))
 
 
-@query("k5_keyword_collections", f"WITH {CHUNKS}, w AS (SELECT DISTINCT doc_id AS file_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[:6]) AS keyword FROM documents), o AS (SELECT DISTINCT keyword, file_id FROM w JOIN chunks c USING (file_id) WHERE length(keyword) >= 3 AND NOT regexp_matches(keyword, '^[0-9]+$') AND contains(lower(c.text), keyword)) SELECT keyword, file_id, count(*) OVER (PARTITION BY keyword) AS members FROM o QUALIFY members >= 2")
+@query("k5_keyword_collections", f"WITH {CHUNKS}, w AS (SELECT DISTINCT doc_id AS file_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS keyword FROM documents), o AS (SELECT DISTINCT keyword, file_id FROM w JOIN chunks c USING (file_id) WHERE length(keyword) >= 3 AND NOT regexp_matches(keyword, '^[0-9]+$') AND contains(lower(c.text), keyword)) SELECT keyword, file_id, count(*) OVER (PARTITION BY keyword) AS members FROM o QUALIFY members >= 2")
 def k5(spark, sf):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), 1, 6)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0))
     return names.keyword_collections(read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), words.alias("keywords")), chunks(spark, sf))
 
 
@@ -102,10 +102,10 @@ def r8(spark, sf):
 STAGES = ["view", "click", "error", "purchase"]
 
 
-@query("o2_trace_view", f"WITH s AS (SELECT {STAGES} AS s) SELECT 'op' || user_id AS operation_id, row_number() OVER (PARTITION BY user_id ORDER BY list_position(s, event_type), ts, event_id) AS place, event_type AS node, event_id AS record_id FROM events, s WHERE list_contains(s, event_type) AND user_id % 2 = 0")
+@query("o2_trace_view", f"WITH s AS (SELECT {STAGES} AS s) SELECT 'op' || user_id AS operation_id, row_number() OVER (PARTITION BY user_id ORDER BY list_position(s, event_type), ts, event_id) AS place, event_type AS node, event_id AS record_id FROM events, s WHERE list_contains(s, event_type)")
 def o2(spark, sf):
     e = read_table(spark, sf, "events").select(F.col("user_id").alias("correlation_id"), F.col("event_type").alias("node"), "ts", F.col("event_id").alias("record_id"))
-    return traces.trace_view(e, e.select("correlation_id").distinct().filter("correlation_id % 2 = 0").withColumn("operation_id", F.concat(F.lit("op"), F.col("correlation_id").cast("string"))), STAGES)
+    return traces.trace_view(e, e.select("correlation_id").distinct().withColumn("operation_id", F.concat(F.lit("op"), F.col("correlation_id").cast("string"))), STAGES)
 
 
 @query("o3_query_logs", "SELECT event_id AS record_id, user_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 50")

@@ -55,9 +55,9 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     """``lineitem`` as ranked hits of four channels for a few hundred queries."""
     from pyspark.sql import Window
 
-    li = read_table(spark, sf, "lineitem").filter("l_linenumber <= 4")
-    reason = F.element_at(F.array(*map(F.lit, ("filename", "path", "semantic", "fulltext"))), F.col("l_linenumber"))
-    h = li.select((F.col("l_orderkey") % 500).alias("query_id"), F.col("l_linenumber").alias("channel"), (F.col("l_suppkey") % 40).alias("file_id"), F.col("l_partkey").alias("chunk_id"), reason.alias("reason"), F.round(F.col("l_discount") * 10, 6).alias("score"))
+    li, channel = read_table(spark, sf, "lineitem"), ((F.col("l_linenumber") - 1) % 4 + 1).cast("int")
+    reason = F.element_at(F.array(*map(F.lit, ("filename", "path", "semantic", "fulltext"))), channel)
+    h = li.select((F.col("l_orderkey") % 500).alias("query_id"), channel.alias("channel"), (F.col("l_suppkey") % 40).alias("file_id"), F.col("l_partkey").alias("chunk_id"), reason.alias("reason"), F.round(F.col("l_discount") * 10, 6).alias("score"))
     h = h.groupBy("query_id", "channel", "file_id", "chunk_id", "reason").agg(F.max("score").alias("score"))
     return h.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "file_id", "chunk_id")))
 
@@ -65,9 +65,9 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 HITS = """
 hits AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, file_id, chunk_id) AS place FROM (
-    SELECT l_orderkey % 500 AS query_id, l_linenumber AS channel, l_suppkey % 40 AS file_id, l_partkey AS chunk_id,
-           ['filename', 'path', 'semantic', 'fulltext'][l_linenumber] AS reason, max(round(l_discount * 10, 6)) AS score
-    FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)
+    SELECT l_orderkey % 500 AS query_id, ((l_linenumber - 1) % 4 + 1)::INT AS channel, l_suppkey % 40 AS file_id, l_partkey AS chunk_id,
+           ['filename', 'path', 'semantic', 'fulltext'][((l_linenumber - 1) % 4 + 1)::INT] AS reason, max(round(l_discount * 10, 6)) AS score
+    FROM lineitem GROUP BY ALL)
 )
 """
 

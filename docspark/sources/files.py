@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.operators.catalog import apply_exclusions
+
 
-def scan_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Files under ``root``; contents are not read."""
+def scan_inventory(spark: SparkSession, root: str, names: tuple = (), globs: tuple = (), extensions: tuple = ()) -> DataFrame:
+    """Files under ``root`` that no rule excludes (as in ``apply_exclusions``), with their path from there; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
     name = F.element_at(F.split("path", "/"), -1)
-    return f.select("path", name.alias("display_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), "size_bytes", "modified_at")
+    base = root.rstrip("/").rpartition(":")[2].lstrip("/")
+    relative = F.regexp_replace("path", "^[A-Za-z0-9+.-]*:?/*" + re.escape(base) + "/", "")
+    out = f.select("path", relative.alias("relative_path"), name.alias("display_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), "size_bytes", "modified_at")
+    return apply_exclusions(out.withColumn("canonical_path", F.col("relative_path")), list(names), list(globs), list(extensions)).drop("canonical_path")
 
 
 def read_eval_cases(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Cases and rejected lines of a JSONL file, or of one JSON array; blank and ``#`` lines are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"))
-    first = lines.filter("value != ''").select("value").head()
-    if first and first.value.startswith("["):
-        return spark.read.schema(schema).json(path, multiLine=True), lines.limit(0)
-    kept = lines.filter("value != '' and not startswith(value, '#')").withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    bad = F.try_parse_json("value").isNull() if hasattr(F, "try_parse_json") else F.get_json_object("value", "$").isNull()
-    return kept.filter(~bad).select("row.*"), kept.filter(bad).select("file", "value")
+    """Cases of JSONL files or of files with one JSON array, and rejected lines (``file, line_no, value``).
+
+    Each file is of the one kind or the other, by its first character. Blank and ``#`` lines are skipped; an array that doesn't
+    parse is rejected as line 1. A file of cases is read whole by one task.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    array = F.ltrim("value").startswith("[")
+    lines = whole.filter(~array).select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), F.trim("value").alias("value"))
+    lines = lines.filter("value != '' and not startswith(value, '#')")
+    bad = lambda: F.try_parse_json("value").isNull()
+    cases = lines.filter(~bad()).select(F.from_json("value", schema).alias("row")).select("row.*")
+    listed = whole.filter(array & ~bad()).select(F.explode(F.from_json("value", f"array<struct<{schema}>>" if not schema.startswith("struct") else f"array<{schema}>")).alias("row")).select("row.*")
+    rejected = lines.filter(bad()).unionByName(whole.filter(array & bad()).select("file", F.lit(1).alias("line_no"), "value"))
+    return cases.unionByName(listed), rejected
 
 
 def write_samples_jsonl(df: DataFrame, path: str) -> None:
@@ -37,9 +50,12 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def read_runtime_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a JSONL log; unparsable rows are dropped and levels normalised."""
+    """Events of a JSONL log; unparsable rows are dropped, levels normalised, and all other fields put in the map ``fields``."""
     schema = "timestamp string, level string, event string, session_id string, sequence long, correlation_id string"
-    rows = spark.read.text(path).filter(F.get_json_object("value", "$.event").isNotNull()).select(F.from_json("value", schema).alias("r")).select("r.*")
+    rows = spark.read.text(path).filter(F.get_json_object("value", "$.event").isNotNull())
+    known = [c.split(" ")[0] for c in schema.split(", ") if c.split(" ")[0] not in ("session_id", "sequence", "correlation_id")]
+    fields = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~k.isin(known) & v.isNotNull())
+    rows = rows.select(F.from_json("value", schema).alias("r"), fields.alias("fields")).select("r.*", "fields")
     level = F.lower("level")
     return rows.withColumn("level", F.when(level.isin("error", "fatal"), "error").when(level.startswith("warn"), "warning").when(level.isin("debug", "trace"), "debug").otherwise("info"))
 

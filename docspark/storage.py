@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_cleared: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a temporary one is used if the master is local, as in tests.
+
+    On a cluster a machine's own folder would be read by no other, so the setting is asked for.
+    """
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="spark-cut-")
         base = f"file://{_own_folder}"
     return base.rstrip("/")
 
 
+def _clear(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later steps then start from files that every executor can read: a lost executor costs no
-    recomputation, and two consumers of the result don't compute it twice.
+    recomputation, and two consumers of the result don't compute it twice. The files of an application are
+    removed when its driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/cut/{spark.sparkContext.applicationId}"
+    if folder not in _cleared:
+        _cleared.add(folder)
+        atexit.register(_clear, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
