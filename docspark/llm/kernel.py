@@ -2,7 +2,7 @@
 
 A column of texts is one byte buffer with offsets, so words, lines and shingles of thousands of
 documents are found with a few NumPy passes and no loop over documents or characters. Work goes in
-blocks of half a megabyte to stay in cache and to bound a task's memory.
+blocks of a quarter of a megabyte to stay in cache and to bound a task's memory.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _COMBINE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,7 +31,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes whose powers a worker keeps; longer texts are summed in runs of so many.
-RUN = BLOCK_BYTES + (1 << 18)
+RUN = BLOCK_BYTES + (1 << 16)
 _tables: list[tuple[np.ndarray, np.ndarray]] | None = None
 
 
@@ -55,7 +55,7 @@ def tables() -> list[tuple[np.ndarray, np.ndarray]]:
     """For each polynomial the powers 0..RUN of its base and of the inverse."""
     global _tables
     if _tables is None:
-        _tables = [(_powers(b, RUN + 1), _powers(pow(b, -1, PRIME), RUN + 1)) for b in _BASES]
+        _tables = [tuple(_powers(x, RUN + 1).astype(np.uint32) for x in (b, pow(b, -1, PRIME))) for b in _BASES]
     return _tables
 
 
@@ -96,6 +96,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         j = max(i + 1, int(np.searchsorted(ptr, ptr[i] + limit, "right")) - 1)
         yield Block(data[ptr[i] : ptr[j]], ptr[i : j + 1] - ptr[i], i)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def spans(inside: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

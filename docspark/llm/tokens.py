@@ -7,6 +7,7 @@ Prose repeats its words, so most of the work is a table lookup.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 
 OTHER, LETTER, NUMBER, BLANK, UNKNOWN = 0, 1, 2, 3, 4
 #: A worker forgets its table beyond so many distinct pre-tokens, which bounds its memory.
-MOST_KNOWN = 1 << 20
+MOST_KNOWN = 1 << 19
 #: Pre-tokens that the library encodes in one call; its results weigh about a kilobyte each until they are read.
 AT_ONCE = 4096
 
@@ -125,6 +126,7 @@ class Encoder:
     """Ids of texts under one tokenizer file; lives as long as its Python worker."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core; its threads would only cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

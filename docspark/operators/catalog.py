@@ -137,3 +137,78 @@ def head_mid_tail(chunks: DataFrame) -> DataFrame:
     mid = F.when(F.col("n") >= 3, F.floor(F.col("n") / 2)).otherwise(0)
     pick = lambda at: F.max(F.when(F.col("r") == at, F.col("ordinal")))
     return c.groupBy("file_id").agg(pick(F.lit(0)).alias("head"), pick(mid).alias("middle"), pick(F.col("n") - 1).alias("tail"))
+
+
+def file_page(files: DataFrame, name_contains: str = "", extensions=(), statuses=(), availability=(), after=None, page_size: int = 50) -> DataFrame:
+    """``query_files`` with ``total`` (all that the filters find) and ``next_after`` (the last id of the page if more follow, else null)."""
+    size = max(1, min(200, page_size))
+    if availability:
+        files = files.filter(F.col("availability").isin(list(availability)))
+    if name_contains:
+        files = files.filter(F.lower("display_name").contains(name_contains.lower()))
+    for column, values in (("extension", extensions), ("parse_status", statuses)):
+        if values:
+            files = files.filter(F.col(column).isin(list(values)))
+    later = F.col("file_id") > after if after is not None else F.lit(True)
+    counts = files.agg(F.count(F.lit(1)).alias("total"), F.count_if(later).alias("rest"))
+    page = files.filter(later).orderBy("file_id").limit(size)
+    last = page.agg(F.max("file_id").alias("last"))
+    both = counts.crossJoin(last).select("total", F.when(F.col("rest") > size, F.col("last")).alias("next_after"))  # one row each
+    return page.crossJoin(F.broadcast(both))
+
+
+def scope_files(files: DataFrame, members: DataFrame, collections=(), file_ids=(), **filters) -> DataFrame:
+    """``apply_scope`` with collections (``members``: ``collection_id, file_id``) and a list of files; an empty list doesn't restrict."""
+    out = apply_scope(files, **filters)
+    if collections:
+        out = out.join(members.filter(F.col("collection_id").isin(list(collections))).select("file_id"), "file_id", "left_semi")
+    return out.filter(F.col("file_id").isin(list(file_ids))) if file_ids else out
+
+
+def exclude_paths(files: DataFrame, rules: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Files neither at nor below the exact path of an enabled rule (``rule_id, path, enabled``); ``overrides`` (``rule_id, enabled``) come first."""
+    r = rules if overrides is None else rules.withColumnRenamed("enabled", "own").join(overrides, "rule_id", "left").withColumn("enabled", F.coalesce("enabled", "own"))
+    return drop_protected(files, r.filter("enabled").select("path"))
+
+
+def index_coverage(files: DataFrame, chunks: DataFrame, vectors: DataFrame, assets: DataFrame, active_key: str, parseable=()) -> DataFrame:
+    """One row: files discovered, excluded, parseable, parsed and failed; chunks; vectors of any and of the active key; assets that wait; and the
+    ratios of parsed to parseable files, and of chunks with a vector and with an active one (0 without a base)."""
+    can = F.col("extension").isin(list(parseable)) & ~F.coalesce("excluded", F.lit(False))
+    f = files.agg(F.count(F.lit(1)).alias("discovered"), F.count_if("excluded").alias("excluded"), F.count_if(can).alias("parseable"), F.count_if(can & (F.col("parse_status") == "parsed")).alias("parsed"), F.count_if(F.col("parse_status") == "failed").alias("failed"))
+    v = vectors.groupBy("chunk_id").agg(F.bool_or(F.col("key") == active_key).alias("active"))
+    c = chunks.join(v, "chunk_id", "left").agg(F.count(F.lit(1)).alias("chunks"), F.count("active").alias("embedded"), F.count_if("active").alias("active"))
+    a = assets.agg(F.count_if(F.col("status") == "pending").alias("pending_assets"))
+    ratio = lambda x, y: F.round(F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0), 6)
+    return f.crossJoin(c).crossJoin(a).select("*", ratio("parsed", "parseable").alias("parse_ratio"), ratio("embedded", "chunks").alias("embedding_ratio"), ratio("active", "chunks").alias("vector_ratio"))  # one row each
+
+
+def integrity_checks(files: DataFrame, chunks: DataFrame, vectors: DataFrame, jobs: DataFrame, active_key: str, now: str, stale: str = "15 minutes") -> DataFrame:
+    """One row: vectors without a chunk, vectors of another key than the active one, files without a root, jobs queued or running for over
+    ``stale``; and whether vectors, files and jobs pass."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    old = F.col("status").isin("queued", "running") & (F.col("updated_at") < F.lit(now).cast("timestamp") - F.expr(f"interval {stale}"))
+    out = one(vectors.join(chunks, "chunk_id", "left_anti"), "orphan_vectors").crossJoin(one(vectors.filter(F.col("key") != active_key), "other_keys")).crossJoin(one(files.filter("root_id is null"), "rootless_files")).crossJoin(one(jobs.filter(old), "stale_jobs"))
+    return out.select("*", ((F.col("orphan_vectors") == 0) & (F.col("other_keys") == 0)).alias("vectors_pass"), (F.col("rootless_files") == 0).alias("files_pass"), (F.col("stale_jobs") == 0).alias("jobs_pass"))
+
+
+def rebuild_progress(chunks: DataFrame, revisions: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """One row ``done, total``: chunks of current revisions (``file_id, revision_id``), and those of them with a vector of ``model``."""
+    current = chunks.join(revisions.select("file_id", "revision_id"), ["file_id", "revision_id"], "left_semi")
+    has = vectors.filter(F.col("model") == model).select("chunk_id", F.lit(1).alias("has")).distinct()
+    return current.join(has, "chunk_id", "left").agg(F.count("has").alias("done"), F.count(F.lit(1)).alias("total"))
+
+
+def processing_counts(files: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``kind, name, n``: files by parse status and by disposition, and attempts by operation, in one table."""
+    by = lambda df, kind, column: df.groupBy(F.lit(kind).alias("kind"), F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return by(files, "parse_status", "parse_status").union(by(files, "disposition", "disposition")).union(by(attempts, "attempts", "operation"))
+
+
+def session_page(messages: DataFrame, before=None, size: int = 50) -> DataFrame:
+    """``session_summaries`` with ``last_error``, newest session first (last time, then id); ``before`` is the last (time, id) seen."""
+    s = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("created_at", "turn"))).alias("last_error"))
+    if before is not None:
+        at, last = F.lit(before[0]).cast("timestamp"), F.lit(before[1])
+        s = s.filter((F.col("last_at") < at) | ((F.col("last_at") == at) & (F.col("session_id") > last)))
+    return s.orderBy(F.desc("last_at"), "session_id").limit(size)

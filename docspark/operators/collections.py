@@ -73,3 +73,12 @@ def suggestion_checks(suggestions: DataFrame, members: DataFrame, files: DataFra
     out = suggestions.join(g, "suggestion_id", "left").fillna(0, ["members"])
     valid = (F.trim("name") != "") & (F.col("members") >= 2) & F.col("known") & ~F.col("same")
     return out.select("suggestion_id", "members", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def member_listing(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``collection_id, place, file_id, display_name``: each collection's files by name (case aside), then id; members that are no files go."""
+    from pyspark.sql import Window
+
+    named = members.select("collection_id", "file_id").distinct().join(files.select("file_id", "display_name"), "file_id")
+    place = F.row_number().over(Window.partitionBy("collection_id").orderBy(F.lower("display_name"), "file_id"))
+    return named.select("collection_id", place.alias("place"), "file_id", "display_name")

@@ -96,3 +96,40 @@ def baseline_check(cases: DataFrame) -> DataFrame:
     """``case_id, passed``: an expected file was returned and no forbidden one; cases that need OCR are left out."""
     hit = F.arrays_overlap("expected", "returned") & ~F.arrays_overlap("forbidden", "returned")
     return cases.filter(~F.coalesce("requires_ocr", F.lit(False))).select("case_id", F.coalesce(hit, F.lit(False)).alias("passed"))
+
+
+def run_rates(results: DataFrame) -> DataFrame:
+    """One row of the twelve rates of a run's results, each over its own base (0 where that is empty), with cases, passes and mean time."""
+    c = F.col
+    rate = lambda hit, base: F.round(F.when(F.count_if(base) > 0, F.count_if(hit & base) / F.count_if(base)).otherwise(0.0), 6)
+    files = F.coalesce(F.arrays_overlap("expected_file_ids", "actual_file_ids"), F.lit(False))
+    top = lambda k: F.coalesce(F.arrays_overlap("expected_file_ids", F.slice("top_files", 1, k)), F.lit(False))
+    named = c("expected_file_ids").isNotNull()
+    wants, all_ = F.coalesce("expected_evidence", F.lit(False)), F.lit(True)
+    return results.agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passes"), F.coalesce(F.round(F.avg("latency_ms"), 4), F.lit(0.0)).alias("mean_ms"),
+        rate(c("actual_source").eqNullSafe(c("expected_source")), c("expected_source").isNotNull()).alias("source_accuracy"),
+        rate(c("actual_intent").eqNullSafe(c("expected_intent")), c("expected_intent").isNotNull()).alias("intent_accuracy"),
+        rate(top(1), named).alias("top1_accuracy"), rate(top(3), named).alias("top3_recall"),
+        rate(files, c("memory_used")).alias("memory_hits"), rate(~files, c("memory_used")).alias("memory_wrong"),
+        rate(c("clarified"), all_).alias("clarification_rate"), rate(files, c("clarified")).alias("clarification_success"),
+        rate(c("evidence_found"), wants).alias("evidence_recall"), rate(~c("evidence_found"), wants).alias("false_no_evidence"),
+        rate(c("grounded"), all_).alias("grounded_rate"), rate(c("supported_claims") == c("claims"), c("claims") > 0).alias("citation_pass_rate"),
+    )
+
+
+def feature_metrics(results: DataFrame) -> DataFrame:
+    """By feature (``feature, top, recall, precision, passed, latency_ms, source_ok, found, grounded``): the first one, three and five places, MRR, sources, evidence,
+    grounded answers, mean precision and recall, passes and nearest-rank p95; a rate without a base is 0."""
+    share = lambda x: F.round(F.count_if(x) / F.count(F.lit(1)), 6)
+    of = lambda x: F.round(F.when(F.count(x) > 0, F.count_if(x) / F.count(x)).otherwise(0.0), 6)
+    return results.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("cases"), share("passed").alias("pass_rate"), *(share(F.col("top") <= k).alias(f"top{k}") for k in (1, 3, 5)), F.round(F.avg(F.coalesce(1 / F.col("top"), F.lit(0.0))), 6).alias("mrr"),
+        of(F.col("source_ok")).alias("source_accuracy"), of(F.col("found")).alias("evidence_rate"), of(F.col("grounded")).alias("grounded_rate"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"),
+        F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95_ms"),
+    )
+
+
+def structured_rate(cases: DataFrame) -> DataFrame:
+    """One row: share of structured answers among those generated; 1 without any."""
+    return cases.agg(share(F.col("structured"), F.col("generated")).alias("structured_rate"))

@@ -90,3 +90,14 @@ def merge_sub_answers(claims: DataFrame) -> DataFrame:
     first = claims.groupBy("question_id", "text", "file_id").agg(F.min(F.struct("query_no", "rank")).alias("f"))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy("f.query_no", "f.rank", "text", "file_id"))
     return first.select("question_id", place.alias("place"), "text", "file_id")
+
+
+def answer_citations(claims: DataFrame, evidence: DataFrame, authorised: DataFrame, most: int = 12) -> DataFrame:
+    """Per answer: ``claims``, ``invalid`` ones as in ``validate_citations``, and whether the answer is valid: at most ``most`` claims, all of them valid."""
+    each = validate_citations(claims, evidence, authorised)
+    return each.groupBy("answer_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(~F.col("valid")).alias("invalid")).withColumn("valid", (F.col("claims") <= most) & (F.col("invalid") == 0))
+
+
+def stale_by_roots(memory: DataFrame, files: DataFrame, roots: DataFrame, collections: DataFrame) -> DataFrame:
+    """``stale_memory`` where a file must also lie in an authorised root (``root_id``)."""
+    return stale_memory(memory, files.join(roots.select("root_id").distinct(), "root_id", "left_semi"), collections)

@@ -178,3 +178,11 @@ def noise_flags(text: Column) -> tuple[Column, Column]:
     markup = F.lower(text).rlike(r"\\rtf|\\ansi|\\fonttbl") | (marks * 5 > size) | (F.regexp_count(text, F.lit(r"\\[A-Za-z]{2,}")) >= 3)
     opaque = F.exists(F.split(text, r"(?U)[\s=:,]"), lambda t: hexes(t) >= 48) | ((hexes(text) * 4 > size * 3) & (size >= 80))
     return markup, opaque
+
+
+def noise_summary(text: Column) -> Column:
+    """What to show in place of noise: its kind, characters and distinct words; null for a text that isn't noise."""
+    markup, opaque = noise_flags(text)
+    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)))
+    about = F.concat_ws(" ", F.length(text).cast("string"), F.lit("characters,"), words.cast("string"), F.lit("words"))
+    return F.when(markup, F.concat(F.lit("Markup control text: "), about)).when(opaque, F.concat(F.lit("Encoded data: "), about))

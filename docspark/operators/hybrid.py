@@ -60,3 +60,34 @@ def query_gate(candidates: DataFrame) -> DataFrame:
 def page_results(ranked: DataFrame, offset: int, size: int) -> DataFrame:
     """Rows ``offset`` + 1 to ``offset`` + ``size`` of every query's ranking."""
     return ranked.filter((F.col("place") > offset) & (F.col("place") <= offset + size))
+
+
+def sorted_files(candidates: DataFrame, sort: str, n: int) -> DataFrame:
+    """The best candidate of each file, the first ``n`` files of each query: by ``relevance`` (then newest), ``modified`` or ``name``; ties by id."""
+    orders = {"relevance": [F.desc("fused"), F.desc_nulls_last("modified_at")], "modified": [F.desc_nulls_last("modified_at")], "name": [F.asc_nulls_last(F.lower("display_name"))]}
+    one = Window.partitionBy("query_id", "file_id").orderBy(F.desc("fused"), "chunk_id")
+    best = candidates.withColumn("r", F.row_number().over(one)).filter("r = 1").drop("r")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*orders[sort], "file_id"))).filter(F.col("place") <= n)
+
+
+def ranking_digest(ranked: DataFrame) -> DataFrame:
+    """One row ``fingerprint``: a digest of a ranking (``query_id, item, place``) that doesn't hang on the order of its rows."""
+    return ranked.agg(F.sha2(F.coalesce(F.sum(F.xxhash64("query_id", "item", "place").cast("decimal(38,0)")), F.lit(0)).cast("string"), 256).substr(1, 16).alias("fingerprint"))
+
+
+def cursor_page(ranked: DataFrame, cursor: str | None, size: int, most: int = 100_000) -> DataFrame:
+    """A page of every query's ranking from a cursor ``v1:offset:fingerprint`` (None: the first), with the ``cursor`` of the next one.
+
+    A cursor of another form or beyond ``most`` is an error; one of another ranking gives no rows.
+    """
+    offset, digest = 0, None
+    if cursor is not None:
+        version, _, rest = cursor.partition(":")
+        number, _, digest = rest.partition(":")
+        if version != "v1" or not number.isdigit() or not digest or int(number) > most:
+            raise ValueError(f"not a cursor: {cursor}")
+        offset = int(number)
+    now = ranking_digest(ranked)
+    page = page_results(ranked, offset, size).crossJoin(F.broadcast(now))  # one row
+    page = page if digest is None else page.filter(F.col("fingerprint") == digest)
+    return page.withColumn("cursor", F.concat_ws(":", F.lit("v1"), F.lit(str(offset + size)), "fingerprint")).drop("fingerprint")

@@ -63,7 +63,7 @@ def scope_index_coverage(chunks: DataFrame, vectors: DataFrame, scope: DataFrame
     return per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count(F.lit(1)).alias("files"), ratio(F.sum("e"), F.sum("n")).alias("chunk_ratio"), ratio(F.count_if(F.col("e") > 0), F.count(F.lit(1))).alias("file_ratio"))
 
 
-def query_inbox(inbox: DataFrame, status: str = "all", event_types=(), roots=(), since=None, until=None, before=None, page_size: int = 50) -> DataFrame:
+def query_inbox(inbox: DataFrame, status: str = "all", event_types=(), roots=(), since=None, until=None, before=None, page_size: int = 50, limited: bool = True) -> DataFrame:
     """A page of inbox rows, newest id first; ``before`` is the last id seen."""
     if status == "error":
         inbox = inbox.filter(F.col("resolution").isin(*ERROR_RESOLUTIONS))
@@ -78,7 +78,7 @@ def query_inbox(inbox: DataFrame, status: str = "all", event_types=(), roots=(),
         inbox = inbox.filter(F.col("created_at") < F.lit(until).cast("timestamp"))
     if before is not None:
         inbox = inbox.filter(F.col("item_id") < before)
-    return inbox.orderBy(F.desc("item_id")).limit(max(1, min(200, page_size)))
+    return inbox.orderBy(F.desc("item_id")).limit(max(1, min(200, page_size))) if limited else inbox
 
 
 def attempt_stats(attempts: DataFrame) -> DataFrame:
@@ -124,3 +124,55 @@ def job_transition_violations(history: DataFrame, steps: dict[str, list[str]] =
     step = F.col("before").isNotNull() & (F.col("before") != F.col("status")) & ~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("before")), F.col("status")), F.lit(False))
     problems = F.array_compact(F.array(F.when(step, "transition"), F.when(~F.col("progress").between(0, 1), "progress"), F.when(F.col("processed") > F.col("total"), "counts")))
     return h.select("job_id", "seq", F.explode(problems).alias("problem"))
+
+
+def inbox_page(inbox: DataFrame, page_size: int = 50, before=None, **filters) -> DataFrame:
+    """``query_inbox`` with the ``total`` that the filters find on all pages."""
+    total = query_inbox(inbox, page_size=page_size, limited=False, **filters).agg(F.count(F.lit(1)).alias("total"))
+    return query_inbox(inbox, page_size=page_size, before=before, **filters).crossJoin(F.broadcast(total))  # total: one row
+
+
+def parse_sums(results: DataFrame) -> DataFrame:
+    """``parse_status_rollup`` with sums of pages and of pages read by OCR (null counts as 0)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return results.groupBy("outcome", "format").agg(F.count(F.lit(1)).alias("files"), total("pages"), total("nodes"), total("characters"), total("ocr_pages"))
+
+
+def engine_stats(attempts: DataFrame, assets: DataFrame) -> DataFrame:
+    """``kind, operation, engine, status, n, elapsed_ms, retryable``: attempts by operation, engine and status, and assets by status."""
+    a = attempts.groupBy(F.lit("attempt").alias("kind"), "operation", "engine", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("elapsed_ms"), 2).alias("elapsed_ms"), F.count_if("retryable").alias("retryable"))
+    none = F.lit(None).cast("string")
+    s = assets.groupBy(F.lit("asset").alias("kind"), none.alias("operation"), none.alias("engine"), "status").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("elapsed_ms"), F.lit(None).cast("long").alias("retryable"))
+    return a.unionByName(s)
+
+
+def activity_with_ocr(files: DataFrame, chunks: DataFrame, vectors: DataFrame, pages: DataFrame) -> DataFrame:
+    """``activity_stats`` with the pages that OCR has read (``file_id, page, engine``; a page counts once)."""
+    ocr = pages.filter("engine is not null").select("file_id", "page").distinct().agg(F.count(F.lit(1)).alias("ocr_pages"))
+    return activity_stats(files, chunks, vectors).crossJoin(ocr)  # one row each
+
+
+def apply_renames(catalog: DataFrame, events: DataFrame) -> DataFrame:
+    """``apply_events`` after renames (``previous_path`` not null) have moved catalogue rows to their new paths.
+
+    The last rename from a path moves its row; a move onto a known path takes that row's place. A rename no later than its row's
+    ``last_ts`` does nothing, so applying events twice changes nothing.
+    """
+    last = events.filter("event_type = 'renamed' and previous_path is not null").groupBy("root_id", F.col("previous_path").alias("from")).agg(F.max(F.struct("ts", "event_id", "path")).alias("e"))
+    moves = last.select(F.col("root_id").alias("moved_root"), "from", F.col("e.path").alias("to"), F.col("e.ts").alias("moved_at"))
+    m = catalog.join(moves, (F.col("root_id") == F.col("moved_root")) & (F.col("path") == F.col("from")) & (F.col("last_ts").isNull() | (F.col("moved_at") > F.col("last_ts"))), "left")
+    moved = m.select("root_id", F.coalesce("to", "path").alias("path"), "availability", F.greatest("last_ts", "moved_at").alias("last_ts"), F.col("to").isNotNull().alias("came"))
+    first = F.row_number().over(Window.partitionBy("root_id", "path").orderBy(F.desc("came"), F.desc_nulls_last("last_ts")))
+    placed = moved.withColumn("r", first).filter("r = 1").drop("r", "came")
+    return apply_events(placed, events)
+
+
+#: The allowed changes of a job's degradation level.
+LEVEL_STEPS = {"none": ["reduced", "minimal"], "reduced": ["none", "minimal"], "minimal": ["reduced"]}
+
+
+def level_violations(history: DataFrame, steps: dict[str, list[str]] = LEVEL_STEPS) -> DataFrame:
+    """``job_id, seq, problem`` of a history of degradation levels (``job_id, seq, level``): an unknown level or a change that isn't allowed."""
+    h = history.select("job_id", "seq", F.col("level").alias("status"), F.lit(0.0).alias("progress"), F.lit(0).alias("processed"), F.lit(0).alias("total"))
+    wrong = h.filter(~F.coalesce(F.col("status").isin(list(steps)), F.lit(False))).select("job_id", "seq", F.lit("unknown level").alias("problem"))
+    return job_transition_violations(h, steps).union(wrong)

@@ -48,3 +48,9 @@ def type_prototype_scores(vectors: DataFrame, prototypes: DataFrame, least: floa
 def semantic_recall(questions: DataFrame, vectors: DataFrame, least: float = 0.24, k: int = 40) -> DataFrame:
     """The ``k`` nearest vectors of each question with a cosine of ``least`` or more."""
     return vector_topk(questions, vectors, k).filter(F.col("score") >= (1 + least) / 2)
+
+
+def profile_counts(profiles: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: files ``profiled`` (a fresh profile), ``stale`` (to be built again) and profiles ``skipped`` whose file is gone."""
+    judged = stale_profiles(profiles, files).agg(F.count_if(~F.col("stale")).alias("profiled"), F.count_if("stale").alias("stale"))
+    return judged.crossJoin(profiles.join(files, "file_id", "left_anti").agg(F.count(F.lit(1)).alias("skipped")))  # one row each

@@ -59,3 +59,15 @@ def analyze_failures(results: DataFrame, categories: list[str], samples: int = 3
     order = F.array_position(F.array(*map(F.lit, categories)), F.col("category"))
     out = n.join(said, "category", "left").crossJoin(F.broadcast(total)).withColumn("rate", F.round(F.col("failed") * 100 / F.col("all"), 6))  # total: one row
     return out.withColumn("top", F.row_number().over(Window.orderBy(order)) <= 3).select("category", "failed", "rate", "diagnoses", "top")  # a row a category
+
+
+def query_traces(nodes: DataFrame, operations: DataFrame, flow: str | None = None, node: str | None = None, feature: str | None = None, page: int = 0, size: int = 50) -> DataFrame:
+    """A page of operations (``operation_id, correlation_id, flow, feature, ts``), newest first, that have the flow, the feature and a record of the node; with ``total``."""
+    found = operations
+    for column, value in (("flow", flow), ("feature", feature)):
+        if value is not None:
+            found = found.filter(F.col(column) == value)
+    if node is not None:
+        found = found.join(nodes.filter(F.col("node") == node).select("correlation_id"), "correlation_id", "left_semi")
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy(F.desc("ts"), F.desc("operation_id")).offset(page * size).limit(size).crossJoin(F.broadcast(total))  # total: one row

@@ -72,3 +72,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 102
     found = q.unionByName(v).groupBy("dim", "b", "p").applyInArrow(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def vector_summary(df: DataFrame, id_col: str, col: str, dimension: int) -> DataFrame:
+    """One row: ``rows``, ``dimensions`` (different sizes), ``rejected`` rows as in ``validate_vectors``, and whether none is."""
+    bad = validate_vectors(df, id_col, col, dimension).agg(F.count(F.lit(1)).alias("rejected"))
+    out = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.size(col)).alias("dimensions")).crossJoin(bad)  # one row each
+    return out.withColumn("passed", F.col("rejected") == 0)
