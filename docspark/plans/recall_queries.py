@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.operators import answers, extraction, memory, profiles, recall
+from docspark.operators import questions as questions_ops
 from docspark.operators.names import STOP_WORDS, query_entities
 from docspark.plans.queries import query
 from docspark.plans.tables import CHUNKS, FILES, chunks, files
@@ -247,3 +248,27 @@ def e22(spark, sf):
     r = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("relation_id"), F.lit("supplies").alias("predicate"), F.lit("collection").alias("object_type"), (F.col("s_nationkey") % 7).alias("object_id"), F.lit("confirmed").alias("status"), F.col("s_suppkey").alias("updated_at"))
     named = read_table(spark, sf, "nation").select(F.lit("entity").alias("type"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).union(read_table(spark, sf, "region").select(F.lit("collection"), "r_regionkey", "r_name"))
     return memory.memory_summaries(a, r, named)
+
+
+@query("e19_query_variants", "SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'A项目b' || t || '|a项目b' || lower(t) ELSE 'ab12' || t || CASE WHEN lower(t) != t THEN '|ab12' || lower(t) ELSE '' END END AS variants FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)")
+def e19(spark, sf):
+    folded = F.trim(F.regexp_replace("text", r"\s+", " "))
+    text = F.concat(F.when(F.col("turn") % 2 == 1, "A 项目 b").otherwise("ａb１2"), folded)
+    return read_table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(questions_ops.query_variants(text), "|").alias("variants"))
+
+
+@query("e20_query_tags", "SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'locate' ELSE 'exists,list' END AS intents, CASE WHEN item_id % 2 = 0 THEN '我的' END AS personal, CASE WHEN item_id % 2 = 0 THEN 'contract' END AS document_type, item_id % 2 = 0 AS own FROM benchmark")
+def e20(spark, sf):
+    b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("我的合同在哪 "), "text")).otherwise(F.concat(F.lit("是否有没有 哪些 "), "text")).alias("text"))
+    return questions_ops.query_tags(b).select("question_id", "intents", "personal", "document_type", F.array_contains("tokens", "合同").alias("own"))
+
+
+@query("e11_align_items", f"WITH {CHUNKS}, i AS (SELECT item_id, replace(replace(text, ' ', ''), chr(10), '') AS a FROM benchmark), c AS (SELECT chunk_id, regexp_replace(text, '\\s+', '', 'g') AS b FROM chunks), r AS (SELECT DISTINCT item_id, substr(a, n, 6) AS run FROM (SELECT item_id, a, unnest(range(1, length(a) - 4)) AS n FROM i)), s AS (SELECT DISTINCT chunk_id, substr(b, n, 6) AS run FROM (SELECT chunk_id, b, unnest(range(1, length(b) - 4)) AS n FROM c)), p AS (SELECT DISTINCT item_id FROM r JOIN s USING (run)) SELECT item_id FROM p")
+def e11(spark, sf):
+    return questions_ops.align_items(read_table(spark, sf, "benchmark").select("item_id", "text"), chunks(spark, sf)).select("item_id")
+
+
+@query("q14_ask_cases", rf"WITH {_PROFILES}, a AS (SELECT file_id, title AS t, keywords, stem FROM prof), o AS (SELECT file_id, unnest(['doc-qa', 'doc-summary', 'boolean']) AS kind, unnest([t, t, regexp_extract((SELECT text FROM files f WHERE f.file_id = a.file_id), '[A-Za-z]{{10,}}')]) AS subject FROM a), n AS (SELECT file_id AS l, t AS lt, lead(file_id) OVER (ORDER BY file_id) AS r, lead(t) OVER (ORDER BY file_id) AS rt FROM a) SELECT 'ask-' || kind || '-' || file_id AS case_id, kind, file_id::VARCHAR AS file_ids, subject FROM o WHERE subject != '' UNION ALL SELECT 'ask-compare-' || l || '-' || r, 'compare', l || ',' || r, lt || ' | ' || rt FROM n WHERE r IS NOT NULL")
+def q14(spark, sf):
+    p = file_profiles(spark, sf).withColumn("text", F.col("summary"))
+    return questions_ops.ask_cases(p, bucket=64).withColumn("file_ids", F.array_join("file_ids", ","))
