@@ -47,8 +47,8 @@ def ask_progress(events: DataFrame) -> DataFrame:
     )
 
 
-def ask_progress_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """``ask_progress`` over a stream: a row whenever an operation's events arrive, from state that is dropped after ``idle`` without any."""
+def ask_progress_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+    """``ask_progress`` over a stream: a row whenever an operation's events arrive, from state that is dropped after ``idle_ms`` without any."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,7 +74,7 @@ def ask_progress_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
             if kind == "answer_delta" and isinstance(e.delta, str):
                 answer += e.delta
         state.update((int(last), status, active, answer, json.dumps(nodes)))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         told = ",".join(sorted(f"{n}:{s}" for n, s in nodes.items()))
         yield pd.DataFrame([{"operation_id": str(key[0]), "status": status, "steps": sum(s != "skipped" for s in nodes.values()), "active_node": active, "answer": answer, "last_sequence": int(last), "nodes": told}])
 
