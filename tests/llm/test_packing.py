@@ -1,15 +1,17 @@
 """Packing: ids round trip, sequences are gapless and few."""
 
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docspark.llm import packing, token_counts, tokens
+from docspark.llm import kernel, packing, token_counts, tokens
 
-TEXTS = ["", None, "one two three", "a" * 900, "word " * 700, "the cat's hat\n\n  x", *(f"text number {i} " * (i % 37) for i in range(300))]
+TEXTS = ["", None, "one two three", "a" * 900, "word " * 700, "the cat's hat\n\n  x", *(f"text number {i} " * (i % 37) for i in range(300)), "a <|endoftext|> b", "élève 语言 😀 \u0378 \U00016d40's", "long " * 90_000, "same", "same"]
 
 
 @pytest.fixture(scope="module")
@@ -53,14 +55,44 @@ def test_pack_empty(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_configurations_use_all():
-    counts = {900: 3, 500: 7, 124: 5, 70: 11}
-    got = {}
-    for sizes, n in packing.configurations(counts, 1024):
-        assert sum(sizes) <= 1024
-        for s in sizes:
-            got[s] = got.get(s, 0) + n
-    assert got == counts
+@pytest.mark.parametrize("counts", [{900: 3, 500: 7, 124: 5, 70: 11}, {}, {1024: 9}, {s: 40 + s % 7 for s in range(200, 1000, 9)}])
+def test_configurations_use_all(counts):
+    uses = {}
+    for choose in (packing.configurations, packing.optimal_configurations):
+        got = {}
+        for sizes, n in choose(counts, 1024):
+            assert sum(sizes) <= 1024
+            uses[choose] = uses.get(choose, 0) + n
+            for s in sizes:
+                got[s] = got.get(s, 0) + n
+        assert got == counts
+    if len(counts) > 5:
+        assert uses[packing.optimal_configurations] <= uses[packing.configurations]
+
+
+def test_fullest_configuration():
+    """The knapsack against all configurations."""
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sizes = sorted({int(x) for x in rng.integers(5, 40, 4)}, reverse=True)
+        values = rng.random(len(sizes))
+        best = max(float(np.dot(c, values)) for c in np.ndindex(*(60 // s + 1 for s in sizes)) if np.dot(c, sizes) <= 60)
+        got = packing._fullest(values, sizes, 60)
+        assert np.dot(got, sizes) <= 60 and np.dot(got, values) == pytest.approx(best)
+
+
+def test_ids_are_the_tokenizers():
+    """Some thousand texts mixed from words, spaces, added tokens and characters of all planes."""
+    r = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "a", "word", "It's", "'ll", "'", "é", "中文", "12", "٣", "<|endoftext|>", "<|endo", "\U00016d40", "\U0001ccf0", "\u3000", "\xa0", "😀", "!", "\u200b", "\u0378", "x́", "'S", "\r\n", "Ⅷ", "½"]
+    any_ = lambda: chr(r.choice([r.randrange(32, 0x3000), r.randrange(0x3000, 0xD800), r.randrange(0xE000, 0x110000)]))
+    texts = ["".join(r.choice(parts) if r.random() < 0.8 else any_() for _ in range(r.randrange(14))) for _ in range(4000)]
+    library, encoder = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path())
+    for block in kernel.blocks(pa.array(texts), 3000):
+        ids, ptr = encoder.encode(block)
+        assert encoder.counts(block).tolist() == np.diff(ptr).tolist()
+        for i in range(len(block)):
+            assert ids[ptr[i] : ptr[i + 1]].tolist() == library.encode(texts[block.row + i], add_special_tokens=False).ids
 
 
 def test_histogram(docs):
