@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.storage import cut
 
-__all__ = ["WORD", "cut", "join_small", "read", "shuffle_width"]
+__all__ = ["WORD", "cut", "in_blocks", "join_small", "read", "shuffle_width"]
 
 #: Java and RE2 pattern of a word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,3 +31,24 @@ def join_small(wide: DataFrame, narrow: DataFrame, on, how: str = "inner") -> Da
     """
     few = narrow.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return wide.join(F.broadcast(narrow) if few else narrow, on, how)
+
+
+def in_blocks(rows: DataFrame, order: list[str], limit: int, run, schema: str) -> DataFrame:
+    """``run`` (Arrow batches to batches of ``schema``) over ``rows`` dealt by ``key, x, y``, so that any two rows of a key meet.
+
+    A key's rows, in ``order``, are cut into blocks of ``limit``; a row of block k goes to (k, j) or (j, k) for every block j, the
+    smaller number first, and ``own`` is its block. So a task holds at most two blocks of a key. A key of one block has (0, 0)
+    alone, and its rows stay where the first shuffle brought them. Rows come sorted by these columns and ``order``.
+    """
+    key = Window.partitionBy("key").orderBy(*order)
+    r = rows.withColumns({
+        "own": F.floor((F.row_number().over(key) - 1) / limit).cast("int"),
+        "blocks": F.ceil(F.count(F.lit(1)).over(key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / limit).cast("int"),
+    })
+    zero = F.lit(0)
+    short = r.filter("blocks = 1").withColumns({"x": zero, "y": zero}).drop("blocks")
+    long = r.filter("blocks > 1").withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    long = long.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
+    width = max(shuffle_width(rows.sparkSession), 1)
+    long = long.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y", "own", *order)
+    return short.mapInArrow(run, schema).union(long.mapInArrow(run, schema))

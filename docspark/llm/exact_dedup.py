@@ -9,7 +9,7 @@ aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_small, shuffle_width
@@ -38,10 +38,13 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, salts: int | None, colu
     )
 
 
+def _order() -> Column:
+    return F.struct((-F.col("n_chars")).alias("longest"), F.col("id"), F.col("row"))
+
+
 def _keepers(heads: DataFrame) -> DataFrame:
     """The row that stays of each content, among the heads of its pieces."""
-    best = F.min(F.struct((-F.col("n_chars")).alias("longest"), F.col("id"), F.col("row")))
-    return heads.groupBy(F.col("text_sha256").alias("digest")).agg(best.alias("keeper"), F.sum("size").alias("group_size"))
+    return heads.groupBy(F.col("text_sha256").alias("digest")).agg(F.min(_order()).alias("keeper"), F.sum("size").alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
@@ -67,6 +70,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """``docs`` with all its columns, one row of each group of equal texts, as ``exact_duplicates`` decides."""
     heads = cut(_pieces(docs, id_col, text_col, salts, [F.col(c) for c in docs.columns]).filter("place = 1"))
-    keeper = _keepers(heads.drop("__all")).select("digest", F.col("keeper.row").alias("stays"))
-    kept = join_small(heads, cut(keeper), (F.col("text_sha256") == F.col("digest")) & (F.col("row") == F.col("stays")), "left_semi")
+    # Most contents have one piece, whose head stays; of the others' heads all but the keeper go.
+    groups = heads.drop("__all").groupBy(F.col("text_sha256").alias("digest")).agg(F.min(_order()).alias("keeper"), F.count(F.lit(1)).alias("pieces"))
+    several = groups.filter("pieces > 1").select("digest", F.col("keeper.row").alias("stays"))
+    losers = cut(heads.select("text_sha256", "row").join(several, F.col("text_sha256") == F.col("digest")).filter("row != stays").select(F.col("row").alias("gone")))
+    kept = join_small(heads, losers, F.col("row") == F.col("gone"), "left_anti")
     return kept.select(*(F.col("__all")[c].alias(c) for c in docs.columns))

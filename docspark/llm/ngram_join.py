@@ -21,13 +21,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.components import connected_components
 
 from . import kernel as K
-from .common import cut, join_small, shuffle_width
+from .common import cut, in_blocks, join_small, shuffle_width
 
 #: Components beyond which a token leaves class 1, and class 2.
 CLASS_BOUNDS = (32, 1024)
@@ -40,6 +40,8 @@ BITS, WIDE_BITS, WIDE_ABOVE = 512, 4096, 800
 LOOK, KEEP = 64, 4
 #: Lists up to this length are compared row by row together; longer ones one at a time.
 SHORT_LIST = 64
+#: Rows of a list that are held together; longer lists are compared in blocks of so many.
+LIST_BLOCK = 4096
 
 
 def token_sets(block: K.Block, k: int) -> list[np.ndarray]:
@@ -112,20 +114,35 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, low array<long>, bits binary")
 
 
-def whole_lists(batches):
-    """Batches sorted by ``key``, dealt anew so that no key's rows fall in two of them."""
-    rest = None
+def whole_lists(batches, names: tuple[str, ...] = ("key",)):
+    """Batches sorted by ``names``, dealt anew so that the rows of equal ones fall in one batch."""
+    held = []
+
+    def change(batch):
+        out = np.zeros(len(batch), bool)
+        for n in names:
+            v = batch.column(n).to_numpy()
+            out[1:] |= v[1:] != v[:-1]
+        return out
+
+    def same(x, y):
+        return all(x.column(n)[len(x) - 1].as_py() == y.column(n)[0].as_py() for n in names)
+
     for batch in batches:
-        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
         if not len(batch):
             continue
-        key = batch.column("key").to_numpy()
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield batch.slice(0, last)
-        rest = batch.slice(last)
-    if rest is not None and len(rest):
-        yield rest
+        if held and not same(held[-1], batch):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        starts = np.flatnonzero(change(batch))
+        if len(starts):
+            held.append(batch.slice(0, int(starts[-1])))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = [batch.slice(int(starts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -194,30 +211,38 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return texts.repartition(width, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
 
 
+def counted_as(s: np.ndarray) -> np.ndarray:
+    """What tokens are counted by: their first 48 bits. Two tokens that share them share a class, which does no harm."""
+    return s >> np.uint64(16)
+
+
 def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
-    """``token, kind``: tokens of more than ``CLASS_BOUNDS[0]`` of ``docs`` and their class.
+    """``token, kind``: tokens (as counted) of more than ``CLASS_BOUNDS[0]`` of ``docs`` and their class.
 
-    Each task counts its own tokens and deals sorted runs to buckets, where runs are added up.
+    Each task counts its own tokens and deals sorted runs, as differences, to ranges of tokens, where runs are added up.
     """
     buckets = 4 * shuffle_width(docs.sparkSession)
 
     def run(batches):
         def dealt(parts):
             tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-            bucket = K.mix(tokens) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            ptr = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            tokens, counts = tokens[order], counts[order].astype(np.uint32)
+            ptr = np.searchsorted((tokens * np.uint64(buckets)) >> np.uint64(48), np.arange(buckets + 1))
+            counts, steps = counts.astype(np.uint32), np.diff(tokens, prepend=np.uint64(0))
             some = np.flatnonzero(np.diff(ptr))
+            packed = []
+            for i in some:
+                step = steps[ptr[i] : ptr[i + 1]].copy()
+                step[0] = 0
+                packed.append(step.astype(np.uint32 if step.max() < 1 << 32 else np.uint64).tobytes())
             return pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array([tokens[ptr[i] : ptr[i + 1]].tobytes() for i in some], pa.binary()), pa.array([counts[ptr[i] : ptr[i + 1]].tobytes() for i in some], pa.binary())],
-                ["bucket", "tokens", "counts"],
+                [pa.array(some.astype(np.int32)), _longs(tokens[ptr[some]]), pa.array(packed, pa.binary()), pa.array([counts[ptr[i] : ptr[i + 1]].tobytes() for i in some], pa.binary())],
+                ["bucket", "base", "steps", "counts"],
             )
 
         parts, held = [], 0
         for batch in batches:
             for block in K.blocks(batch.column("text")):
-                parts += token_sets(block, k)
+                parts += [counted_as(s) for s in token_sets(block, k)]
                 held += sum(map(len, parts[-len(block) :]))
                 if held > 1 << 22:
                     yield dealt(parts)
@@ -226,15 +251,19 @@ def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
             yield dealt(parts)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]])
+        tokens, counts = [], []
+        for base, step, count in zip(pdf["base"], pdf["steps"], pdf["counts"], strict=True):
+            counts.append(np.frombuffer(count, np.uint32))
+            step = np.frombuffer(step, np.uint32 if len(step) == len(count) else np.uint64)
+            tokens.append(np.uint64(base) + np.cumsum(step, dtype=np.uint64))
+        tokens, counts = np.concatenate(tokens), np.concatenate(counts)
         order = np.argsort(tokens, kind="stable")
         tokens, counts = tokens[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         kind = 1 + np.searchsorted(CLASS_BOUNDS, np.add.reduceat(counts, first))
-        return pd.DataFrame({"token": tokens[first][kind > 1].view(np.int64), "kind": kind[kind > 1].astype(np.int8)})
+        return pd.DataFrame({"token": tokens[first][kind > 1].astype(np.int64), "kind": kind[kind > 1].astype(np.int8)})
 
-    runs = docs.mapInArrow(run, "bucket int, tokens binary, counts binary")
+    runs = docs.mapInArrow(run, "bucket int, base long, steps binary, counts binary")
     return cut(runs.groupBy("bucket").applyInPandas(total, "token long, kind byte"))
 
 
@@ -246,7 +275,7 @@ def with_frequent(docs: DataFrame, k: int, frequent: DataFrame) -> DataFrame:
             for block in K.blocks(batch.column("text")):
                 sets = token_sets(block, k)
                 ids = batch.slice(block.row, len(block)).column("doc_id").take(pa.array(np.repeat(np.arange(len(block)), [len(x) for x in sets])))
-                yield pa.RecordBatch.from_arrays([ids, _longs(np.concatenate(sets))], ["id", "token"])
+                yield pa.RecordBatch.from_arrays([ids, _longs(counted_as(np.concatenate(sets)))], ["id", "token"])
 
     found = docs.select("doc_id", "text").mapInArrow(tokens, "id long, token long").join(frequent, "token")
     found = cut(found.groupBy("id").agg(F.collect_set(F.struct("token", "kind")).alias("often")))  # at most a text's own tokens
@@ -310,19 +339,20 @@ def index_rows(docs: DataFrame, k: int, percent: int, frequent: DataFrame) -> Da
     """``key, comp, node, n, guest`` of every prefix key of ``docs`` (``doc_id, comp, text``)."""
     few = frequent.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
     if few:
-        table = frequent.toPandas().sort_values("token", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
-        shared = docs.sparkSession.sparkContext.broadcast((table["token"].to_numpy(np.int64).view(np.uint64), table["kind"].to_numpy(np.int8)))
+        table = frequent.toPandas().sort_values("token")
+        shared = docs.sparkSession.sparkContext.broadcast((table["token"].to_numpy(np.uint64), table["kind"].to_numpy(np.int8)))
     else:
         docs = with_frequent(docs, k, frequent)
 
     def classes(s, tokens, kinds):
         if not len(tokens):
             return np.ones(len(s), np.int8)
-        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-        return np.where(tokens[at] == s, kinds[at], np.int8(1))
+        counted = counted_as(s)
+        at = np.minimum(np.searchsorted(tokens, counted), len(tokens) - 1)
+        return np.where(tokens[at] == counted, kinds[at], np.int8(1))
 
     def own(row):
-        rows = sorted((x["token"] & (1 << 64) - 1, x["kind"]) for x in row or [])
+        rows = sorted((x["token"], x["kind"]) for x in row or [])
         return np.array([t for t, _ in rows], np.uint64), np.array([c for _, c in rows], np.int8)
 
     def run(batches):
@@ -353,26 +383,16 @@ def index_rows(docs: DataFrame, k: int, percent: int, frequent: DataFrame) -> Da
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """Those of ``rows`` whose key is in more than one component."""
-
-    def run(batches):
-        for batch in whole_lists(batches):
-            key, comp = batch.column("key").to_numpy(), batch.column("comp").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            keep = np.repeat(mixed, np.diff(np.append(first, len(key))))
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    width = max(shuffle_width(rows.sparkSession), 1)
-    return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, rows.schema)
+    """Those of ``rows`` whose key is in more than one component; a long list is sorted and held by Spark, which spills."""
+    key = Window.partitionBy("key")
+    return rows.withColumns({"__a": F.min("comp").over(key), "__b": F.max("comp").over(key)}).filter("__a != __b").drop("__a", "__b")
 
 
 def pairs_between(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of nodes of different components that share a key and may reach the threshold.
 
-    ``rows``: ``key, comp, node, n, guest, bits``. Sizes and bitmaps rule pairs out. In a long list only rows
-    outside its largest component are held against the others.
+    ``rows``: ``key, comp, node, n, guest, bits``. Sizes and bitmaps rule pairs out. Lists are compared block by block; of a
+    long one only rows outside its largest component are held against the others.
     """
 
     def may(i, j, comp, n, guest, maps):
@@ -383,33 +403,39 @@ def pairs_between(rows: DataFrame, percent: int) -> DataFrame:
         return i[ok], j[ok]
 
     def run(batches):
-        for batch in whole_lists(batches):
-            key, comp, node, guest = (batch.column(c).to_numpy() for c in ("key", "comp", "node", "guest"))
+        for batch in whole_lists(batches, ("key", "x", "y")):
+            key, comp, node, guest, x, y, own = (batch.column(c).to_numpy() for c in ("key", "comp", "node", "guest", "x", "y", "own"))
             n = batch.column("n").to_numpy().astype(np.int64)
-            maps = Bitmaps(batch.column("bits"))
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            maps, found = Bitmaps(batch.column("bits")), []
+            change = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            first = np.flatnonzero(np.concatenate([[True], change]))
             length = np.diff(np.append(first, len(key)))
-            live = np.flatnonzero(np.repeat(length <= SHORT_LIST, length))
+            group = np.repeat(np.arange(len(first)), length)
+            short = (length <= SHORT_LIST) & (x[first] == y[first])
+            live = np.flatnonzero(np.repeat(short, length))
             for d in range(1, SHORT_LIST):
                 live = live[live + d < len(key)]
-                live = live[key[live] == key[live + d]]
+                live = live[group[live] == group[live + d]]
                 if not len(live):
                     break
-                i, j = may(live, live + d, comp, n, guest, maps)
-                if len(i):
-                    yield _pair_batch(node[i], node[j])
-            for begin, size in zip(first[length > SHORT_LIST], length[length > SHORT_LIST], strict=True):
-                own = comp[begin : begin + size]
-                values, counts = np.unique(own, return_counts=True)
-                main = own == values[np.argmax(counts)]
+                found.append(may(live, live + d, comp, n, guest, maps))
+            for begin, size in zip(first[~short], length[~short], strict=True):
+                at = np.arange(begin, begin + size)
+                values, counts = np.unique(comp[at], return_counts=True)
+                main = comp[at] == values[np.argmax(counts)]
+                cross = x[begin] != y[begin]  # two blocks: rows of one are held against those of the other
                 for t in np.flatnonzero(~main):
-                    others = begin + np.flatnonzero(main | (np.arange(size) > t))
-                    i, j = may(np.full(len(others), begin + t), others, comp, n, guest, maps)
-                    if len(i):
-                        yield _pair_batch(node[i], node[j])
+                    others = main | (np.arange(size) > t)
+                    if cross:
+                        others &= own[at] != own[begin + t]
+                    others = at[others]
+                    found.append(may(np.full(len(others), begin + t), others, comp, n, guest, maps))
+            if found:
+                i, j = (np.concatenate(z) for z in zip(*found, strict=True))
+                pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                yield _pair_batch(pairs[0], pairs[1])
 
-    width = max(shuffle_width(rows.sparkSession), 1)
-    return rows.repartition(width, "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return in_blocks(rows, ["n", "node"], LIST_BLOCK, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:

@@ -12,6 +12,7 @@ first stays. Windows of grams that occur very often meet by a cryptographic dige
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -76,15 +77,45 @@ def all_anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """``doc, tie, at, hot`` of anchors whose gram occurs more than once."""
+    """``doc, tie, at, hot`` of anchors whose gram occurs more than once. Of a gram at most ``HOT`` rows and a batch are held."""
+
+    def told(batch: pa.RecordBatch, hot: bool | np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "tie", "at")), pa.array(np.broadcast_to(hot, len(batch)))], ["doc", "tie", "at", "hot"])
 
     def run(batches):
-        for batch in whole_lists(batches):
+        held, n, last = [], 0, None  # the rows, so far, of the last gram; none are held of one that is hot already
+        for batch in batches:
+            if not len(batch):
+                continue
             key = batch.column("key").to_numpy()
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
-            keep = pa.array(size > 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("doc", "tie", "at")), pa.array(size[size > 1] > HOT)], ["doc", "tie", "at", "hot"])
+            size = np.diff(np.append(first, len(key)))
+            if last is not None and key[0] != last:
+                if 1 < n <= HOT:
+                    yield from (told(b, False) for b in held)
+                held, n = [], 0
+            # The gram that goes on from the batch before.
+            head = int(size[0])
+            n, last = n + head, key[0]
+            held.append(batch.slice(0, head))
+            if n > HOT:
+                yield from (told(b, True) for b in held)
+                held = []
+            if len(first) == 1:
+                continue
+            if 1 < n <= HOT:
+                yield from (told(b, False) for b in held)
+            inner = np.repeat(size[1:-1], size[1:-1])
+            middle = batch.slice(head, int(first[-1]) - head)
+            keep = inner > 1
+            if keep.any():
+                yield told(middle.filter(pa.array(keep)), inner[keep] > HOT)
+            held, n, last = [batch.slice(int(first[-1]))], int(size[-1]), key[-1]
+            if n > HOT:
+                yield told(held[0], True)
+                held = []
+        if 1 < n <= HOT:
+            yield from (told(b, False) for b in held)
 
     return rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "doc long, tie long, at int, hot boolean")
 
@@ -190,17 +221,26 @@ def longest_previous(suffix: np.ndarray, size: np.ndarray, group: np.ndarray, pl
 def removed_runs(rows: DataFrame, length: int) -> DataFrame:
     """``doc, tie, begin, end``: parts of the documents that a longest previous factor covers."""
 
+    def again(batches):
+        """Windows of hot grams: every row but the first of a digest. Only the row before is kept."""
+        before = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, check, start = (batch.column(c).to_numpy() for c in ("key", "check", "start"))
+            same = np.concatenate([[before == (key[0], check[0])], (key[1:] == key[:-1]) & (check[1:] == check[:-1])])
+            before = key[-1], check[-1]
+            some = pa.array(same)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").filter(some), batch.column("tie").filter(some), pa.array(start[same]), pa.array((start[same] + length).astype(np.int32))], ["doc", "tie", "begin", "end"])
+
     def run(batches):
         for batch in whole_lists(batches):
-            key, check, start = (batch.column(c).to_numpy() for c in ("key", "check", "start"))
+            key, start = (batch.column(c).to_numpy() for c in ("key", "start"))
             doc = np.arange(len(batch))  # rows stand for their documents until the end
             context = batch.column("context")
-            single = context.is_null().to_numpy(zero_copy_only=False)
-            same_key = np.concatenate([[False], (key[1:] == key[:-1]) & (check[1:] == check[:-1])])
-            later = single & same_key & np.concatenate([[False], single[:-1]])
-            docs, begins, ends = [doc[later]], [start[later]], [start[later] + length]
-            cold = np.flatnonzero(~single)
-            if len(cold):
+            docs, begins, ends = [], [], []
+            cold = np.arange(len(batch))
+            if len(cold):  # rows of whole grams
                 data, ptr = K.buffers(context.take(pa.array(cold)))
                 size = np.diff(ptr)
                 group = np.cumsum(np.concatenate([[True], key[cold][1:] != key[cold][:-1]]))
@@ -247,8 +287,25 @@ def removed_runs(rows: DataFrame, length: int) -> DataFrame:
                 tail = np.append(np.flatnonzero(head)[1:], len(d)) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(owner[head]), pa.array(tie[head]), pa.array(b[head].astype(np.int32)), pa.array((reach - shift)[tail].astype(np.int32))], ["doc", "tie", "begin", "end"])
 
-    width = shuffle_width(rows.sparkSession)
-    return rows.repartition(width, "key").sortWithinPartitions("key", "check", "doc", "tie", "start").mapInArrow(run, "doc long, tie long, begin int, end int")
+    def both(batches):
+        """Contexts come first in a partition; the windows of hot grams follow."""
+        batches, rest = iter(batches), []
+
+        def contexts_alone():
+            for batch in batches:
+                n = len(batch) - batch.column("context").null_count
+                if n:
+                    yield batch.slice(0, n)
+                if n < len(batch):
+                    rest.append(batch.slice(n))
+                    return
+
+        yield from run(contexts_alone())
+        yield from again(itertools.chain(rest, batches))
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key", "check")
+    dealt = dealt.sortWithinPartitions(F.col("context").isNull(), "key", "check", "doc", "tie", "start")
+    return dealt.mapInArrow(both, "doc long, tie long, begin int, end int")
 
 
 def _cut_out(batches):

@@ -35,8 +35,9 @@ def test_within(tau):
     assert got.tolist() == [distance(a, b) <= tau for a, b in pairs]
 
 
-@pytest.mark.parametrize("tau", [1, 2])
-def test_near_lines(spark, tau):
+@pytest.mark.parametrize(("tau", "block"), [(1, 4096), (2, 7)])
+def test_near_lines(spark, monkeypatch, tau, block):
+    monkeypatch.setattr(line_dedup, "LIST_BLOCK", block)
     r = random.Random(5)
     base = ["".join(r.choice("abcde ") for _ in range(r.randint(8, 40))) for _ in range(25)]
     docs = [(i, "\n".join(edited(r, r.choice(base), r.randint(0, 3)) for _ in range(r.randint(0, 5)))) for i in range(40)] + [(90, None), (91, "\n\n")]
