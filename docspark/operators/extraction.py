@@ -31,11 +31,12 @@ def _from_gb18030(content: pd.Series) -> pd.Series:
     return content.str.decode("gb18030", errors="replace")
 
 
-def decode_text(content: Column) -> Column:
+def decode_text(content: Column | str) -> Column:
     """Binary column as UTF-8 without its mark, else GB18030, else UTF-8 with replacements; null stays null.
 
     UTF-8 is told and read by built-in functions; only rows that have GB18030's structure and aren't UTF-8 go to Python.
     """
+    content = F.col(content) if isinstance(content, str) else content
     utf8 = content.cast("string")
     other = ~F.is_valid_utf8(utf8) & (F.regexp_replace(F.decode(content, "ISO-8859-1"), GB18030, "") == "")
     return F.when(F.is_valid_utf8(utf8), F.regexp_replace(utf8, "^\ufeff", "")).when(other, _from_gb18030(F.when(other, content))).otherwise(F.make_valid_utf8(utf8))
