@@ -7,6 +7,7 @@ blocks of a quarter of a megabyte to stay in cache and to bound a task's memory.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,6 +89,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), ptr
 
 
+#: The C library's own call that returns freed memory to the system, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what Arrow and NumPy have freed: a worker lives on between tasks, and its executor counts its memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Runs of whole texts of about ``limit`` bytes; one longer text is a block of its own."""
     data, ptr = buffers(column)
@@ -96,7 +108,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         j = max(i + 1, int(np.searchsorted(ptr, ptr[i] + limit, "right")) - 1)
         yield Block(data[ptr[i] : ptr[j]], ptr[i : j + 1] - ptr[i], i)
         i = j
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def spans(inside: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

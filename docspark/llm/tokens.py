@@ -23,7 +23,7 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 
 OTHER, LETTER, NUMBER, BLANK, UNKNOWN = 0, 1, 2, 3, 4
 #: A worker forgets its table beyond so many distinct pre-tokens, which bounds its memory.
-MOST_KNOWN = 1 << 19
+MOST_KNOWN = 1 << 18
 #: Pre-tokens that the library encodes in one call; its results weigh about a kilobyte each until they are read.
 AT_ONCE = 4096
 
