@@ -34,7 +34,8 @@ def normalize_terms(text: Column) -> Column:
         pairs = F.when(F.length(run) > 1, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(run.rlike(f"^[{HAN}]"), F.concat(singles, pairs)).otherwise(F.array(F.lower(run)))
 
-    return F.flatten(F.transform(runs, grams))
+    # Texts without Han characters, told by one search, need no look at each run.
+    return F.when(text.rlike(f"[{HAN}]"), F.flatten(F.transform(runs, grams))).otherwise(F.transform(runs, F.lower))
 
 
 def path_key(path: Column) -> Column:
