@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, url_reputation, whitening
+from . import collocations, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, url_reputation, whitening
 from .common import read
 
 
@@ -55,6 +55,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents")).drop("path_words")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -67,6 +71,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 _OP3 = r"""
@@ -157,9 +162,35 @@ SELECT page_id, host, path, rule,
 """
 _STRENGTH = """CASE WHEN sum(n * m * (1 - m)) > sum(m * (1 - m)) THEN greatest(1.0, least(1000.0, 1 / greatest((sum(n * pow(good / n - m, 2)) - sum(m * (1 - m))) / (sum(n * m * (1 - m)) - sum(m * (1 - m))), 1e-6) - 1)) ELSE 1000.0 END"""
 
+_OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w, i, unnest(range(1, 4)) AS k FROM s),
+f AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g, count(*) AS f FROM g WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+d AS (
+  SELECT DISTINCT x.lang, x.g FROM c x JOIN (
+    SELECT lang, g[1:2] AS part, a FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE k = 3
+  ) y ON x.lang = y.lang AND x.g = y.part WHERE 100 * y.a >= 50 * x.a
+), e AS (
+  SELECT c.lang, c.g, c.k, c.a, j, unnest([c.g[1:j]]) AS lg, unnest([c.g[j + 1:]]) AS rg
+  FROM (SELECT lang, g, k, a, unnest(range(1, k)) AS j FROM c) c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = c.lang AND d.g = c.g)
+), v AS (
+  SELECT e.lang, e.g, e.a, l.f AS l, r.f AS r, ((1000000::HUGEINT * e.a * e.a) // (l.f::HUGEINT * r.f))::BIGINT AS score, j
+  FROM e JOIN f l ON l.lang = e.lang AND l.g = e.lg JOIN f r ON r.lang = e.lang AND r.g = e.rg
+), b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM b)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op3_ngram_join": _OP3,
     "op4_exact_dedup": _OP4,
     "op5_quality": f"WITH {QUALITY_SQL} SELECT * FROM q_verdict",
+    "op13_collocations": _OP13,
     "op8_url_filter": _OP8.replace("SECOND", url_reputation.TWO_LABELS).replace("STRENGTH", _STRENGTH),
 }
