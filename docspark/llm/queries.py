@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, url_reputation, whitening
+from . import collocations, exact_dedup, line_dedup, mixing, ngram_join, packing, pieces, quality, suffix_dedup, token_counts, toxicity, url_reputation, whitening
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_whitening": op12_whitening,
     "op13_collocations": op13_collocations,
 }
