@@ -87,7 +87,7 @@ def refresh_suggestions(groups: DataFrame, decided: DataFrame, n: int = 20) -> t
     return out, fresh.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - n).alias("remaining"))
 
 
-def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, planes: int = 8, tables: int = 24, seed: int = 7) -> DataFrame:
+def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, planes: int = 4, tables: int = 24, seed: int = 7) -> DataFrame:
     """``query_id, id, score, place``: approximate neighbours; candidates share one of ``tables`` buckets, and are then ranked exactly.
 
     A bucket is the signs of ``planes`` random projections. Queries and vectors meet by an equi-join on the buckets, so each vector

@@ -36,6 +36,30 @@ def mean_vector(df: DataFrame, key: str, col: str) -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
 
 
+def block_best(k: int):
+    """For ``applyInArrow``: of rows ``asks, id, vector`` of one dimension, the ``k`` best of each asking vector among the others."""
+
+    def best(table: pa.Table) -> pa.Table:
+        def unit(asks: bool) -> tuple[np.ndarray, np.ndarray]:
+            own = table.filter(pa.array(table.column("asks").to_numpy() == asks))
+            x = own.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+            return own.column("id").to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+        if not 0 < sum(table.column("asks").to_pylist()) < table.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        (ids, x), (own, y) = unit(True), unit(False)
+        score = np.round((1 + x @ y.T) / 2, 6)
+        # All that may be among the best by score, then those by score and id.
+        rows, top = np.arange(len(ids)), np.empty((len(ids), min(k, len(own))), np.int64)
+        for i in rows:
+            near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k]) if k < len(own) else np.arange(len(own))
+            top[i] = near[np.lexsort((own[near], -score[i, near]))[:k]]
+        rows, top = np.repeat(rows, top.shape[1]), top.reshape(-1)
+        return pa.table({"query_id": ids[rows], "id": own[top], "score": score[rows, top]})
+
+    return best
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, part: int = 4096) -> DataFrame:
     """``query_id, id, score, place``: exact cosine neighbours, score (1 + cos) / 2, ties by id.
 
@@ -53,23 +77,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 102
     q = q.join(F.broadcast(counts), "dim").select("dim", dealt("blocks").alias("b"), spread("parts").alias("p"), "asks", "id", "vector")
     v = v.join(F.broadcast(counts), "dim").select("dim", spread("blocks").alias("b"), dealt("parts").alias("p"), "asks", "id", "vector")
 
-    def best(table: pa.Table) -> pa.Table:
-        def unit(asks: bool) -> tuple[np.ndarray, np.ndarray]:
-            own = table.filter(pa.array(table.column("asks").to_numpy() == asks))
-            x = own.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, table.column("dim")[0].as_py())
-            return own.column("id").to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-        (ids, x), (own, y) = unit(True), unit(False)
-        score = np.round((1 + x @ y.T) / 2, 6)
-        # All that may be among the best by score, then those by score and id.
-        rows, top = np.arange(len(ids)), np.empty((len(ids), min(k, len(own))), np.int64)
-        for i in rows:
-            near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k]) if k < len(own) else np.arange(len(own))
-            top[i] = near[np.lexsort((own[near], -score[i, near]))[:k]]
-        rows, top = np.repeat(rows, top.shape[1]), top.reshape(-1)
-        return pa.table({"query_id": ids[rows], "id": own[top], "score": score[rows, top]})
-
-    found = q.unionByName(v).groupBy("dim", "b", "p").applyInArrow(best, "query_id long, id long, score double")
+    found = q.unionByName(v).groupBy("dim", "b", "p").applyInArrow(block_best(k), "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.operators import lexical, scoring, topics
+from docspark.operators import lexical, neighbours, scoring, topics
 from docspark.plans.queries import query
 from docspark.plans.recall_queries import file_profiles
 from docspark.plans.tables import FILES, files
 from docspark.sources.files import read_table
+from docspark.storage import fresh_folder
 from docspark.streaming import progress
 
 METRICS = "recall mrr ndcg citation_coverage correctness refusal_accuracy unauthorized_rejection structured_rate relation_precision relation_recall type_accuracy parse_coverage embedding_coverage vector_coverage".split()
@@ -158,6 +159,14 @@ def v6(spark, sf):
     return topics.vector_topk_lsh(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10, 64)
 
 
+@query("v6_topk_cells")
+def v6_cells(spark, sf):
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = fresh_folder(spark, "index")
+    neighbours.write_index(e, path, 64)
+    return neighbours.search_index(spark, path, e.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 64, 10)  # the stated query set
+
+
 @query("h9_rerank", rf"WITH t AS (SELECT doc_id AS chunk_id, source AS query_id, text, -abs(length(text) - 500) / 100 AS x FROM documents) SELECT query_id, chunk_id, round(1 / (1 + exp(-greatest(-30, least(30, x)))), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + exp(-greatest(-30, least(30, x)))), 6) DESC, chunk_id) AS place FROM t")
 def h9(spark, sf):
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("query_id"), F.col("source").alias("query"), "text")

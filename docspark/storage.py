@@ -35,18 +35,21 @@ def _clear(spark: SparkSession, path: str) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh_folder(spark: SparkSession, kind: str = "cut") -> str:
+    """A new folder's path in the shared one; all of an application's are removed when its driver ends."""
+    folder = f"{shared_folder(spark)}/{kind}/{spark.sparkContext.applicationId}"
+    if folder not in _cleared:
+        _cleared.add(folder)
+        atexit.register(_clear, spark, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later steps then start from files that every executor can read: a lost executor costs no
-    recomputation, and two consumers of the result don't compute it twice. The files of an application are
-    removed when its driver ends.
+    recomputation, and two consumers of the result don't compute it twice.
     """
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/cut/{spark.sparkContext.applicationId}"
-    if folder not in _cleared:
-        _cleared.add(folder)
-        atexit.register(_clear, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
