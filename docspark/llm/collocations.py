@@ -5,8 +5,8 @@ longest, and whose edges are the longest phrases with their counts. Counts of sh
 followed by a word, which is an edge's weight, or ends its piece, which is counted beside. Stretches without a branch are compacted:
 all phrases on them have the stretch's weight and lie in longer ones, so they never are results of their own.
 
-Before, a filter of fixed size counts words and pairs of words and cuts pieces where a pair's cell stays under ``least``: no
-candidate spans such a place, so the cut changes no candidate's counts, and most phrases that occur once never reach the shuffle.
+Before, a filter of fixed size counts phrases of each length by cells, and a phrase ends where a longer one's cell stays under ``least``: that
+one is no candidate, so no candidate's counts change, and most phrases that occur once never reach the shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import cut, shuffle_width
 
 #: Cells of the pair filter and the ranges they are counted in: 16 MB as bits, broadcast whatever the corpus.
 CELLS, RANGES = 1 << 27, 128
-#: Words that a task holds before it passes their counts on.
+#: Words that a task holds before it counts them, and different phrases before it passes them on.
 HELD = 1 << 20
 
 _BREAK = np.zeros(256, bool)
@@ -55,10 +55,15 @@ class Words:
         return self.data[self.starts[i] : self.stops[i]].tobytes().decode("utf-8", "replace")
 
 
-def _cells(hashes: np.ndarray, lang_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each word, and of each word with the next (the last word's is void)."""
-    own = K.mix(hashes + lang_hashes)
-    return tuple((x & np.uint64(CELLS - 1)).astype(np.uint32) for x in (own, K.mix(own * _STEP + np.append(hashes[1:], np.uint64(0)))))
+def _cells(words: Words, marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``most`` words: the cell of the phrase that begins at each word, and whether its piece goes on so far."""
+    n = len(words.hashes)
+    key, inside = K.mix(words.hashes + marks[words.langs]), np.ones(n, bool)
+    for k in range(1, most + 1):
+        if k > 1:
+            key = K.mix(key * _STEP + np.append(words.hashes[k - 1 :], np.zeros(min(k - 1, n), np.uint64)))
+            inside = inside & ~np.append(words.ends[k - 2 :], np.ones(min(k - 2, n), bool))
+        yield (key & np.uint64(CELLS - 1)).astype(np.uint32), inside
 
 
 def _lang_hash(lang: str) -> np.uint64:
@@ -76,11 +81,11 @@ def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[
             yield Words(block, codes[block.row : block.row + len(block)]), names, marks
 
 
-def frequency_filter(texts: DataFrame, least: int) -> bytes:
-    """A bit for each cell that ``least`` or more words and pairs of neighbouring words fall in.
+def frequency_filter(texts: DataFrame, most: int, least: int) -> bytes:
+    """A bit for each cell that ``least`` or more occurrences of phrases of up to ``most`` words fall in.
 
     Tasks send the cells they saw with counts up to 255, as bytes for each range of cells; a range is added up in one array
-    of fixed size. Other words in a cell can only raise it, so nothing frequent is lost. In a corpus that fills all cells, all
+    of fixed size. Other phrases in a cell can only raise it, so nothing frequent is lost. In a corpus that fills all cells, all
     phrases are counted in the shuffle.
     """
     share = CELLS // RANGES
@@ -104,9 +109,8 @@ def frequency_filter(texts: DataFrame, least: int) -> bytes:
 
         for words, _, marks in _word_runs(batches):
             if len(words.hashes):
-                own, pair = _cells(words.hashes, marks[words.langs])
-                held += [own, pair[~words.ends]]
-                size += 2 * len(own)
+                held += [cells[inside] for cells, inside in _cells(words, marks, most)]
+                size += most * len(words.hashes)
             if size >= 4 * HELD:
                 yield out(flush())
                 held, size = [], 0
@@ -141,12 +145,12 @@ def frequency_filter(texts: DataFrame, least: int) -> bytes:
 
 
 def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
-    """``lang, h1..h<most>, word, weight``: one occurrence of a word gives one phrase, as long as its piece goes on but ``most`` words at most.
+    """``lang, h1..h<most>, word, weight``: a word gives the phrase that begins with it and ends with its piece, after ``most`` words, or before the filter rules a longer one out.
 
-    So rows of ``most`` words are the edges, and rows of fewer (then 0) are phrases that end a piece. Rows of weight 0 spell the words
+    So rows of ``most`` words are the edges, and rows of fewer (then 0) are phrases that end there. Rows of weight 0 spell the words
     that candidates may have; a row of no words counts all words of the language.
     """
-    filtered = texts.sparkSession.sparkContext.broadcast(frequency_filter(texts, least)) if least > 1 else None
+    filtered = texts.sparkSession.sparkContext.broadcast(frequency_filter(texts, most, least)) if least > 1 else None
     names = [f"h{i}" for i in range(1, most + 1)]
 
     def out(lang, rows, words, weight):
@@ -155,7 +159,8 @@ def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
 
     def flush(held, spelled, totals):
         for lang, parts in held.items():
-            yield out(lang, *_counted(np.concatenate(parts, axis=1)))
+            rows, weight = _counted(np.concatenate(parts, axis=1))
+            yield out(lang, rows, [None] * len(weight), weight)
         for lang, known in spelled.items():
             rows = np.zeros((most, len(known)), np.uint64)
             rows[0] = np.fromiter(known, np.uint64, len(known))
@@ -170,23 +175,20 @@ def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
             n = len(words.hashes)
             if not n:
                 continue
-            ends, used = words.ends.copy(), np.ones(n, bool)
-            if bits is not None:
-                own, pair = _cells(words.hashes, marks[words.langs])
-                ends |= ~_hot(bits, pair)
-                used = _hot(bits, own)
-            stop = np.flatnonzero(ends)
-            room = np.minimum(stop[np.searchsorted(stop, np.arange(n))] - np.arange(n) + 1, most)
+            room = np.zeros(n, np.int64)
+            for k, (cells, inside) in enumerate(_cells(words, marks, most)):
+                room += (room == k) & inside & (_hot(bits, cells) if bits is not None else True)
             rows = np.zeros((most, n), np.uint64)
             for i in range(most):
                 at = np.flatnonzero(room > i)
                 rows[i, at] = words.hashes[at + i]
-            joined = room > 1
-            joined[1:] |= ~ends[:-1]
+            joined = np.zeros(n, bool)
+            for i in range(most):
+                joined[np.flatnonzero((room > 1) & (room > i)) + i] = True
             for code in np.unique(words.langs).tolist():
                 mine, lang = words.langs == code, langs[code]
                 totals[lang] = totals.get(lang, 0) + int(mine.sum())
-                held.setdefault(lang, []).append(rows[:, mine & (used | joined)])
+                held.setdefault(lang, []).append(rows[:, mine & (room > 0)])
                 known = spelled.setdefault(lang, {})
                 at = np.flatnonzero(mine & joined)
                 some, first = np.unique(words.hashes[at], return_index=True)
@@ -207,16 +209,19 @@ def _hot(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _counted(rows: np.ndarray) -> tuple[np.ndarray, list[None], np.ndarray]:
-    """Distinct columns and how often each is there. The key only brings equals together; columns are compared whole."""
+def _counted(rows: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and the sums of their weights (1 each). The key only brings equals together; columns are compared whole."""
+    if not rows.shape[1]:
+        return rows, np.zeros(0, np.int64)
     key = np.zeros(rows.shape[1], np.uint64)
     for h in rows:
         key = K.mix(key * _STEP + h)
-    rows = rows[:, np.argsort(key)]
+    order = np.argsort(key)
+    rows = rows[:, order]
     new = np.ones(rows.shape[1], bool)
     new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
     first = np.flatnonzero(new)
-    return rows[:, first], [None] * len(first), np.diff(np.append(first, rows.shape[1])).astype(np.int64)
+    return rows[:, first], np.diff(np.append(first, rows.shape[1])).astype(np.int64) if weight is None else np.add.reduceat(weight[order], first)
 
 
 def _prefix(k: int, start: int = 1) -> list[str]:
@@ -226,7 +231,7 @@ def _prefix(k: int, start: int = 1) -> list[str]:
 def node_flows(g: DataFrame, k: int, least: int) -> DataFrame:
     """``lang, h1..h<k>, f``: occurrences of phrases of ``k`` words, as far as they are ``least`` or more.
 
-    A node's flow: the weights of all edges that leave it, and the pieces that end with it.
+    A node's flow: the weights of all edges that leave it, and the phrases that end with it.
     """
     flow = g.filter(F.col(f"h{k}") != 0).groupBy("lang", *_prefix(k)).agg(F.sum("weight").alias("f"))
     return flow.filter(F.col("f") >= least)
