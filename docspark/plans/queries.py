@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators import catalog, evaluation, hybrid, incremental, lexical, relations, vectors
+from docspark.operators import catalog, evaluation, hybrid, incremental, lexical, relations, stored_index, vectors
 from docspark.plans.tables import CHUNKS, EVENTS, FILES, HITS, KEY, chunks, files, fs_events, hits
 from docspark.sources.files import read_table
+from docspark.storage import fresh_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,6 +77,28 @@ def bm25(spark, sf):
 QUERIES["l9_bm25"], ORACLES["l9_bm25"] = bm25, f"WITH {_BM25} SELECT * FROM bm"
 
 
+@query("l9_stored_index", f"WITH {_BM25} SELECT * FROM bm")
+def l9_stored(spark, sf):
+    index = stored_index.write_index(read_table(spark, sf, "documents"), fresh_folder(spark, "index"))
+    return stored_index.search_index(index, lexical.query_terms(read_table(spark, sf, "benchmark"), "item_id"), 10)
+
+
+_NOW = "d2 AS (SELECT doc_id, CASE WHEN doc_id % 7 != 3 AND doc_id % 13 = 0 THEN text || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 7 = 3 OR doc_id % 11 != 0)"
+
+
+@query("l9_updated_index", f"WITH {_NOW}, {_BM25.replace('FROM documents', 'FROM d2')} SELECT * FROM bm")
+def l9_updated(spark, sf):
+    """An index of an earlier listing, updated by what ``snapshot_diff`` finds: some files are new, some changed, some gone."""
+    docs, k = read_table(spark, sf, "documents").select("doc_id", "text", "source"), F.col("doc_id")
+    before = docs.filter(k % 7 != 3)
+    now = docs.filter((k % 7 == 3) | (k % 11 != 0)).withColumn("text", F.when((k % 7 != 3) & (k % 13 == 0), F.concat_ws(" ", "text", "source")).otherwise(F.col("text")))
+    listing = lambda d: d.select(k.alias("file_key"), k.cast("string").alias("path"), F.sha2("text", 256).alias("content_sha256"), F.lit(True).alias("present"))
+    changes = incremental.snapshot_diff(listing(before), listing(now)).select(F.col("file_key").alias("chunk_id"), "change")
+    index = stored_index.write_index(before, fresh_folder(spark, "index"))
+    index = stored_index.update_index(index, changes, now)
+    return stored_index.search_index(index, lexical.query_terms(read_table(spark, sf, "benchmark"), "item_id"), 10)
+
+
 @query("l11_neighbor_context", f"WITH {CHUNKS} SELECT c.file_id, c.ordinal, left(b.text, 40) AS before, left(a.text, 40) AS after FROM chunks c LEFT JOIN chunks b ON b.file_id = c.file_id AND b.ordinal = c.ordinal - 1 LEFT JOIN chunks a ON a.file_id = c.file_id AND a.ordinal = c.ordinal + 1 WHERE c.text LIKE '%a%'")
 def l11(spark, sf):
     c = chunks(spark, sf)

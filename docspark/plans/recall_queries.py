@@ -96,6 +96,12 @@ def scored(spark, sf):
 
 query("p8_metadata_scores", f"WITH {_META} SELECT * FROM meta")(scored)
 
+
+@query("p8_best_by_metadata", f"WITH {_META} SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, file_id) AS place FROM meta QUALIFY place <= 24")
+def best_scored(spark, sf):
+    return recall.best_by_metadata(questions(spark, sf), file_profiles(spark, sf))
+
+
 _WORDS = {"first": ("thand", "ationthe", "the"), "second": ("ering", "Wh", "src1"), "third": ("ouble", "esthe", "Doc 1")}
 _RULES = ", ".join(f"({-i}, '{n}', least(1.0, round(({' + '.join(f'3 * contains(title, {Q}{w}{Q})::INT + 2 * (len(list_filter(section_titles, lambda s: contains(s, {Q}{w}{Q}))) > 0)::INT + contains(summary, {Q}{w}{Q})::INT + contains(display_name, {Q}{w}{Q})::INT' for w in ws)}) / 6, 6)))" for i, (n, ws) in enumerate(_WORDS.items()))
 
@@ -114,14 +120,14 @@ _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 @query("p9_rank_documents", f"WITH {_META}, c AS (SELECT * FROM meta QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, file_id) <= 24), v AS (SELECT c.*, coalesce({_COS}, 0) AS cos FROM c LEFT JOIN embeddings a ON a.vec_id = question_id LEFT JOIN embeddings b ON b.vec_id = file_id), z AS (SELECT question_id, file_id, round(CASE WHEN cos > 0 THEN 0.55 * score + 0.45 * cos ELSE 0.8 * score END, 6) AS score, signals || CASE WHEN cos > 0 THEN ',vector_match' ELSE '' END AS signals FROM v), p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, file_id) AS place FROM z) SELECT * FROM p WHERE place <= 8 AND score >= 0.25")
 def p9(spark, sf):
-    return recall.rank_documents(scored(spark, sf), vectors_of(spark, sf, "question_id"), vectors_of(spark, sf, "file_id"))
+    return recall.rank_documents(best_scored(spark, sf), vectors_of(spark, sf, "question_id"), vectors_of(spark, sf, "file_id"))
 
 
 @query("p11_parallel_recall", f"WITH {_META}, c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, file_id) AS place FROM meta QUALIFY place <= 24), n AS (SELECT a.vec_id AS question_id, b.vec_id AS file_id, round((1 + {_COS}) / 2, 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS place FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b QUALIFY place <= 40), l AS (SELECT question_id, file_id, place, signals, 0 AS o FROM c UNION ALL SELECT question_id, file_id, place, 'semantic_match', 1 FROM n WHERE s >= 0.62), f AS (SELECT question_id, file_id, round(sum(1.0 / (60 + place)), 9) AS fused, string_agg(signals, ',' ORDER BY o) AS signals FROM l GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, file_id) AS place FROM f QUALIFY place <= 8) SELECT question_id, file_id, round(fused / max(fused) OVER (PARTITION BY question_id), 6) AS score, signals, place FROM p")
 def p11(spark, sf):
     asked = vectors_of(spark, sf, "query_id").join(questions(spark, sf).select(F.col("question_id").alias("query_id")), "query_id", "left_semi")
     near = profiles.semantic_recall(asked, vectors_of(spark, sf, "id"))
-    return recall.parallel_recall(scored(spark, sf), near.select(F.col("query_id").alias("question_id"), F.col("id").alias("file_id"), "place"))
+    return recall.parallel_recall(best_scored(spark, sf), near.select(F.col("query_id").alias("question_id"), F.col("id").alias("file_id"), "place"))
 
 
 _TARGETS = """tg AS (SELECT item_id AS target_id, CASE WHEN item_id % 3 = 0 THEN 'fr' END AS document_type, CASE item_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Doc ' || item_id || '_v2.en' ELSE 'Doc ' || item_id % 90 END AS name, CASE WHEN item_id % 2 = 0 THEN 'Doc ' || item_id % 17 END AS entity, item_id % 4 = 0 AS self, item_id % 6 = 1 AS precise, CASE WHEN item_id % 7 = 3 THEN item_id END AS active, CASE WHEN item_id % 8 < 3 THEN [item_id, item_id + 1] END AS refs FROM benchmark)"""

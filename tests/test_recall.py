@@ -50,6 +50,21 @@ def test_metadata_scores(spark):
     assert got == {(1, 1): (0.8, "title_match,type_match"), (1, 3): (0.15, "summary_match"), (2, 1): (0.45, "title_match"), (3, 1): (0.3, "keyword_match"), (3, 3): (0.2, "entity_match")}
 
 
+def test_best_without_all_pairs(spark):
+    r = random.Random(7)
+    some = lambda words, k: r.sample(words, r.randrange(k + 1)) or None
+    words = ["合同", "预算", "report", "AI", "ab", "plan b", "项目", "a", " 总结 ", "长长长的标题文字"]
+    rows = [(i, r.choice(["Doc 1.txt", "Doc 合同.md", f"x{i % 9}.pdf", "zz", None]), r.choice(["t", "AI plan", None, ""]), r.choice(["report", "paper", None]), r.choice(["报告", "论文", None]), some(words, 3), some(words, 2), some(words, 2), r.choice([None, "预算 report", "ab", "x"])) for i in range(160)]
+    rows += [rows[3]] * 2
+    p = spark.createDataFrame(rows, PROFILE).dropDuplicates(["file_id"])
+    asked = ["Doc 的合同 report 预算", "AI plan b", "论文", "合", "D", "zz top", "", None, "长长长的标题文字 项目 报告 x1.pdf", "ab"]
+    q = spark.createDataFrame(list(enumerate(asked)), "question_id long, text string")
+    want = sorted(tuple(x) for x in recall.best(recall.metadata_scores(q, p), 7).collect())
+    for common in (2, 25, 1000):
+        assert sorted(tuple(x) for x in recall.best_by_metadata(q, p, 7, common).collect()) == want
+    assert recall.best_by_metadata(q, p.limit(0)).collect() == [] and recall.best_by_metadata(q.limit(0), p).collect() == []
+
+
 def test_scores_are_capped_and_types_by_rule(spark):
     p = spark.createDataFrame([(1, "合同.pdf", "合同", "contract", "合同", ["合同"], ["合同"], ["合同"], "合同")], PROFILE)
     got = recall.metadata_scores(spark.createDataFrame([(1, "这份合同")], "question_id long, text string"), p).first()
