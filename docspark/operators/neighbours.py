@@ -26,7 +26,7 @@ def _good(df: DataFrame, id_col: str, dimension: int) -> DataFrame:
     return df.filter(v.isNotNull() & (F.size(v) == dimension)).filter(finite).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-300)
 
 
@@ -43,7 +43,7 @@ def train_cells(x: np.ndarray, cells: int, rounds: int = 25, seed: int = 7) -> n
         lost = np.flatnonzero(np.bincount(own, minlength=len(c)) == 0)
         if len(lost):
             sums[lost] = x[np.argsort(near[np.arange(len(x)), own])[: len(lost)]]
-        c = _unit(sums)
+        c = unit(sums)
     return c
 
 
@@ -75,7 +75,7 @@ def write_index(vectors: DataFrame, path: str, dimension: int, cells: int | None
     good = _good(vectors, "id", dimension)
     n = good.count()
     picked = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
-    x = _unit(np.array([r["vector"] for r in picked], np.float64).reshape(-1, dimension))
+    x = unit(np.array([r["vector"] for r in picked], np.float64).reshape(-1, dimension))
     c = train_cells(x, max(1, min(cells or min(4 * math.isqrt(n), 1024), max(len(x) // 8, 1)))) if n else np.zeros((1, dimension))
     probes = probes_for(x, c, k, recall) if n else 1
     rows = [(i, v.tolist(), probes) for i, v in enumerate(c)]
@@ -84,7 +84,7 @@ def write_index(vectors: DataFrame, path: str, dimension: int, cells: int | None
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((_unit(own) @ c.T).argmax(axis=1).astype(np.int32))], ["id", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((unit(own) @ c.T).argmax(axis=1).astype(np.int32))], ["id", "vector", "cell"])
 
     placed = good.mapInArrow(assign, "id long, vector array<double>, cell int")
     placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.partitionBy("cell").option("compression", "zstd").parquet(f"{path}/vectors")
@@ -104,7 +104,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, dimension:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-            near = np.argsort(-(_unit(own) @ c.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            near = np.argsort(-(unit(own) @ c.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
             rows = pa.array(np.repeat(np.arange(len(own)), probes))
             yield pa.RecordBatch.from_arrays([*(x.take(rows) for x in batch.columns), pa.array(near.reshape(-1))], ["id", "vector", "cell"])
 
@@ -137,7 +137,7 @@ def scored_share(spark: SparkSession, path: str, queries: DataFrame, dimension:
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-            near = np.argsort(-(_unit(own) @ c.T), axis=1, kind="stable")[:, :probes]
+            near = np.argsort(-(unit(own) @ c.T), axis=1, kind="stable")[:, :probes]
             yield pa.RecordBatch.from_arrays([pa.array(weight[near].sum(axis=1) / max(weight.sum(), 1.0))], ["share"])
 
     return _good(queries, "query_id", dimension).mapInArrow(share, "share double").agg(F.avg("share")).first()[0] or 0.0

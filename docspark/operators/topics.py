@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,67 +11,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.operators.vectors import cosine
+from docspark.operators.components import connected_components
+from docspark.operators.neighbours import train_cells
+from docspark.operators.neighbours import unit as _unit
+from docspark.operators.vectors import cosine, dot, l2_normalize
+from docspark.storage import cut
+
+
+#: Vectors at most that the pivots of ``semantic_pairs`` are fitted on, and pivots at most.
+PIVOT_SAMPLE, MOST_PIVOTS = 8192, 256
+
+
+def _parts(profiles: DataFrame, part: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Files by nearest pivot (``bucket, file_id, vector, pivot, angle, own``), each bucket's parts (``bucket, pivot, own, radius``), and the pivots.
+
+    A part holds about ``part`` files of one bucket and pivot; its radius is the largest angle to the pivot. The pivots are
+    k-means centroids of a sample of ``PIVOT_SAMPLE`` vectors at most, those of the smallest hashed ids.
+    """
+    p = profiles.filter("vector is not null and bucket is not null").select("bucket", F.col("file_id").cast("long").alias("file_id"), F.col("vector").cast("array<double>").alias("vector"))
+    sample = np.array([r["vector"] for r in p.orderBy(F.xxhash64("file_id"), "file_id").limit(PIVOT_SAMPLE).select("vector").collect()], np.float64)
+    if not len(sample):
+        sample = np.zeros((1, 1))
+    size = p.count()
+    pivots = train_cells(_unit(sample), int(np.clip(2 * size // max(part, 1), 1, min(MOST_PIVOTS, max(len(sample) // 8, 1)))))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = _unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) @ pivots.T
+            own = cos.argmax(axis=1)
+            angle = np.arccos(np.clip(cos[np.arange(len(own)), own], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "pivot", "angle"])
+
+    bucket = dict(p.dtypes)["bucket"]
+    placed = cut(p.mapInArrow(near, f"bucket {bucket}, file_id long, vector array<double>, pivot int, angle double"))
+    sizes = placed.groupBy("bucket", "pivot").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
+    placed = placed.join(sizes, ["bucket", "pivot"]).withColumn("own", F.pmod(F.xxhash64("file_id"), "parts")).drop("parts")
+    return placed, placed.groupBy("bucket", "pivot", "own").agg(F.max("angle").alias("radius")), pivots
+
+
+def _blocks(parts: DataFrame, pivots: np.ndarray, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of parts of a bucket that may hold a pair of files, and all pairs of parts.
+
+    Files at angles r and s from pivots at an angle d are at least d - r - s apart. Scores are rounded before they are compared.
+    """
+    between = parts.sparkSession.createDataFrame([(i, j, float(a)) for i, row in enumerate(np.arccos(np.clip(pivots @ pivots.T, -1, 1))) for j, a in enumerate(row)], "p1 int, p2 int, apart double")
+    side = lambda n: parts.select("bucket", F.col("pivot").alias(f"p{n}"), F.col("own").alias(f"o{n}"), F.col("radius").alias(f"r{n}"))
+    every = side(1).join(side(2), "bucket").filter("p1 < p2 or (p1 = p2 and o1 <= o2)")
+    most = math.acos(max(min(threshold - 1e-6, 1.0), -1.0)) + 1e-9
+    return every.join(F.broadcast(between), ["p1", "p2"]).filter((F.col("p1") == F.col("p2")) | (F.col("apart") - F.col("r1") - F.col("r2") <= most)), every  # at most MOST_PIVOTS squared rows
 
 
 def semantic_pairs(profiles: DataFrame, threshold: float = 0.8, part: int = 1024) -> DataFrame:
     """``left_file_id, right_file_id, confidence``: files of one bucket (``file_id, bucket, vector``) of at least this cosine.
 
-    A bucket is dealt to parts of about ``part`` files, and each two parts meet in one task as one matrix product, so the memory
-    of a task doesn't grow with the bucket.
+    Files are dealt to parts of about ``part`` by bucket and nearest pivot. Two parts meet in one task as one matrix product, unless the
+    angle between their pivots shows by the triangle inequality that none of their files are near enough. A task's memory doesn't grow with
+    the bucket. Vectors of a bucket have one length; null buckets and vectors have no pairs.
     """
-    sizes = profiles.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
-    p = profiles.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("file_id"), "parts"))
-    # A part of number i goes to the blocks (i, j) and (j, i), with the smaller number first.
-    each = p.select("bucket", "file_id", "own", F.col("vector").cast("array<double>").alias("vector"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    blocks = each.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "file_id", "vector")
+    placed, parts, pivots = _parts(profiles, part)
+    kept = _blocks(cut(parts), pivots, threshold)[0].select("bucket", "p1", "o1", "p2", "o2")
+    sides = [placed.join(kept.withColumnsRenamed({f"p{n}": "pivot", f"o{n}": "own"}).withColumns({f"p{n}": F.col("pivot"), f"o{n}": F.col("own")}), ["bucket", "pivot", "own"]).select("bucket", "p1", "o1", "p2", "o2", F.lit(n).alias("side"), "file_id", "vector") for n in (1, 2)]
+    blocks = sides[0].unionByName(sides[1].filter("p1 != p2 or o1 != o2"))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["vector"].to_numpy())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        own, ids = pdf["own"].to_numpy(), pdf["file_id"].to_numpy()
-        left, right = own == pdf["a"].iloc[0], own == pdf["b"].iloc[0]
+        v, left = _unit(np.stack(pdf["vector"].to_numpy())), (pdf["side"] == 1).to_numpy()
+        ids, same = pdf["file_id"].to_numpy(), pdf["p1"].iloc[0] == pdf["p2"].iloc[0] and pdf["o1"].iloc[0] == pdf["o2"].iloc[0]
+        right = left if same else ~left
         score = np.round(v[left] @ v[right].T, 6)
         i, j = np.nonzero(score >= threshold)
         x, y, s = ids[left][i], ids[right][j], score[i, j]
-        keep = x < y if pdf["a"].iloc[0] == pdf["b"].iloc[0] else x != y
-        return pd.DataFrame({"left_file_id": np.minimum(x, y)[keep], "right_file_id": np.maximum(x, y)[keep], "confidence": s[keep]})
+        keep = x < y if same else x != y
+        x, y, s = x[keep], y[keep], s[keep]
+        return pd.DataFrame({"left_file_id": np.minimum(x, y), "right_file_id": np.maximum(x, y), "confidence": s})
+
+    return blocks.groupBy("bucket", "p1", "o1", "p2", "o2").applyInPandas(match, "left_file_id long, right_file_id long, confidence double")
 
-    return blocks.groupBy("bucket", "a", "b").applyInPandas(match, "left_file_id long, right_file_id long, confidence double")
 
+def block_share(profiles: DataFrame, threshold: float = 0.8, part: int = 1024) -> tuple[int, int]:
+    """How many pairs of parts ``semantic_pairs`` multiplies, and how many there are."""
+    _, parts, pivots = _parts(profiles, part)
+    kept, every = _blocks(cut(parts), pivots, threshold)
+    return kept.count(), every.count()
 
-def seed_expand_groups(profiles: DataFrame, consumed: DataFrame, threshold: float = 0.8, k: int = 8, cap: int = 1000) -> DataFrame:
+
+#: Seeds of a component that one round works on.
+SEEDS = 256
+
+
+def seed_expand_groups(profiles: DataFrame, consumed: DataFrame, threshold: float = 0.8, k: int = 8, cap: int | None = None, seeds: int = SEEDS) -> DataFrame:
     """``seed_file_id, file_id, similarity, confidence``: exclusive groups around seeds, by bucket (``file_id, bucket, vector``).
 
-    Files already ``consumed`` are left out. A bucket's first ``cap`` files by id take part, which is the operator's own limit.
-    Files become seeds in the order of their nearest neighbour's similarity, then the mean, then id; a seed takes its ``k`` nearest free
-    files of at least ``threshold``. Confidence is their mean.
+    Files already ``consumed`` are left out; with ``cap`` only a bucket's first files by id take part. Files become seeds in the order of their
+    nearest neighbour's similarity, then the mean to their bucket, then id; a seed takes its ``k`` nearest free files of at least
+    ``threshold``. Confidence is their mean.
+
+    Similar files form a graph, whose components don't touch each other. Each round gives a task the ``seeds`` best free files of a component, each with
+    its nearest free neighbours, as many as could be taken before its turn and ``k`` more; so the task takes what one pass
+    over the whole bucket would, and holds rows of that number only. What was taken leaves the graph for the next round.
     """
-    free = profiles.join(consumed.select("file_id"), "file_id", "left_anti")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("file_id"))
-    some = free.withColumn("place", place).filter(F.col("place") <= cap).select("bucket", "file_id", F.col("vector").cast("array<double>").alias("vector"))
+    free = profiles.join(consumed.select("file_id"), "file_id", "left_anti").filter("vector is not null and bucket is not null")
+    if cap is not None:
+        free = free.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("file_id"))).filter(F.col("place") <= cap)
+    free = cut(free.select("bucket", F.col("file_id").cast("long").alias("file_id"), F.col("vector").cast("array<double>").alias("vector")))
+    pairs = cut(semantic_pairs(free, threshold))
+    both = pairs.select(F.col("left_file_id").alias("file_id"), F.col("right_file_id").alias("other"), F.col("confidence").alias("similarity"))
+    both = both.union(pairs.select("right_file_id", "left_file_id", "confidence"))
+    order = both.groupBy("file_id").agg(F.max("similarity").alias("nearest")).join(_bucket_means(free), "file_id")
+    parts = connected_components(pairs, "left_file_id", "right_file_id").select(F.col("node").alias("file_id"), "component")
+    order = cut(order.join(parts, "file_id"))
+    most = k + seeds * (k + 1)
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("file_id")
-        ids, v = pdf["file_id"].to_numpy(), np.stack(pdf["vector"].to_numpy())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        near = np.round(v @ v.T, 6)
-        np.fill_diagonal(near, -2.0)
-        mean = np.round((near.sum(axis=1) + 2.0) / max(1, len(ids) - 1), 6)
-        seeds = np.lexsort((ids, -mean, -near.max(axis=1)))
-        open_, out = np.ones(len(ids), bool), []
-        for s in seeds if len(ids) > 1 else ():
-            if not open_[s]:
+        pdf = pdf.sort_values(["nearest", "mean", "file_id", "similarity", "other"], ascending=[False, False, True, False, True])
+        taken, out = set(), []
+        for seed, own in pdf.groupby("file_id", sort=False):
+            if seed in taken:
                 continue
-            own = np.where(open_, near[s], -2.0)
-            taken = np.lexsort((ids, -own))[:k]
-            taken = taken[own[taken] >= threshold]
-            if len(taken):
-                open_[taken] = open_[s] = False
-                out.append(pd.DataFrame({"seed_file_id": ids[s], "file_id": ids[taken], "similarity": own[taken], "confidence": np.round(own[taken].mean(), 6)}))
-        return pd.concat(out) if out else pd.DataFrame({"seed_file_id": [], "file_id": [], "similarity": [], "confidence": []})
-
-    return some.groupBy("bucket").applyInPandas(expand, "seed_file_id long, file_id long, similarity double, confidence double")
+            got = [(o, s) for o, s in zip(own["other"], own["similarity"], strict=True) if o not in taken][:k]
+            if got:
+                taken.update(o for o, _ in got)
+                taken.add(seed)
+                mean = float(np.round(np.mean([s for _, s in got]), 6))
+                out += [(seed, o, s, mean) for o, s in got]
+        return pd.DataFrame(out, columns=["seed_file_id", "file_id", "similarity", "confidence"])
+
+    schema = "seed_file_id long, file_id long, similarity double, confidence double"
+    groups, left = profiles.sparkSession.createDataFrame([], schema), cut(both)
+    best = Window.partitionBy("component").orderBy(F.desc("nearest"), F.desc("mean"), "file_id")
+    while left.limit(1).count():
+        turn = left.select("file_id").distinct().join(order, "file_id").withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= seeds).drop("turn")
+        lists = left.join(turn, "file_id").withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("similarity"), "other"))).filter(F.col("r") <= most).drop("r")
+        found = cut(lists.groupBy("component").applyInPandas(expand, schema))
+        groups = groups.unionByName(found)
+        used = found.select(F.explode(F.array("seed_file_id", "file_id")).alias("used")).distinct()
+        rest = left.join(used, F.col("file_id") == F.col("used"), "left_anti")
+        left = cut(rest.join(used, F.col("other") == F.col("used"), "left_anti"))
+    return groups
+
+
+def _bucket_means(free: DataFrame) -> DataFrame:
+    """``file_id, mean``: the mean cosine to the other files of the bucket, from the bucket's sum of unit vectors."""
+    u = l2_normalize(free)
+    sums = u.select("bucket", F.posexplode("vector").alias("pos", "x")).groupBy("bucket", "pos").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    sums = sums.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("sum"), F.max("n").alias("n"))
+    mean = (dot(F.col("vector"), F.col("sum")) - dot(F.col("vector"), F.col("vector"))) / F.greatest(F.lit(1), F.col("n") - 1)
+    return u.join(sums, "bucket").select("file_id", F.round(mean, 6).alias("mean"))
 
 
 def refresh_suggestions(groups: DataFrame, decided: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -138,7 +138,7 @@ def r4(spark, sf):
 
 def groups(spark, sf):
     p = bucketed(spark, sf)
-    return topics.seed_expand_groups(p, p.filter("file_id % 13 = 0"), 0.25, 5, 10**6)
+    return topics.seed_expand_groups(p, p.filter("file_id % 13 = 0"), 0.25, 5)
 
 
 @query("r9_seed_groups")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docspark.operators import answers, extraction, memory, questions, recall, topics
@@ -121,6 +123,8 @@ def test_pairs_groups_and_lsh(spark):
     for part in (1000, 16):
         got = [(x.left_file_id, x.right_file_id) for x in topics.semantic_pairs(df, 0.8, part).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    kept, every = topics.block_share(df, 0.8, 16)
+    assert kept < every
     groups = topics.seed_expand_groups(df, df.filter("file_id < 5"), 0.8, 4).collect()
     files = [g.file_id for g in groups] + list({g.seed_file_id for g in groups})
     assert groups and len(files) == len(set(files)) and min(files) >= 5
@@ -130,3 +134,31 @@ def test_pairs_groups_and_lsh(spark):
     near = topics.vector_topk_lsh(q, df.select(F.col("file_id").alias("id"), "vector"), 5, 16).collect()
     exact = {(i, j) for i in range(0, 120, 6) for j in sorted(range(120), key=lambda j: (-round((1 + cos(rows[i][2], rows[j][2])) / 2, 6), j))[:5]}
     assert len(exact & {(x.query_id, x.id) for x in near}) >= 0.9 * len(exact)
+
+
+def one_pass(rows, threshold, k):
+    """Groups of one bucket (id, vector) taken one after the other."""
+    ids, v = [i for i, _ in rows], np.array([x for _, x in rows])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.round(v @ v.T, 6)
+    np.fill_diagonal(near, -2.0)
+    mean = np.round((v @ v.sum(axis=0) - 1) / max(1, len(ids) - 1), 6)
+    free, out = set(range(len(ids))), []
+    for s in sorted(range(len(ids)), key=lambda i: (-near[i].max(), -mean[i], ids[i])):
+        if s in free:
+            got = sorted((o for o in free if o != s and near[s, o] >= threshold), key=lambda o: (-near[s, o], ids[o]))[:k]
+            if got:
+                free -= {s, *got}
+                out += [(ids[s], ids[o], near[s, o]) for o in got]
+    return out
+
+
+@pytest.mark.parametrize("threshold,k,seeds", [(0.3, 3, 2), (0.1, 5, 3), (0.6, 2, 256)])
+def test_groups_as_in_one_pass(spark, threshold, k, seeds):
+    r = np.random.default_rng(int(10 * threshold))
+    rows = [(i, int(i % 3), r.standard_normal(6).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "file_id long, bucket int, vector array<double>")
+    got = topics.seed_expand_groups(df, df.filter("file_id % 10 = 4"), threshold, k, seeds=seeds).collect()
+    want = [g for b in range(3) for g in one_pass([(i, v) for i, c, v in rows if c == b and i % 10 != 4], threshold, k)]
+    assert sorted((x.seed_file_id, x.file_id, x.similarity) for x in got) == sorted(want)
+    assert topics.seed_expand_groups(df.limit(0), df, threshold, k).collect() == []
