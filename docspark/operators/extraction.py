@@ -16,11 +16,23 @@ BREAKING = ("p", "div", "br", "li", "h1", "h2", "h3", "tr")
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "times": "×", "euro": "€", "deg": "°", "amp": "&"}
 #: Those of them that need no semicolon.
 OPEN = ("lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "laquo", "raquo", "times", "deg", "amp")
-#: A symbol's definition at the beginning of a line of program code; the last group is its name.
+#: Words that may stand before a definition, and words that begin one.
+MODIFIERS = ("pub", "public", "private", "protected", "internal", "static", "export", "default", "abstract", "final", "open")
+DEFINING = ("def", "class", "fn", "func", "function", "interface", "struct", "enum", "trait", "impl", "record", "module")
+VARIABLES = ("const", "let", "var")
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+_NAME, _LINE = r"([A-Za-z_$][\w$]*)", r"^\s*"
+#: Definitions at the beginning of a line, by kind; the group is the name: a defining word and a name, a variable that is given a function,
+#: and a name with empty brackets before a brace.
 SYMBOLS = (
-    r"^\s*(?:(?:pub|public|private|protected|internal|static|export|default|abstract|final|open)\s+)*(?:async\s+)?(?:def|class|fn|func|function|interface|struct|enum|trait|impl|record|module)\s+([A-Za-z_$][\w$]*)",
-    r"^\s*(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=.*(?:=>|function\b)",
-    r"^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\s*\)\s*\{",
+    _LINE + f"(?:{_any_of(MODIFIERS)}\\s+)*(?:async\\s+)?{_any_of(DEFINING)}\\s+{_NAME}",
+    _LINE + f"{_any_of(VARIABLES)}\\s+{_NAME}\\s*=.*(?:=>|function\\b)",
+    _LINE + r"(?:function\s+)?([A-Za-z_]\w*)\s*\(\s*\)\s*\{",
 )
 #: GB18030, byte by byte as Latin-1 characters: single bytes, pairs, and groups of four, each where the one before ended.
 GB18030 = r"\G(?:[\x00-\x7F]+|[\x81-\xFE](?:[\x40-\x7E\x80-\xFE]|[\x30-\x39][\x81-\xFE][\x30-\x39]))"
@@ -86,60 +98,63 @@ def delimited_to_nodes(docs: DataFrame, separator: str = ",", id_col: str = "doc
     return text_lines_to_nodes(rows.groupBy("doc_id").agg(text.alias("text")))
 
 
-def code_to_nodes(docs: DataFrame, block: int = 120) -> DataFrame:
-    """``doc_id, ordinal, node_type, symbol, line_start, line_end, text`` of program code (``doc_id, text``).
+def code_to_nodes(docs: DataFrame, block: int = 120, format_col: str | None = None) -> DataFrame:
+    """``doc_id, ordinal, node_type, symbol, line_start, line_end, text, heading_path`` of program code (``doc_id, text``).
+
+    ``heading_path`` has the language of ``format_col``, where that is given and not null, and the symbol, where there is one.
 
     A symbol's node runs from its definition to the next; what stands before the first, if not blank, is a block. Texts
     without symbols are blocks of ``block`` lines. A text's lines are numbered where the text is, so no hot key arises.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"(?:\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")).alias("pos", "line"))
+    language = (F.col(format_col) if format_col else F.lit(None).cast("string")).alias("language")
+    lines = docs.select("doc_id", language, F.posexplode(F.split(F.regexp_replace("text", r"(?:\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")).alias("pos", "line"))
     found = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in SYMBOLS])
     whole = Window.partitionBy("doc_id")
     upto = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("symbol", found).withColumns({"part": F.count("symbol").over(upto), "symbols": F.count("symbol").over(whole)})
     lines = lines.withColumn("part", F.when(F.col("symbols") == 0, F.floor(F.col("pos") / block)).otherwise(F.col("part")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    nodes = lines.groupBy("doc_id", "part").agg(F.max("symbol").alias("symbol"), (F.min("pos") + 1).alias("line_start"), (F.max("pos") + 1).alias("line_end"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
+    nodes = lines.groupBy("doc_id", "part").agg(F.max("symbol").alias("symbol"), F.max("language").alias("language"), (F.min("pos") + 1).alias("line_start"), (F.max("pos") + 1).alias("line_end"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
     nodes = nodes.filter("text != ''").withColumn("ordinal", F.row_number().over(whole.orderBy("line_start")))
-    return nodes.select("doc_id", "ordinal", F.when(F.col("symbol").isNull(), "code_block").otherwise("code_symbol").alias("node_type"), "symbol", "line_start", "line_end", "text")
+    return nodes.select("doc_id", "ordinal", F.when(F.col("symbol").isNull(), "code_block").otherwise("code_symbol").alias("node_type"), "symbol", "line_start", "line_end", "text", F.array_compact(F.array("language", "symbol")).alias("heading_path"))
 
 
 #: Media types of extensions.
 MIME_OF_EXTENSION = {
-    "application/pdf": "pdf",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx docm",
-    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx xlsm",
-    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx pptm",
-    "application/msword": "doc",
-    "application/vnd.ms-excel": "xls",
-    "application/vnd.ms-powerpoint": "ppt",
-    "text/csv": "csv",
-    "text/tab-separated-values": "tsv",
-    "text/plain": "md txt text ini iml log conf cfg properties java kt kts go c cc cpp h hpp cs rb php swift scala sh ps1 sql json yaml yml toml xml css scss vue svelte",
-    "text/html": "html htm",
-    "application/zip": "zip",
-    "application/x-7z-compressed": "7z",
-    "application/vnd.rar": "rar",
-    "application/vnd.microsoft.portable-executable": "exe dll",
-    "application/x-msi": "msi",
-    "audio/mpeg": "mp3",
-    "audio/wav": "wav",
-    "audio/flac": "flac",
-    "audio/mp4": "m4a",
-    "video/mp4": "mp4",
-    "video/x-matroska": "mkv",
-    "video/quicktime": "mov",
-    "video/x-msvideo": "avi",
-    "video/webm": "webm",
-    "text/x-rust": "rs",
-    "text/x-python": "py",
-    "text/javascript": "js jsx mjs cjs",
-    "text/typescript": "ts tsx",
-    "image/jpeg": "jpg jpeg",
-    "image/png": "png",
-    "image/tiff": "tif tiff",
-    "image/bmp": "bmp",
-    "image/webp": "webp",
+    "application/pdf": ("pdf",),
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ("docx", "docm"),
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ("xlsx", "xlsm"),
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": ("pptx", "pptm"),
+    "application/msword": ("doc",),
+    "application/vnd.ms-excel": ("xls",),
+    "application/vnd.ms-powerpoint": ("ppt",),
+    "text/csv": ("csv",),
+    "text/tab-separated-values": ("tsv",),
+    "text/plain": ("md", "txt", "text", "ini", "iml", "log", "conf", "cfg", "properties", "java", "kt", "kts", "go", "c", "cc", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "scala", "sh", "ps1", "sql", "json", "yaml", "yml", "toml", "xml", "css", "scss", "vue", "svelte"),
+    "text/html": ("html", "htm"),
+    "application/zip": ("zip",),
+    "application/x-7z-compressed": ("7z",),
+    "application/vnd.rar": ("rar",),
+    "application/vnd.microsoft.portable-executable": ("exe", "dll"),
+    "application/x-msi": ("msi",),
+    "audio/mpeg": ("mp3",),
+    "audio/wav": ("wav",),
+    "audio/flac": ("flac",),
+    "audio/mp4": ("m4a",),
+    "video/mp4": ("mp4",),
+    "video/x-matroska": ("mkv",),
+    "video/quicktime": ("mov",),
+    "video/x-msvideo": ("avi",),
+    "video/webm": ("webm",),
+    "text/x-rust": ("rs",),
+    "text/x-python": ("py",),
+    "text/javascript": ("js", "jsx", "mjs", "cjs"),
+    "text/typescript": ("ts", "tsx"),
+    "image/jpeg": ("jpg", "jpeg"),
+    "image/png": ("png",),
+    "image/tiff": ("tif", "tiff"),
+    "image/bmp": ("bmp",),
+    "image/webp": ("webp",),
 }
 #: First bytes, in hexadecimal digits.
 MAGIC = {
@@ -160,7 +175,7 @@ def detect_mime(extension: Column, content: Column, header: int = 4096) -> Colum
     """
     known = F.lit(None).cast("string")
     for mime, extensions in MIME_OF_EXTENSION.items():
-        known = F.when(extension.isin(extensions.split()), mime).otherwise(known)
+        known = F.when(extension.isin(*extensions), mime).otherwise(known)
     first = F.substring(content, 1, header)
     start, text = F.hex(F.substring(content, 1, 16)), first.cast("string")
     by_magic = F.lit(None).cast("string")

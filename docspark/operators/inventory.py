@@ -167,8 +167,8 @@ def apply_renames(catalog: DataFrame, events: DataFrame) -> DataFrame:
     return apply_events(placed, events)
 
 
-#: The allowed changes of a job's degradation level.
-LEVEL_STEPS = {"none": ["reduced", "minimal"], "reduced": ["none", "minimal"], "minimal": ["reduced"]}
+#: Degradation levels and those that may follow each; a level may also stay.
+LEVEL_STEPS = {"full": ["balanced"], "balanced": ["full", "core"], "core": ["balanced"]}
 
 
 def level_violations(history: DataFrame, steps: dict[str, list[str]] = LEVEL_STEPS) -> DataFrame:
@@ -176,3 +176,17 @@ def level_violations(history: DataFrame, steps: dict[str, list[str]] = LEVEL_STE
     h = history.select("job_id", "seq", F.col("level").alias("status"), F.lit(0.0).alias("progress"), F.lit(0).alias("processed"), F.lit(0).alias("total"))
     wrong = h.filter(~F.coalesce(F.col("status").isin(list(steps)), F.lit(False))).select("job_id", "seq", F.lit("unknown level").alias("problem"))
     return job_transition_violations(h, steps).union(wrong)
+
+
+def level_state_problems(states: DataFrame) -> DataFrame:
+    """``job_id, seq, problem`` of degradation states (``job_id, seq, level, triggers, disabled_features, entered_at, recover_after``).
+
+    A full level keeps no triggers or disabled features, any other has triggers and the time it was entered, and recovery isn't
+    looked for before that. Null lists are empty.
+    """
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    full = F.col("level").eqNullSafe("full")
+    problems = F.array_compact(F.array(
+        F.when(full & (some("triggers") | some("disabled_features")), "full with causes"), F.when(~full & (~some("triggers") | F.col("entered_at").isNull()), "no cause or time"), F.when(F.col("recover_after") < F.col("entered_at"), "recovery too early"),
+    ))
+    return states.select("job_id", "seq", F.explode(problems).alias("problem"))

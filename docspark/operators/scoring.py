@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.recall import stem
+from docspark.storage import cut
 
 #: The class of an error by the node that failed, and by parts of an error code, in order.
 BY_NODE = {
@@ -31,7 +34,9 @@ def component_scores(runs: DataFrame) -> DataFrame:
 
     Search: 20 points by recall, MRR and nDCG (.4, .3, .3) and latency. RAG: 30 by coverage, correctness, refusals, rejection of
     unauthorised sources, structured output and latency. Relations: 10 by precision, recall and type accuracy. Index: 20 by
-    parse, embedding and vector coverage (.5, .3, .2).
+    parse, embedding and vector coverage (.5, .3, .2). Recovery and logging: 4 of 10 if no log line breaks privacy
+    (``log_violations``), 2 if jobs can end or recover (``jobs_ok``), 2 if index keys are consistent (``index_keys_ok``), 1 if all files are in authorised
+    roots (``authorized_ok``); the tenth stands for the latency of cancelling, which isn't measured.
     """
     c = F.col
     missed = lambda pairs: F.array_join(F.array_compact(F.array(*[F.when(x, name) for x, name in pairs])), ",")
@@ -41,7 +46,10 @@ def component_scores(runs: DataFrame) -> DataFrame:
     relations = 10.0 * (0.45 * c("relation_precision") + 0.4 * c("relation_recall") + 0.15 * c("type_accuracy"))
     relations_missed = missed([(c("relation_precision") < 0.85, "semantic_relation_precision_below_target"), (c("relation_recall") < 0.80, "semantic_relation_recall_below_target")])
     index = 20.0 * (0.5 * c("parse_coverage") + 0.3 * c("embedding_coverage") + 0.2 * c("vector_coverage"))
-    rows = [("search_quality", search, 20.0, F.lit("")), ("strict_rag", rag, 30.0, rag_missed), ("relations_and_collections", relations, 10.0, relations_missed), ("index_coverage", index, 20.0, F.lit(""))]
+    logs_ok = c("log_violations") == 0
+    runtime = 4.0 * logs_ok.cast("int") + 2.0 * c("jobs_ok").cast("int") + 2.0 * c("index_keys_ok").cast("int") + 1.0 * c("authorized_ok").cast("int")
+    runtime_missed = missed([(~c("jobs_ok"), "nonrecoverable_background_jobs"), (~c("index_keys_ok"), "index_key_mapping_inconsistent"), (~c("authorized_ok"), "files_outside_authorized_roots"), (~logs_ok, "runtime_log_privacy_violation"), (F.lit(True), "runtime_cancel_latency_not_measured")])
+    rows = [("search_quality", search, 20.0, F.lit("")), ("strict_rag", rag, 30.0, rag_missed), ("relations_and_collections", relations, 10.0, relations_missed), ("index_coverage", index, 20.0, F.lit("")), ("runtime_recovery_logging", runtime, 10.0, runtime_missed)]
     each = F.array(*[F.struct(F.lit(n).alias("component"), F.round(e, 6).alias("earned"), F.lit(m).alias("maximum"), f.alias("failures")) for n, e, m, f in rows])
     return runs.select("run_id", F.explode(each).alias("s")).select("run_id", "s.*")
 
@@ -178,6 +186,52 @@ def freeze_batches(cases: DataFrame, size: int, batches: int, version: str = "v1
     return dealt.withColumn("turn", turn).join(F.broadcast(quota), ["batch", "intent"]).filter("turn <= quota").select("case_id", "file_id", "intent", "batch")  # quota: a row a batch and intent
 
 
+def _quotas(counts: pd.DataFrame, size: int) -> pd.DataFrame:
+    """Cases that each intent gives to one batch: one, and a share of the rest in proportion, whole numbers by largest remainder.
+
+    No intent gives more than it has; what that leaves goes round the intents in the same order until the batch is full.
+    """
+    c = counts.sort_values("intent")
+    n = c["n"].to_numpy()
+    share = max(0, size - len(n)) * n
+    quota, rest = np.minimum(n, 1 + share // n.sum()), share % n.sum()
+    order = np.lexsort((np.arange(len(n)), rest))[::-1]
+    while quota.sum() < min(size, n.sum()):
+        for i in order:
+            if quota[i] < n[i] and quota.sum() < size:
+                quota[i] += 1
+    return c.assign(quota=quota)[["batch", "intent", "quota"]]
+
+
+def freeze_splits(cases: DataFrame, size: int, dev_batches: int, version: str = "v1") -> DataFrame:
+    """``case_id, file_id, intent, split, batch, batch_id``: ``dev_batches`` batches of ``DEV`` cases and one of ``HOLDOUT``, ``size`` cases each.
+
+    ``cases`` (``case_id, file_id, intent, split``). No file is in two batches: files are dealt to the batches by a digest of version and
+    file, the last batch being the holdout's. A null intent is ``unknown``. Within a batch intents have the quotas of
+    ``_quotas``, and cases go by digest. A batch that can't be filled, or has more intents than cases, is an error. ``batch_id`` ends in
+    the first twelve digits of the digest of the batch's cases.
+    """
+    if not version.strip() or size < 1 or dev_batches < 1:
+        raise ValueError("a version, a size and a number of batches are asked for")
+    digest = lambda *c: F.sha2(F.concat_ws("\x1f", F.lit(version), *c), 256)
+    batch = F.pmod(F.conv(F.substring(digest("file_id"), 1, 8), 16, 10).cast("long"), F.lit(dev_batches + 1)).cast("int")
+    c = cases.select("case_id", "file_id", F.coalesce("intent", F.lit("unknown")).alias("intent"), "split").withColumn("batch", batch)
+    c = cut(c.filter(F.col("split") == F.when(F.col("batch") < dev_batches, "DEV").otherwise("HOLDOUT")))
+    quota = c.groupBy("batch", "intent").agg(F.count(F.lit(1)).alias("n")).groupBy("batch").applyInPandas(lambda pdf: _quotas(pdf, size), "batch int, intent string, quota long")  # a row a batch and intent
+    turn = F.row_number().over(Window.partitionBy("batch", "intent").orderBy(digest("split", "intent", "case_id"), "case_id"))
+    chosen = cut(c.withColumn("turn", turn).join(quota, ["batch", "intent"]).filter("turn <= quota").drop("turn", "quota"))
+    seen = {r["batch"]: (r["n"], r["intents"]) for r in chosen.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("intent").alias("intents")).collect()}  # a row a batch
+    for b in range(dev_batches + 1):
+        n, intents = seen.get(b, (0, 0))
+        if n != size or intents > size:
+            raise ValueError(f"{'DEV' if b < dev_batches else 'HOLDOUT'} batch {b % dev_batches} has {n} cases of {size}")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("case_id").cast("string"))), lambda x: x), "\n")  # size rows
+    named = chosen.groupBy("batch", "split").agg(digest("split", F.col("batch").cast("string"), ids).alias("d"))
+    place = F.when(F.col("split") == "DEV", F.col("batch")).otherwise(0)
+    named = named.select("batch", F.concat_ws("-", F.lit(version), F.lower("split"), F.lpad(place.cast("string"), 2, "0"), F.substring("d", 1, 12)).alias("batch_id"))
+    return chosen.join(F.broadcast(named), "batch").select("case_id", "file_id", "intent", "split", "batch", "batch_id")  # a row a batch
+
+
 def ragas_samples(cases: DataFrame, observations: DataFrame) -> DataFrame:
     """``case_id, user_input, response, contexts, reference`` of the questions (feature ``ASK``) that were observed."""
     c = cases.filter("feature = 'ASK'").select("case_id", F.col("question").alias("user_input"), F.col("gold").alias("reference"))

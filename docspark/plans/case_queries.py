@@ -15,15 +15,16 @@ from docspark.streaming import progress
 METRICS = "recall mrr ndcg citation_coverage correctness refusal_accuracy unauthorized_rejection structured_rate relation_precision relation_recall type_accuracy parse_coverage embedding_coverage vector_coverage".split()
 
 
-@query("q4_component_scores", f"""WITH m AS (SELECT s_suppkey AS run_id, {", ".join(f"(s_suppkey * {i + 3} % 21) / 20 AS {m}" for i, m in enumerate(METRICS))}, s_suppkey * 97 % 5000 + 1 AS sp, s_suppkey * 891 % 90000 + 1 AS ap FROM supplier)
+@query("q4_component_scores", f"""WITH m AS (SELECT s_suppkey AS run_id, {", ".join(f"(s_suppkey * {i + 3} % 21) / 20 AS {m}" for i, m in enumerate(METRICS))}, s_suppkey * 97 % 5000 + 1 AS sp, s_suppkey * 891 % 90000 + 1 AS ap, s_suppkey % 3 != 0 AS j, s_suppkey % 5 != 0 AS i, s_suppkey % 7 != 0 AS z, s_suppkey % 4 AS lv FROM supplier)
 SELECT run_id, 'search_quality' AS component, round(20 * (0.4 * recall + 0.3 * mrr + 0.3 * ndcg) * CASE WHEN sp <= 2000 THEN 1 ELSE greatest(0.5, 2000 / sp) END, 6) AS earned, 20.0 AS maximum, '' AS failures FROM m
 UNION ALL SELECT run_id, 'strict_rag', round(30 * (0.25 * citation_coverage + 0.25 * correctness + 0.15 * refusal_accuracy + 0.15 * unauthorized_rejection + 0.1 * structured_rate + 0.1 * CASE WHEN ap <= 30000 THEN 1 ELSE greatest(0.25, 30000 / ap) END), 6), 30.0, concat_ws(',', CASE WHEN citation_coverage < 1 THEN 'citation_coverage_below_hard_gate' END, CASE WHEN unauthorized_rejection < 1 THEN 'unauthorized_citation_rejection_below_hard_gate' END, CASE WHEN refusal_accuracy < 1 THEN 'refusal_accuracy_below_hard_gate' END, CASE WHEN correctness < 0.85 THEN 'factual_correctness_below_target' END) FROM m
 UNION ALL SELECT run_id, 'relations_and_collections', round(10 * (0.45 * relation_precision + 0.4 * relation_recall + 0.15 * type_accuracy), 6), 10.0, concat_ws(',', CASE WHEN relation_precision < 0.85 THEN 'semantic_relation_precision_below_target' END, CASE WHEN relation_recall < 0.80 THEN 'semantic_relation_recall_below_target' END) FROM m
-UNION ALL SELECT run_id, 'index_coverage', round(20 * (0.5 * parse_coverage + 0.3 * embedding_coverage + 0.2 * vector_coverage), 6), 20.0, '' FROM m""")
+UNION ALL SELECT run_id, 'index_coverage', round(20 * (0.5 * parse_coverage + 0.3 * embedding_coverage + 0.2 * vector_coverage), 6), 20.0, '' FROM m
+UNION ALL SELECT run_id, 'runtime_recovery_logging', CASE WHEN lv = 0 THEN 4.0 ELSE 0 END + CASE WHEN j THEN 2 ELSE 0 END + CASE WHEN i THEN 2 ELSE 0 END + CASE WHEN z THEN 1 ELSE 0 END, 10.0, concat_ws(',', CASE WHEN NOT j THEN 'nonrecoverable_background_jobs' END, CASE WHEN NOT i THEN 'index_key_mapping_inconsistent' END, CASE WHEN NOT z THEN 'files_outside_authorized_roots' END, CASE WHEN lv > 0 THEN 'runtime_log_privacy_violation' END, 'runtime_cancel_latency_not_measured') FROM m""")
 def q4(spark, sf):
     k = F.col("s_suppkey")
     m = [((k * (i + 3) % 21) / 20).alias(name) for i, name in enumerate(METRICS)]
-    return scoring.component_scores(read_table(spark, sf, "supplier").select(k.alias("run_id"), *m, (k * 97 % 5000 + 1).alias("search_p95_ms"), (k * 891 % 90000 + 1).alias("answer_p95_ms")))
+    return scoring.component_scores(read_table(spark, sf, "supplier").select(k.alias("run_id"), *m, (k * 97 % 5000 + 1).alias("search_p95_ms"), (k * 891 % 90000 + 1).alias("answer_p95_ms"), (k % 3 != 0).alias("jobs_ok"), (k % 5 != 0).alias("index_keys_ok"), (k % 7 != 0).alias("authorized_ok"), (k % 4).alias("log_violations")))
 
 
 _CASE = "o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_orderpriority AS p FROM orders)"
@@ -92,6 +93,16 @@ def q19(spark, sf):
     return scoring.freeze_batches(order_cases(spark, sf), 40, 4)
 
 
+@query("q19_freeze_splits", """WITH c AS (SELECT o_orderkey AS case_id, o_custkey AS file_id, o_orderpriority AS intent, CASE WHEN o_orderkey % 10 < 7 THEN 'DEV' ELSE 'HOLDOUT' END AS split, (('0x' || left(sha256(concat_ws(chr(31), 'v2', o_custkey)), 8))::BIGINT % 4)::INT AS batch FROM orders),
+d AS (SELECT * FROM c WHERE split = CASE WHEN batch < 3 THEN 'DEV' ELSE 'HOLDOUT' END), n AS (SELECT batch, intent, count(*) AS n FROM d GROUP BY 1, 2), s AS (SELECT *, greatest(0, 30 - count(*) OVER w) * n AS sh, sum(n) OVER w AS total FROM n WINDOW w AS (PARTITION BY batch)),
+q AS (SELECT batch, intent, 1 + sh // total AS whole, row_number() OVER (PARTITION BY batch ORDER BY sh % total DESC, intent DESC) AS turn FROM s), z AS (SELECT batch, intent, whole + (turn <= 30 - sum(whole) OVER (PARTITION BY batch))::INT AS quota FROM q),
+t AS (SELECT d.*, row_number() OVER (PARTITION BY batch, intent ORDER BY sha256(concat_ws(chr(31), 'v2', split, intent, case_id)), case_id) AS turn FROM d), k AS (SELECT case_id, file_id, intent, split, batch FROM t JOIN z USING (batch, intent) WHERE turn <= quota),
+i AS (SELECT batch, 'v2-' || lower(any_value(split)) || '-' || lpad((CASE WHEN any_value(split) = 'DEV' THEN batch ELSE 0 END)::VARCHAR, 2, '0') || '-' || left(sha256(concat_ws(chr(31), 'v2', any_value(split), batch, string_agg(case_id::VARCHAR, chr(10) ORDER BY case_id::VARCHAR))), 12) AS batch_id FROM k GROUP BY batch) SELECT * FROM k JOIN i USING (batch)""")
+def q19_splits(spark, sf):
+    cases = order_cases(spark, sf).withColumn("split", F.when(F.col("case_id") % 10 < 7, "DEV").otherwise("HOLDOUT"))
+    return scoring.freeze_splits(cases, 30, 3, "v2")
+
+
 _DIGEST = """dg AS (SELECT 'b' || (o_orderkey // 50) AS batch_id, count(*) AS cases, sha256(string_agg('{"case_id":' || o_orderkey || ',"intent":"' || o_orderpriority || '"}', chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1)"""
 
 
@@ -177,17 +188,17 @@ _ASKS = ["ask_started", "node_started", "node_progress", "node_completed", "node
 _NODE = "event_type IN ('node_started', 'node_progress', 'node_completed', 'node_failed', 'node_skipped')"
 
 
-@query("t5_ask_progress", f"""WITH e AS (SELECT user_id AS op, event_id AS arrival, event_id - CASE WHEN event_id % 9 = 4 THEN 3000 ELSE 0 END AS seq, {_ASKS}[CASE WHEN event_id % 97 = 0 THEN 1 ELSE event_id % 53 % 7 + 2 END] AS event_type, 'n' || event_id % 4 AS node_id, event_type AS delta, CASE WHEN event_id % 5 = 0 THEN 'failed' END AS st FROM events),
+@query("t5_ask_progress", f"""WITH e AS (SELECT user_id AS op, event_id AS arrival, event_id - CASE WHEN event_id % 9 = 4 THEN 3000 ELSE 0 END AS seq, {_ASKS}[CASE WHEN event_id % 97 = 0 THEN 1 ELSE event_id % 53 % 7 + 2 END] AS event_type, 'n' || event_id % 4 AS node_id, CASE WHEN event_id % 6 != 1 THEN event_id % 500 END AS dur, event_type AS delta, CASE WHEN event_id % 5 = 0 THEN 'failed' END AS st FROM events),
 a AS (SELECT * FROM e QUALIFY seq > coalesce(max(seq) OVER (PARTITION BY op ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000)), s AS (SELECT * FROM a QUALIFY seq >= coalesce(max(CASE WHEN event_type = 'ask_started' THEN seq END) OVER (PARTITION BY op), -1000000)),
-n AS (SELECT op, node_id, arg_max(CASE event_type WHEN 'node_completed' THEN 'completed' WHEN 'node_failed' THEN 'failed' WHEN 'node_skipped' THEN 'skipped' ELSE 'running' END, seq) AS st, max(seq) FILTER (event_type = 'node_started') AS b, max(seq) FILTER (event_type IN ('node_completed', 'node_failed', 'node_skipped')) AS x FROM s WHERE {_NODE} GROUP BY 1, 2),
-p AS (SELECT op, count(*) FILTER (st != 'skipped') AS steps, string_agg(node_id || ':' || st, ',' ORDER BY node_id) AS nodes FROM n GROUP BY 1), l AS (SELECT op, node_id, b, x FROM n WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY op ORDER BY b DESC) = 1),
+n AS (SELECT op, node_id, arg_max(CASE event_type WHEN 'node_completed' THEN 'completed' WHEN 'node_failed' THEN 'failed' WHEN 'node_skipped' THEN 'skipped' ELSE 'running' END, seq) AS st, max(seq) FILTER (event_type = 'node_started') AS b, max(seq) FILTER (event_type IN ('node_completed', 'node_failed', 'node_skipped')) AS x, list(CASE WHEN event_type IN ('node_completed', 'node_failed', 'node_skipped') THEN dur END ORDER BY seq DESC) FILTER (event_type IN ('node_started', 'node_completed', 'node_failed', 'node_skipped'))[1] AS took FROM s WHERE {_NODE} GROUP BY 1, 2),
+p AS (SELECT op, count(*) FILTER (st != 'skipped') AS steps, string_agg(node_id || ':' || st, ',' ORDER BY node_id) AS nodes, coalesce(string_agg(node_id || ':' || took, ',' ORDER BY node_id), '') AS durations FROM n GROUP BY 1), l AS (SELECT op, node_id, b, x FROM n WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY op ORDER BY b DESC) = 1),
 w AS (SELECT op, max(seq) AS last_sequence, arg_max(coalesce(st, 'completed'), seq) FILTER (event_type = 'ask_completed') AS final, max(seq) FILTER (event_type = 'ask_completed') AS c, coalesce(string_agg(delta, '' ORDER BY seq) FILTER (event_type = 'answer_delta'), '') AS answer FROM s GROUP BY 1)
-SELECT w.op::VARCHAR AS operation_id, CASE WHEN c IS NOT NULL AND c > coalesce(b, -1000000) THEN final WHEN b IS NOT NULL THEN 'running' ELSE 'started' END AS status, coalesce(steps, 0) AS steps, CASE WHEN b > coalesce(x, -1000000) AND b > coalesce(c, -1000000) THEN node_id END AS active_node, answer, last_sequence, coalesce(nodes, '') AS nodes FROM w LEFT JOIN p USING (op) LEFT JOIN l USING (op)""")
+SELECT w.op::VARCHAR AS operation_id, CASE WHEN c IS NOT NULL AND c > coalesce(b, -1000000) THEN final WHEN b IS NOT NULL THEN 'running' ELSE 'started' END AS status, coalesce(steps, 0) AS steps, CASE WHEN b > coalesce(x, -1000000) AND b > coalesce(c, -1000000) THEN node_id END AS active_node, answer, last_sequence, coalesce(nodes, '') AS nodes, coalesce(durations, '') AS durations FROM w LEFT JOIN p USING (op) LEFT JOIN l USING (op)""")
 def t5(spark, sf):
     i = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, _ASKS)), F.when(i % 97 == 0, 1).otherwise(i % 53 % 7 + 2).cast("int"))
     e = read_table(spark, sf, "events").select(
         F.col("user_id").alias("operation_id"), i.alias("arrival"), (i - F.when(i % 9 == 4, 3000).otherwise(0)).alias("sequence"), kind.alias("event_type"), F.concat(F.lit("n"), (i % 4).cast("string")).alias("node_id"),
-        F.lit(None).cast("long").alias("duration_ms"), F.col("event_type").alias("delta"), F.when(i % 5 == 0, "failed").alias("status"),
+        F.when(i % 6 != 1, i % 500).alias("duration_ms"), F.col("event_type").alias("delta"), F.when(i % 5 == 0, "failed").alias("status"),
     )
     return progress.ask_progress(e)

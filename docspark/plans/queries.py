@@ -216,6 +216,22 @@ def r7(spark, sf):
     return relations.describe_groups(edges, relations.connected_groups(edges))
 
 
+def family_edges(spark, sf):
+    """Files in eights: each with the first of its four, and the second four's first with the eight's first."""
+    k = F.col("doc_id")
+    to = F.when(k % 4 != 0, k - k % 4).when(k % 8 == 4, k - 4)
+    kind = F.when(k % 4 == 0, "summary").otherwise(F.element_at(F.array(*map(F.lit, ("summary", "duplicate", "version"))), (k % 3 + 1).cast("int")))
+    return read_table(spark, sf, "documents").select(k.alias("left_file_id"), to.alias("right_file_id"), kind.alias("relation_type"), F.lit(0.5).alias("confidence")).filter("right_file_id is not null")
+
+
+@query("r7_group_roles", """WITH e AS (SELECT doc_id AS l, CASE WHEN doc_id % 4 != 0 THEN doc_id - doc_id % 4 ELSE doc_id - 4 END AS r, CASE WHEN doc_id % 4 = 0 THEN 'summary' ELSE ['summary', 'duplicate', 'version'][doc_id % 3 + 1] END AS t FROM documents WHERE doc_id % 4 != 0 OR doc_id % 8 = 4),
+m AS (SELECT DISTINCT unnest([l, r]) AS file_id FROM e), s AS (SELECT l AS file_id, l, r, 'summary' AS role FROM e WHERE t = 'summary' UNION ALL SELECT r, l, r, 'source' FROM e WHERE t = 'summary'), f AS (SELECT file_id, role FROM s QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY l, r) = 1)
+SELECT file_id - file_id % 8 AS group_id, file_id, coalesce(role, 'member') AS role FROM m LEFT JOIN f USING (file_id)""")
+def r7_roles(spark, sf):
+    edges = family_edges(spark, sf)
+    return relations.group_roles(edges, relations.connected_groups(edges))
+
+
 @query("c1_path_key_c8_display", rf"WITH {FILES} SELECT file_id, {KEY} AS path_key, '…\' || array_to_string([x for x in string_split_regex(substr(canonical_path, 5), '[\\/]') if x != ''][-3:], '\') AS shown FROM files")
 def c1(spark, sf):
     return files(spark, sf).select("file_id", T.path_key(F.col("canonical_path")).alias("path_key"), T.display_path(F.col("canonical_path")).alias("shown"))

@@ -50,13 +50,13 @@ def x4(spark, sf):
 _FIRST = " ".join(f"WHEN regexp_matches(x, '{p}') THEN regexp_extract(x, '{p}', 1)" for p in extraction.SYMBOLS)
 
 
-@query("x5_code_nodes", rf"""WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '\n([Tt])', chr(10) || 'pub fn \1', 'g'), '(?:\r\n|\n|\r)\z', ''), '\r\n|\n|\r') AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS pos FROM d),
+@query("x5_code_nodes", rf"""WITH d AS (SELECT doc_id, lang, regexp_split_to_array(regexp_replace(regexp_replace(text, '\n([Tt])', chr(10) || 'pub fn \1', 'g'), '(?:\r\n|\n|\r)\z', ''), '\r\n|\n|\r') AS l FROM documents), x AS (SELECT doc_id, lang, unnest(l) AS x, unnest(range(0, len(l))) AS pos FROM d),
 s AS (SELECT *, CASE {_FIRST} END AS symbol FROM x), p AS (SELECT *, count(symbol) OVER (PARTITION BY doc_id ORDER BY pos) AS part, count(symbol) OVER (PARTITION BY doc_id) AS n FROM s),
-g AS (SELECT doc_id, CASE WHEN n = 0 THEN pos // 120 ELSE part END AS part, max(symbol) AS symbol, min(pos) + 1 AS line_start, max(pos) + 1 AS line_end, regexp_replace(string_agg(x, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS text FROM p GROUP BY 1, 2)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) AS ordinal, CASE WHEN symbol IS NULL THEN 'code_block' ELSE 'code_symbol' END AS node_type, symbol, line_start, line_end, sha256(text) AS text_sha FROM g WHERE text != ''""")
+g AS (SELECT doc_id, max(lang) AS lang, CASE WHEN n = 0 THEN pos // 120 ELSE part END AS part, max(symbol) AS symbol, min(pos) + 1 AS line_start, max(pos) + 1 AS line_end, regexp_replace(string_agg(x, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS text FROM p GROUP BY doc_id, CASE WHEN n = 0 THEN pos // 120 ELSE part END)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) AS ordinal, CASE WHEN symbol IS NULL THEN 'code_block' ELSE 'code_symbol' END AS node_type, symbol, line_start, line_end, sha256(text) AS text_sha, concat_ws('/', lang, symbol) AS heading FROM g WHERE text != ''""")
 def x5(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\n([Tt])", "\npub fn $1").alias("text"))
-    return extraction.code_to_nodes(d).withColumn("text_sha", F.sha2("text", 256)).drop("text")
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", r"\n([Tt])", "\npub fn $1").alias("text"))
+    return extraction.code_to_nodes(d, format_col="lang").withColumns({"text_sha": F.sha2("text", 256), "heading": F.array_join("heading_path", "/")}).drop("text", "heading_path")
 
 
 @query("x6_mime")
@@ -247,11 +247,11 @@ def e21(spark, sf):
     return memory.glossary_lookup(order_questions(spark, sf), t)
 
 
-@query("e22_memory_summaries", "WITH m AS (SELECT 'alias' AS kind, c_custkey AS id, c_name AS label, 'entity' AS target_type, c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END AS t, ['confirmed', 'candidate', 'rejected'][c_custkey % 3 + 1] AS status, c_custkey * 7 % 1000 AS updated_at FROM customer UNION ALL SELECT 'relation', s_suppkey, 'supplies', 'collection', s_nationkey % 7, 'confirmed', s_suppkey FROM supplier) SELECT kind, id, label, target_type, coalesce(n_name, r_name, '(removed)') AS target, coalesce(n_name, r_name) IS NOT NULL AS available, status, updated_at FROM m LEFT JOIN nation ON target_type = 'entity' AND n_nationkey = t LEFT JOIN region ON target_type = 'collection' AND r_regionkey = t WHERE status != 'rejected'")
+@query("e22_memory_summaries", "WITH m AS (SELECT 'alias' AS kind, c_custkey AS id, c_name AS label, 'entity' AS target_type, c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END AS t, ['confirmed', 'candidate', 'rejected'][c_custkey % 3 + 1] AS status, c_custkey * 7 % 1000 AS updated_at, ['你主动设置', '你在对话中确认过', '你选择过该文件', '多次使用后自动记住', '从资料中推测', '推测', NULL][c_custkey % 7 + 1] AS source_label FROM customer UNION ALL SELECT 'relation', s_suppkey, 'supplies', 'collection', s_nationkey % 7, 'confirmed', s_suppkey, '推测' FROM supplier) SELECT kind, id, label, target_type, coalesce(n_name, r_name, '(removed)') AS target, coalesce(n_name, r_name) IS NOT NULL AS available, status, updated_at, source_label FROM m LEFT JOIN nation ON target_type = 'entity' AND n_nationkey = t LEFT JOIN region ON target_type = 'collection' AND r_regionkey = t WHERE status != 'rejected'")
 def e22(spark, sf):
     c, k = read_table(spark, sf, "customer"), F.col("c_custkey")
-    a = c.select(k.alias("alias_id"), F.col("c_name").alias("alias"), F.lit("entity").alias("target_type"), (F.col("c_nationkey") + F.when(k % 10 == 0, 100).otherwise(0)).alias("target_id"), F.element_at(F.array(*map(F.lit, ("confirmed", "candidate", "rejected"))), (k % 3 + 1).cast("int")).alias("status"), (k * 7 % 1000).alias("updated_at"))
-    r = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("relation_id"), F.lit("supplies").alias("predicate"), F.lit("collection").alias("object_type"), (F.col("s_nationkey") % 7).alias("object_id"), F.lit("confirmed").alias("status"), F.col("s_suppkey").alias("updated_at"))
+    a = c.select(k.alias("alias_id"), F.col("c_name").alias("alias"), F.lit("entity").alias("target_type"), (F.col("c_nationkey") + F.when(k % 10 == 0, 100).otherwise(0)).alias("target_id"), F.element_at(F.array(*map(F.lit, ("confirmed", "candidate", "rejected"))), (k % 3 + 1).cast("int")).alias("status"), (k * 7 % 1000).alias("updated_at"), F.element_at(F.array(*map(F.lit, (*memory.SOURCE_LABELS, "other"))), (k % 7 + 1).cast("int")).alias("source_type"))
+    r = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("relation_id"), F.lit("supplies").alias("predicate"), F.lit("collection").alias("object_type"), (F.col("s_nationkey") % 7).alias("object_id"), F.lit("confirmed").alias("status"), F.col("s_suppkey").alias("updated_at"), F.lit("model_inference").alias("source_type"))
     named = read_table(spark, sf, "nation").select(F.lit("entity").alias("type"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).union(read_table(spark, sf, "region").select(F.lit("collection"), "r_regionkey", "r_name"))
     return memory.memory_summaries(a, r, named)
 

@@ -109,13 +109,24 @@ def o6_ocr(spark, sf):
     return inventory.activity_with_ocr(files(spark, sf), chunks(spark, sf), keyed_vectors(spark, sf), pages)
 
 
-@query("c14_level_violations", f"WITH h AS (SELECT l_orderkey AS job_id, l_linenumber AS seq, min(l_returnflag || l_linestatus) AS m FROM lineitem GROUP BY 1, 2), v AS (SELECT *, CASE m WHEN 'AF' THEN 'none' WHEN 'NO' THEN 'reduced' WHEN 'RF' THEN 'minimal' ELSE lower(m) END AS l FROM h), s AS (SELECT *, lag(l) OVER (PARTITION BY job_id ORDER BY seq) AS b FROM v) SELECT job_id, seq, 'transition' AS problem FROM s WHERE b IS NOT NULL AND b != l AND NOT coalesce((b = 'none' AND l IN ('reduced', 'minimal')) OR (b = 'reduced' AND l IN ('none', 'minimal')) OR (b = 'minimal' AND l = 'reduced'), FALSE) UNION ALL SELECT job_id, seq, 'unknown level' FROM s WHERE l NOT IN ('none', 'reduced', 'minimal')")
+@query("c14_level_violations", "WITH h AS (SELECT l_orderkey AS job_id, l_linenumber AS seq, min(l_returnflag || l_linestatus) AS m FROM lineitem GROUP BY 1, 2), v AS (SELECT *, CASE m WHEN 'AF' THEN 'full' WHEN 'NO' THEN 'balanced' WHEN 'RF' THEN 'core' ELSE lower(m) END AS l FROM h), s AS (SELECT *, lag(l) OVER (PARTITION BY job_id ORDER BY seq) AS b FROM v) SELECT job_id, seq, 'transition' AS problem FROM s WHERE b IS NOT NULL AND b != l AND b || '>' || l NOT IN ('full>balanced', 'balanced>full', 'balanced>core', 'core>balanced') UNION ALL SELECT job_id, seq, 'unknown level' FROM s WHERE l NOT IN ('full', 'balanced', 'core')")
 def c14_levels(spark, sf):
     h = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("seq")).agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("m"))
-    level = F.when(F.col("m") == "AF", "none").when(F.col("m") == "NO", "reduced").when(F.col("m") == "RF", "minimal").otherwise(F.lower("m"))
+    level = F.when(F.col("m") == "AF", "full").when(F.col("m") == "NO", "balanced").when(F.col("m") == "RF", "core").otherwise(F.lower("m"))
     return inventory.level_violations(h.select("job_id", "seq", level.alias("level")))
 
 
+@query("c14_level_states", "WITH s AS (SELECT event_id AS job_id, user_id AS seq, event_id % 3 = 0 AS f, event_id % 4 = 0 AS t, event_id % 5 = 0 AS d, event_id % 7 != 0 AS e, event_id % 11 = 0 AS early FROM events) SELECT job_id, seq, 'full with causes' AS problem FROM s WHERE f AND (t OR d) UNION ALL SELECT job_id, seq, 'no cause or time' FROM s WHERE NOT f AND (NOT t OR NOT e) UNION ALL SELECT job_id, seq, 'recovery too early' FROM s WHERE e AND early")
+def c14_states(spark, sf):
+    k, none = F.col("event_id"), F.array().cast("array<string>")
+    level = F.when(k % 3 == 0, "full").when(k % 2 == 0, "balanced").otherwise("core")
+    s = read_table(spark, sf, "events").select(
+        k.alias("job_id"), F.col("user_id").alias("seq"), level.alias("level"), F.when(k % 4 == 0, F.array("event_type")).otherwise(none).alias("triggers"), F.when(k % 5 == 0, F.array(F.lit("rerank"))).alias("disabled_features"),
+        F.when(k % 7 != 0, F.col("ts")).alias("entered_at"), (F.col("ts") + F.when(k % 11 == 0, F.expr("interval -1 minute")).otherwise(F.expr("interval 1 minute"))).alias("recover_after"),
+    )
+    return inventory.level_state_problems(s)
+
+
 @query("h5_sorted_files", f"WITH {HITS}, c AS (SELECT query_id, file_id, chunk_id, score AS fused, file_id * 37 % 101 AS m FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, chunk_id) = 1), r AS (SELECT 'relevance' AS sort, query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, m DESC, file_id) AS place FROM c UNION ALL SELECT 'modified', query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, file_id) FROM c UNION ALL SELECT 'name', query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY 'n' || file_id % 7, file_id) FROM c) SELECT * FROM r WHERE place <= 6")
 def h5_sorted(spark, sf):
     k = F.col("file_id")

@@ -17,7 +17,7 @@ def events():
         for _ in range(60):
             seq += r.choice([1, 1, 2, -3])
             kind = r.choice(["node_started", "node_started", "node_progress", "node_completed", "node_failed", "node_skipped", "answer_delta", "answer_delta", "ask_completed", "ask_started"])
-            rows.append((op, len(rows), seq, kind, f"n{r.randrange(4)}" if kind.startswith("node") else None, 5, "x" + str(len(rows)), r.choice([None, "failed"])))
+            rows.append((op, len(rows), seq, kind, f"n{r.randrange(4)}" if kind.startswith("node") else None, r.choice([None, 5, 70]), "x" + str(len(rows)), r.choice([None, "failed"])))
     return rows
 
 
@@ -33,6 +33,7 @@ def test_stream_equals_batch(spark, tmp_path):
             seen[r.operation_id] = tuple(r)
 
     spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # One file at a time, in the order of arrival.
     names = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
@@ -43,6 +44,8 @@ def test_stream_equals_batch(spark, tmp_path):
         time.sleep(0.2)
     run.stop()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert any(r[7] for r in want)
     assert len(names) == 3 and sorted(seen.values()) == want
 
 
