@@ -238,31 +238,46 @@ def node_flows(g: DataFrame, k: int, least: int) -> DataFrame:
 
 
 def compact(edges: DataFrame, most: int) -> DataFrame:
-    """``lang, path, place`` and the words of every edge: stretches without a branch, their edges numbered from 0.
+    """``edges`` (``item, weight, before, after``, the flows through their first and last node) with ``path, place, path_words``.
 
-    ``edges`` have ``item, weight, before`` and ``after`` (the flows through their first and last node). A node is passed without a
-    branch if an edge that comes in and one that goes out have all its flow. Edges point to their predecessor and the pointers are
-    doubled, so a stretch of n edges takes log n rounds; a round's table is written. Stretches begin where pieces do, so none is a ring.
+    A node is passed without a branch if an edge that comes in and one that goes out have all its flow. Edges point to their
+    predecessor over such a node and the pointers are doubled, so a stretch of n edges takes log n rounds; a round's table is
+    written. Stretches begin where pieces do, so none is a ring. Edges between branches are stretches of their own and stay as they are.
     """
     inner = _prefix(most - 1)
-    come = edges.filter("weight = after").select("lang", *(F.col(f"h{i + 1}").alias(f"h{i}") for i in range(1, most)), F.col("item").alias("to"))
-    go = edges.filter("weight = before").select("lang", *inner, "item")
-    links = go.join(come, ["lang", *inner]).filter("item != to")
-    now = cut(edges.select("item").join(links, "item", "left").select("item", F.coalesce("to", "item").alias("to"), F.col("to").isNotNull().cast("long").alias("place")))
-    open_ = now.filter("item != to").limit(1).count()
-    while open_:
-        further = now.filter("item != to").select(F.col("item").alias("to"), F.col("to").alias("next"), F.col("place").alias("more"))
+    chained = edges.filter("weight = before or weight = after")
+    come = chained.filter("weight = after").select("lang", *(F.col(f"h{i + 1}").alias(f"h{i}") for i in range(1, most)), F.col("item").alias("to"))
+    go = chained.filter("weight = before").select("lang", *inner, "item")
+    links = go.join(come, ["lang", *inner]).filter("item != to").select("item", "to")
+    now = cut(links.withColumn("place", F.lit(1).cast("long")))  # edges without a predecessor head their stretch
+    while now.limit(1).count():
+        further = now.select(F.col("item").alias("to"), F.col("to").alias("next"), F.col("place").alias("more"))
         now = cut(now.join(further, "to", "left").select("item", F.coalesce("next", "to").alias("to"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("next").isNotNull().alias("moved")))
-        open_ = now.filter("moved").limit(1).count()
-    return edges.join(now.select("item", F.col("to").alias("path"), "place"), "item").select("lang", *_prefix(most), "weight", "before", "after", "path", "place")
+        if not now.filter("moved").limit(1).count():
+            break
+    lengths = now.groupBy("to").agg((F.max("place") + most).alias("path_words"))
+    at = now.select("item", F.col("to").alias("path"), "place").unionByName(lengths.select(F.col("to").alias("item"), F.col("to").alias("path"), F.lit(0).cast("long").alias("place")))
+    at = at.join(lengths.withColumnRenamed("to", "path"), "path")
+    single = {"path": F.coalesce("path", "item"), "place": F.coalesce("place", F.lit(0).cast("long")), "path_words": F.coalesce("path_words", F.lit(most).cast("long"))}
+    return edges.filter("weight != before and weight != after").withColumns({"path": F.col("item"), "place": F.lit(0).cast("long"), "path_words": F.lit(most).cast("long")}).unionByName(chained.join(at, "item", "left").withColumns(single))
 
 
 def _scored(rows: DataFrame, size: int, flows: dict[int, DataFrame]) -> DataFrame:
-    """Candidates of ``size`` words (``lang, h.., a``) with ``l, r, score`` of their lowest cut."""
+    """Candidates of ``size`` words (``lang, h.., a``) with ``l, r, score`` of their lowest cut.
+
+    ``before`` and ``after``, where ``rows`` have them, are the counts without the last and without the first word.
+    """
     for k in range(1, size):
-        left = flows[k].withColumnRenamed("f", f"l{k}")
-        right = flows[size - k].select("lang", *(F.col(f"h{i}").alias(f"h{i + k}") for i in range(1, size - k + 1)), F.col("f").alias(f"r{k}"))
-        rows = rows.join(left, ["lang", *_prefix(k)]).join(right, ["lang", *_prefix(size - k, k + 1)])
+        known = "before" in rows.columns
+        if k == size - 1 and known:
+            rows = rows.withColumn(f"l{k}", F.col("before"))
+        else:
+            rows = rows.join(flows[k].withColumnRenamed("f", f"l{k}"), ["lang", *_prefix(k)])
+        if k == 1 and known:
+            rows = rows.withColumn(f"r{k}", F.col("after"))
+        else:
+            right = flows[size - k].select("lang", *(F.col(f"h{i}").alias(f"h{i + k}") for i in range(1, size - k + 1)), F.col("f").alias(f"r{k}"))
+            rows = rows.join(right, ["lang", *_prefix(size - k, k + 1)])
     cuts = [F.struct(_score(F.col("a"), F.col(f"l{k}"), F.col(f"r{k}")).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, size)]
     best = F.array_min(F.array(*cuts))
     return rows.select("lang", *_prefix(size), "a", "path_words", best["l"].alias("l"), best["r"].alias("r"), best["score"].alias("score"))
@@ -293,11 +308,8 @@ def collocations(
     inner = flows[most - 1]
     edges = edges.join(inner.withColumnRenamed("f", "before"), ["lang", *_prefix(most - 1)])
     edges = edges.join(inner.select("lang", *(F.col(f"h{i}").alias(f"h{i + 1}") for i in range(1, most)), F.col("f").alias("after")), ["lang", *_prefix(most - 1, 2)])
-    edges = compact(cut(edges.withColumn("item", F.monotonically_increasing_id())), most)
-    edges = cut(edges)
-    lengths = edges.groupBy("path").agg((F.count(F.lit(1)) + most - 1).alias("path_words"))
-
-    found = _scored(edges.join(lengths, "path").withColumnRenamed("weight", "a"), most, flows)
+    edges = cut(edges.withColumn("item", F.monotonically_increasing_id()))
+    found = _scored(compact(edges, most).withColumnRenamed("weight", "a"), most, flows)
     for size in range(most - 1, 1, -1):
         longer = edges.select("lang", *_prefix(most), F.col("weight").alias("w")) if size == most - 1 else flows[size + 1].withColumnRenamed("f", "w")
         shifted = longer.select("lang", *(F.col(f"h{i + 1}").alias(f"h{i}") for i in range(1, size + 1)), "w")
