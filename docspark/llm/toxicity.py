@@ -181,8 +181,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[li
     rows = hashed.filter(F.length("text").between(1, s.most_chars)).select("doc_id", "h").join(marks, F.col("doc_id") == F.col("__id"))
     rows = rows.groupBy("toxic", "h").agg(F.min("doc_id").alias("id")).select("toxic", F.col("h").alias("k"), "id")
     chosen = cut(rows.filter("toxic = 0").orderBy("k").limit(s.per_class).union(rows.filter("toxic = 1").orderBy("k").limit(s.per_class)))
-    found = hashed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("k"))).select("toxic", "k", "text").collect()
-    found = sorted({(r.toxic, r.k): r.text for r in found}.items())
+    found = hashed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("k")))
+    # Repeated rows of a chosen id and text meet before the driver gets one of each.
+    found = found.groupBy("toxic", "k").agg(F.min("text").alias("text")).collect()
+    found = sorted(((r.toxic, r.k), r.text) for r in found)
     texts, toxic = [text for _, text in found], [mark for (mark, _), _ in found]
     return texts, np.array(toxic, np.int64)
 

@@ -84,3 +84,13 @@ def test_toxicity(spark):
     assert held and sum(got[i].predicted == (i % 4 == 0) for i in held) >= 0.9 * len(held)
     assert got[900].score == got[901].score and len(got) == 242
     assert {r.score for r in toxicity.detect(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_toxicity_sample_of_repeated_rows(spark):
+    rows = [(1, "bad words here", "x")] * 400 + [(2, "good words", "x")] * 300 + [(3, None, "x"), (None, "no id", "x"), (4, "", "x"), (5, "long " * 9000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 0), (5, 0), (None, 1)], "doc_id long, toxic int")
+    texts, toxic = toxicity.training_sample(docs, labels, toxicity.Settings())
+    assert sorted(zip(texts, toxic.tolist(), strict=True)) == [("bad words here", 1), ("good words", 0)]
+    out = toxicity.detect(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
