@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import path_key
+from docspark.storage import cut
 
 
 def ancestors(key: Column) -> Column:
@@ -110,6 +111,66 @@ def content_manifest(files: DataFrame, buckets: int = 256) -> DataFrame:
     return low.agg(F.sum("n").alias("files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda s: s["digest"]), "\n"), 256).alias("digest"))
 
 
+#: Files that a leaf of a manifest tree may have, and bits of an id that a level tells apart.
+LEAF, STEP = 1024, 4
+
+
+def manifest_tree(files: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``shift, node, leaf, files, digest``: a tree of digests over (id, hash), with a node for each range of ids that has files.
+
+    A node holds the ids that are ``node`` after shifting right by ``shift`` bits (64 bits leave 0). A range of more than ``leaf`` files is cut in sixteen by the next four bits, so
+    no task collects more than a leaf's lines or sixteen digests, however ids are spread, and trees of two listings can be compared range by range. The root
+    has the largest shift. Repeated rows count each; rows without an id are left out; an empty listing has no nodes.
+    """
+    rows = cut(files.filter("file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), F.concat_ws(":", "file_id", "content_sha256").alias("line")))
+    ends = rows.agg(F.min("file_id").alias("low"), F.max("file_id").alias("high")).first()
+    empty = rows.sparkSession.createDataFrame([], "shift int, node long, leaf boolean, files long, digest string")
+    if ends["low"] is None:
+        return empty
+    top = 0
+    while top < 64 and ends["low"] >> top != ends["high"] >> top:
+        top += STEP
+    shifted = lambda c, by: F.shiftright(c, by) if by < 64 else F.lit(0).cast("long")
+    nodes, open_, shift = empty, rows, top
+    leaves = []
+    while True:
+        at = open_.withColumn("node", shifted("file_id", shift))
+        sizes = cut(at.groupBy("node").agg(F.count(F.lit(1)).alias("files")))
+        done = sizes.filter((F.col("files") <= leaf) | F.lit(shift == 0))
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_id", "line"))), lambda s: s["line"]), "\n")
+        found = at.join(done, "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("files"), F.sha2(lines, 256).alias("digest"))
+        leaves.append((shift, cut(found)))
+        more = sizes.join(done, "node", "left_anti")
+        if not more.limit(1).count():
+            break
+        open_ = cut(at.join(more, "node", "left_semi").drop("node"))
+        shift -= STEP
+    level = None
+    for shift, found in reversed(leaves):
+        own = found.select(F.lit(shift).alias("shift"), "node", F.lit(True).alias("leaf"), "files", "digest")
+        if level is not None:
+            children = F.array_sort(F.collect_list(F.struct("node", "digest")))
+            inner = level.select(shifted("node", STEP if shift < 64 else 64).alias("up"), "node", "files", "digest").groupBy("up").agg(F.sum("files").alias("files"), F.sha2(F.array_join(F.transform(children, lambda s: F.concat_ws(":", s["node"], s["digest"])), "\n"), 256).alias("digest"))
+            own = own.unionByName(inner.select(F.lit(shift).alias("shift"), F.col("up").alias("node"), F.lit(False).alias("leaf"), "files", "digest"))
+        level = cut(own)
+        nodes = nodes.unionByName(level)
+    return nodes
+
+
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``low, high, files_before, files_after``: the smallest ranges of ids in which two trees of ``manifest_tree`` differ.
+
+    A range counts if one tree has a leaf there and the other's digest for it isn't the same (or isn't there, and nor is a node above it that is a leaf in both).
+    """
+    a = before.select("shift", "node", F.col("leaf").alias("la"), F.col("files").alias("files_before"), F.col("digest").alias("da"))
+    b = after.select("shift", "node", F.col("leaf").alias("lb"), F.col("files").alias("files_after"), F.col("digest").alias("db"))
+    j = a.join(b, ["shift", "node"], "full_outer").filter((F.col("la") | F.col("lb")) & ~F.col("da").eqNullSafe(F.col("db")))
+    whole = F.col("shift") >= 64
+    low = F.when(whole, F.lit(-(2**63))).otherwise(F.call_function("shiftleft", F.col("node"), F.col("shift")))
+    high = F.when(whole, F.lit(2**63 - 1)).otherwise(low + (F.call_function("shiftleft", F.lit(1).cast("long"), F.least("shift", F.lit(60))) - 1))
+    return j.select(low.alias("low"), high.alias("high"), F.coalesce("files_before", F.lit(0)).alias("files_before"), F.coalesce("files_after", F.lit(0)).alias("files_after"))
+
+
 def recent_history(messages: DataFrame, users: int = 5, others: int = 5, chars: int = 400) -> DataFrame:
     """The newest user and other messages of each session in time order, white space folded, each cut."""
     w = Window.partitionBy("session_id", F.col("role") == "user").orderBy(F.desc("turn"))

@@ -282,6 +282,11 @@ def c15(spark, sf):
     return catalog.content_manifest(files(spark, sf))
 
 
+@query("c15_manifest_tree")
+def c15_tree(spark, sf):
+    return catalog.manifest_tree(files(spark, sf), leaf=64)
+
+
 @query("c16_status_counts", f"WITH {FILES} SELECT parse_status, extension, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM files GROUP BY GROUPING SETS ((parse_status), (extension), ())")
 def c16(spark, sf):
     return catalog.status_counts(files(spark, sf))

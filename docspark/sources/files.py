@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.catalog import apply_exclusions
@@ -20,21 +20,38 @@ def scan_inventory(spark: SparkSession, root: str, names: tuple = (), globs: tup
     return apply_exclusions(out.withColumn("canonical_path", F.col("relative_path")), list(names), list(globs), list(extensions)).drop("canonical_path")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, value`` of text files, which are split and read like any other.
+
+    A split's rows come in order and without gaps in ``monotonically_increasing_id``, and its offset in the file is known, so a
+    line's number is its place in the split after the lines of the splits before. Those counts are a row a split.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("at", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+
+
 def read_eval_cases(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Cases of JSONL files or of files with one JSON array, and rejected lines (``file, line_no, value``).
 
-    Each file is of the one kind or the other, by its first character. Blank and ``#`` lines are skipped; an array that doesn't
-    parse is rejected as line 1. A file of cases is read whole by one task.
+    Each file is of the one kind or the other, by the first character of its first line that isn't blank. Blank and ``#`` lines are skipped; an array that
+    doesn't parse is rejected as line 1. JSONL files are read in splits; a file with an array has no lines to split at, and one task reads it whole.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    array = F.ltrim("value").startswith("[")
-    lines = whole.filter(~array).select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), F.trim("value").alias("value"))
-    lines = lines.filter("value != '' and not startswith(value, '#')")
+    lines = numbered_lines(spark, path).withColumn("value", F.trim("value"))
+    kinds = lines.filter("value != ''").groupBy("file").agg(F.min_by("value", "line_no").alias("first"))
+    arrays = [r["file"] for r in kinds.filter("startswith(first, '[')").select("file").collect()]  # names of files
+    own = lines.filter(~F.col("file").isin(arrays)) if arrays else lines
+    own = own.filter("value != '' and not startswith(value, '#')")
     bad = lambda: F.try_parse_json("value").isNull()
-    cases = lines.filter(~bad()).select(F.from_json("value", schema).alias("row")).select("row.*")
-    listed = whole.filter(array & ~bad()).select(F.explode(F.from_json("value", f"array<struct<{schema}>>" if not schema.startswith("struct") else f"array<{schema}>")).alias("row")).select("row.*")
-    rejected = lines.filter(bad()).unionByName(whole.filter(array & bad()).select("file", F.lit(1).alias("line_no"), "value"))
-    return cases.unionByName(listed), rejected
+    cases = own.filter(~bad()).select(F.from_json("value", schema).alias("row")).select("row.*")
+    rejected = own.filter(bad())
+    if arrays:
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.col("file").isin(arrays))
+        cases = cases.unionByName(whole.filter(~bad()).select(F.explode(F.from_json("value", f"array<struct<{schema}>>" if not schema.startswith("struct") else f"array<{schema}>")).alias("row")).select("row.*"))
+        rejected = rejected.unionByName(whole.filter(bad()).select("file", F.lit(1).cast("long").alias("line_no"), "value"))
+    return cases, rejected
 
 
 def write_samples_jsonl(df: DataFrame, path: str) -> None:
