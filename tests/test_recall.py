@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.operators import answers, extraction, memory, questions, recall, topics
+from docspark.operators import answers, extraction, memory, questions, recall, relations, topics
 
 
 def test_decoding(spark):
@@ -162,3 +162,35 @@ def test_groups_as_in_one_pass(spark, threshold, k, seeds):
     want = [g for b in range(3) for g in one_pass([(i, v) for i, c, v in rows if c == b and i % 10 != 4], threshold, k)]
     assert sorted((x.seed_file_id, x.file_id, x.similarity) for x in got) == sorted(want)
     assert topics.seed_expand_groups(df.limit(0), df, threshold, k).collect() == []
+
+
+def test_longest_common_runs(spark):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("ab c长\t") for _ in range(n))
+    plain = lambda t: "".join(t.split())
+    common = lambda a, b: max((n for n in range(len(a) + 1) for k in range(len(a) - n + 1) if a[k : k + n] in b), default=0)
+    for _ in range(60):
+        a, b = text(r.randrange(40)), text(r.randrange(40))
+        assert questions.Substrings(a).longest_in(b) == common(a, b)
+    items, chunks = [(i, text(60)) for i in range(12)] + [(50, None), (51, "ab")], [(i, text(50)) for i in range(60)] + [(70, None), (71, "")]
+    want = []
+    for i, a in items:
+        best = max(((common(plain(a), plain(b or "")), -k) for k, b in chunks), default=(0, 0)) if a else (0, 0)
+        if best[0] >= 6:
+            want.append((i, -best[1], best[0]))
+    frames = [spark.createDataFrame(x, f"{n} long, text string") for x, n in ((items, "item_id"), (chunks, "chunk_id"))]
+    for rows in (4096, 3):
+        assert sorted(tuple(x) for x in questions.align_items(*frames, rows=rows).collect()) == want
+
+
+def test_containment_in_pieces(spark):
+    r = random.Random(6)
+    sets = [sorted({f"t{int(r.paretovariate(0.7)) % 40}" for _ in range(r.randrange(1, 30))}) for _ in range(140)]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    want = {(i, j) for a, i in first.items() for b, j in first.items() if len(b) > len(a) and round(len(set(a) & set(b)) / len(a), 6) >= 0.8}
+    df = spark.createDataFrame(list(enumerate(sets)), "file_id long, terms array<string>")
+    for rows in (4096, 5):
+        got = [(x.left_file_id, x.right_file_id) for x in relations.containment_pairs(df, 0.8, rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
