@@ -5,12 +5,10 @@ Each stage works on all that the one before kept, written as Parquet and read ag
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import exact_dedup, mixing, ngram_join, packing, quality
-from docspark.storage import shared_folder
+from docspark.storage import fresh_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table ``documents``."""
+    """The last stage's rows for the table ``documents``. The stages' files go when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
