@@ -24,7 +24,7 @@ from .common import cut, shuffle_width
 
 #: Cells of the pair filter and the ranges they are counted in: 16 MB as bits, broadcast whatever the corpus.
 CELLS, RANGES = 1 << 27, 128
-#: Words that a task holds before it counts them, and different phrases before it passes them on.
+#: Words that a task holds before it passes their counts on.
 HELD = 1 << 20
 
 _BREAK = np.zeros(256, bool)
@@ -111,7 +111,7 @@ def frequency_filter(texts: DataFrame, most: int, least: int) -> bytes:
             if len(words.hashes):
                 held += [cells[inside] for cells, inside in _cells(words, marks, most)]
                 size += most * len(words.hashes)
-            if size >= 4 * HELD:
+            if size >= 8 * HELD:
                 yield out(flush())
                 held, size = [], 0
         if held:
@@ -209,19 +209,19 @@ def _hot(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _counted(rows: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns and the sums of their weights (1 each). The key only brings equals together; columns are compared whole."""
-    if not rows.shape[1]:
-        return rows, np.zeros(0, np.int64)
+def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and how often each is there, in the order of their first words, which compresses well in the shuffle.
+
+    The key only brings equals together; columns are compared whole.
+    """
     key = np.zeros(rows.shape[1], np.uint64)
     for h in rows:
         key = K.mix(key * _STEP + h)
-    order = np.argsort(key)
-    rows = rows[:, order]
+    rows = rows[:, np.lexsort((key, rows[0]))]
     new = np.ones(rows.shape[1], bool)
     new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
     first = np.flatnonzero(new)
-    return rows[:, first], np.diff(np.append(first, rows.shape[1])).astype(np.int64) if weight is None else np.add.reduceat(weight[order], first)
+    return rows[:, first], np.diff(np.append(first, rows.shape[1])).astype(np.int64)
 
 
 def _prefix(k: int, start: int = 1) -> list[str]:
