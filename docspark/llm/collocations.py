@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import cut, shuffle_width
+from .common import cut, join_small, shuffle_width
 
 #: Cells of the pair filter and the ranges they are counted in: 16 MB as bits, broadcast whatever the corpus.
 CELLS, RANGES = 1 << 27, 128
@@ -111,7 +111,7 @@ def frequency_filter(texts: DataFrame, most: int, least: int) -> bytes:
             if len(words.hashes):
                 held += [cells[inside] for cells, inside in _cells(words, marks, most)]
                 size += most * len(words.hashes)
-            if size >= 8 * HELD:
+            if size >= 12 * HELD:
                 yield out(flush())
                 held, size = [], 0
         if held:
@@ -272,17 +272,22 @@ def _scored(rows: DataFrame, size: int, flows: dict[int, DataFrame]) -> DataFram
         if k == size - 1 and known:
             rows = rows.withColumn(f"l{k}", F.col("before"))
         else:
-            rows = rows.join(flows[k].withColumnRenamed("f", f"l{k}"), ["lang", *_prefix(k)])
+            rows = _joined(rows, flows[k].withColumnRenamed("f", f"l{k}"), ["lang", *_prefix(k)], k)
         if k == 1 and known:
             rows = rows.withColumn(f"r{k}", F.col("after"))
         else:
             right = flows[size - k].select("lang", *(F.col(f"h{i}").alias(f"h{i + k}") for i in range(1, size - k + 1)), F.col("f").alias(f"r{k}"))
-            rows = rows.join(right, ["lang", *_prefix(size - k, k + 1)])
+            rows = _joined(rows, right, ["lang", *_prefix(size - k, k + 1)], size - k)
     cuts = [F.struct(_score(F.col("a"), F.col(f"l{k}"), F.col(f"r{k}")).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, size)]
     best = F.array_min(F.array(*cuts))
     return rows.select("lang", *_prefix(size), "a", "path_words", best["l"].alias("l"), best["r"].alias("r"), best["score"].alias("score"))
 
 
+def _joined(rows: DataFrame, counts: DataFrame, on: list[str], words: int) -> DataFrame:
+    """Words' counts are few numbers a row and far fewer than phrases, so they are broadcast as far as their number allows."""
+    return join_small(rows, counts, on) if words == 1 else rows.join(counts, on)
+
+
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     """floor(1000000 * a * a / (l * r)) in whole decimals of 38 digits; beyond them Spark raises an error."""
     big = lambda c: c.cast("decimal(19,0)")

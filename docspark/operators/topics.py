@@ -103,7 +103,7 @@ def seed_expand_groups(profiles: DataFrame, consumed: DataFrame, threshold: floa
 
     Files already ``consumed`` are left out; with ``cap`` only a bucket's first files by id take part. Files become seeds in the order of their
     nearest neighbour's similarity, then the mean to their bucket, then id; a seed takes its ``k`` nearest free files of at least
-    ``threshold``. Confidence is their mean.
+    ``threshold``. Confidence is their mean, in whole millionths.
 
     Similar files form a graph, whose components don't touch each other. Each round gives a task the ``seeds`` best free files of a component, each with
     its nearest free neighbours, as many as could be taken before its turn and ``k`` more; so the task takes what one pass
@@ -131,7 +131,8 @@ def seed_expand_groups(profiles: DataFrame, consumed: DataFrame, threshold: floa
             if got:
                 taken.update(o for o, _ in got)
                 taken.add(seed)
-                mean = float(np.round(np.mean([s for _, s in got]), 6))
+                millionths = sum(round(s * 1e6) for _, s in got)
+                mean = (2 * millionths + len(got)) // (2 * len(got)) / 1e6
                 out += [(seed, o, s, mean) for o, s in got]
         return pd.DataFrame(out, columns=["seed_file_id", "file_id", "similarity", "confidence"])
 

@@ -152,12 +152,24 @@ def groups(spark, sf):
     return topics.seed_expand_groups(p, p.filter("file_id % 13 = 0"), 0.25, 5)
 
 
-@query("r9_seed_groups")
+_GROUPS = f"""v AS (SELECT vec_id AS id, label AS b, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 13 != 0),
+a AS (SELECT x.id, x.b, y.id AS o, list_cosine_similarity(x.e, y.e) AS c FROM v x JOIN v y ON x.b = y.b AND x.id != y.id), n AS (SELECT id, round(avg(c), 6) AS mean FROM a GROUP BY 1), p AS (SELECT id, b, o, round(c, 6) AS s FROM a WHERE round(c, 6) >= 0.25),
+o AS (SELECT id, b, nb, row_number() OVER (PARTITION BY b ORDER BY best DESC, mean DESC, id) AS turn FROM (SELECT id, b, max(s) AS best, list(o ORDER BY s DESC, o) AS nb FROM p GROUP BY 1, 2) JOIN n USING (id)),
+r AS (SELECT DISTINCT b, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS seed, []::BIGINT[] AS got FROM o UNION ALL
+  SELECT b, turn, CASE WHEN ok THEN list_concat(taken, list_concat([id], free)) ELSE taken END, CASE WHEN ok THEN id END, CASE WHEN ok THEN free ELSE [] END
+  FROM (SELECT *, NOT list_contains(taken, id) AND len(free) > 0 AS ok FROM (SELECT r.b, o.turn, r.taken, o.id, list_filter(o.nb, lambda x: NOT list_contains(r.taken, x))[1:5] AS free FROM r JOIN o ON o.b = r.b AND o.turn = r.turn + 1))),
+m AS (SELECT seed, unnest(got) AS file FROM r WHERE seed IS NOT NULL),
+g AS (SELECT seed AS seed_file_id, file AS file_id, s AS similarity, ((2 * sum(round(s * 1000000)::BIGINT) OVER w + count(*) OVER w) // (2 * count(*) OVER w)) / 1000000 AS confidence FROM m JOIN p ON p.id = seed AND p.o = file WINDOW w AS (PARTITION BY seed))"""
+
+
+@query("r9_seed_groups", f"WITH RECURSIVE {_GROUPS} SELECT * FROM g")
 def r9(spark, sf):
     return groups(spark, sf)
 
 
-@query("k7_suggestions")
+@query("k7_suggestions", f"""WITH RECURSIVE {_GROUPS}, f AS (SELECT seed_file_id, file_id FROM g UNION SELECT seed_file_id, seed_file_id FROM g), t AS (SELECT DISTINCT seed_file_id, confidence FROM g WHERE seed_file_id NOT IN (SELECT seed_file_id FROM f WHERE file_id % 17 = 0)),
+k AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, seed_file_id) AS place FROM t QUALIFY place <= 20)
+SELECT place, k.seed_file_id, f.file_id, coalesce(similarity, k.confidence) AS confidence, CASE WHEN f.file_id = k.seed_file_id THEN 'seed' ELSE 'similar to the seed' END AS reason FROM k JOIN f USING (seed_file_id) LEFT JOIN g ON g.seed_file_id = k.seed_file_id AND g.file_id = f.file_id""")
 def k7(spark, sf):
     used = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("file_id")).filter("file_id % 17 = 0")
     return topics.refresh_suggestions(groups(spark, sf), used)[0]

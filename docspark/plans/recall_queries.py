@@ -155,7 +155,12 @@ def p12(spark, sf):
     return recall.resolve_documents(t, file_profiles(spark, sf), similar).withColumn("files", F.array_join("files", ","))
 
 
-@query("p13_sections")
+@query("p13_sections", rf"""WITH RECURSIVE {CHUNKS}, c AS (SELECT file_id AS doc_id, ordinal, CASE WHEN ordinal % 4 != 0 THEN 'Part ' || (ordinal // 9) END AS h, strlen(text)::BIGINT AS size, row_number() OVER (PARTITION BY file_id ORDER BY ordinal) AS i FROM chunks),
+s AS (SELECT doc_id, i, ordinal, lower(coalesce(h, '')) AS key, 1 AS section, coalesce(h, '未命名内容') AS base, 0 AS again, FALSE AS more, size AS held, size FROM c WHERE i = 1 UNION ALL
+  SELECT doc_id, i, ordinal, CASE WHEN fresh THEN k ELSE key END, section + fresh::INT, CASE WHEN renamed THEN coalesce(h, '未命名内容') ELSE base END, CASE WHEN renamed THEN 0 ELSE again END + (fresh AND "full")::INT, CASE WHEN fresh THEN "full" ELSE more END, CASE WHEN fresh THEN 0 ELSE held END + size, size
+  FROM (SELECT *, fresh AND (NOT "full" OR h IS NOT NULL) AS renamed FROM (SELECT s.* EXCLUDE (i, ordinal, size), c.i, c.ordinal, c.size, c.h, lower(coalesce(c.h, '')) AS k, held >= 6000 AS "full", held >= 6000 OR lower(coalesce(c.h, '')) != key AS fresh FROM s JOIN c ON c.doc_id = s.doc_id AND c.i = s.i + 1))),
+g AS (SELECT doc_id, section, any_value(CASE WHEN more THEN base || '（续 ' || again || '）' ELSE base END) AS title, min(ordinal) AS first, count(*) AS chunks, sum(size)::BIGINT AS bytes, max(section) OVER (PARTITION BY doc_id) AS n FROM s GROUP BY doc_id, section)
+SELECT doc_id, least(section, 30)::INT AS section, CASE WHEN section >= 30 AND n > 30 THEN '其余内容' ELSE title END AS title, min(first) AS first, sum(chunks)::BIGINT AS chunks, sum(bytes)::BIGINT AS bytes FROM g GROUP BY doc_id, least(section, 30), CASE WHEN section >= 30 AND n > 30 THEN '其余内容' ELSE title END""")
 def p13(spark, sf):
     c = chunks(spark, sf)
     return recall.document_sections(c.select(F.col("file_id").alias("doc_id"), "ordinal", F.when(F.col("ordinal") % 4 != 0, F.concat(F.lit("Part "), F.floor(F.col("ordinal") / 9).cast("string"))).alias("heading"), "text"))
