@@ -225,7 +225,11 @@ def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         def dealt(parts):
-            tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+            tokens = np.concatenate(parts)
+            parts.clear()
+            tokens.sort()
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            counts, tokens = np.diff(np.append(first, len(tokens))), tokens[first]
             ptr = np.searchsorted((tokens * np.uint64(buckets)) >> np.uint64(48), np.arange(buckets + 1))
             counts, steps = counts.astype(np.uint32), np.diff(tokens, prepend=np.uint64(0))
             some = np.flatnonzero(np.diff(ptr))
@@ -244,9 +248,9 @@ def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
             for block in K.blocks(batch.column("text")):
                 parts += [counted_as(s) for s in token_sets(block, k)]
                 held += sum(map(len, parts[-len(block) :]))
-                if held > 1 << 22:
+                if held > 1 << 21:
                     yield dealt(parts)
-                    parts, held = [], 0
+                    held = 0
         if held:
             yield dealt(parts)
 
