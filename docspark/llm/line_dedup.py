@@ -17,7 +17,7 @@ from docspark.operators.components import connected_components
 
 from . import kernel as K
 from .common import BROADCAST_ROWS, cut, in_blocks
-from .ngram_join import LIST_BLOCK, _longs, _pair_batch, whole_lists
+from .ngram_join import LIST_BLOCK, _longs, _pair_batch
 
 
 def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,30 +106,39 @@ def segment_keys(docs: DataFrame, least: int, tau: int) -> DataFrame:
 def candidate_pairs(rows: DataFrame, tau: int) -> DataFrame:
     """Distinct pairs of different lines of which one indexes what the other probes, by key and by bitmap; a segment's list is compared block by block."""
 
-    def run(batches):
-        for batch in whole_lists(batches, ("key", "x", "y")):
-            key, x, y, own, role, line, bits = (batch.column(c).to_numpy() for c in ("key", "x", "y", "own", "role", "line", "bits"))
-            columns = key, x, y, own, role, line
-            new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-            key, x, y, own, role, line, bits = (c[new] for c in (*columns, bits))
-            group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-            live, d, found = np.arange(len(key)), 1, []
-            while True:
-                live = live[live + d < len(key)]
-                live = live[group[live] == group[live + d]]
-                if not len(live):
-                    break
-                other = live + d
-                use = ((role[live] == 0) | (role[other] == 0)) & (line[live] != line[other]) & (np.bitwise_count(bits[live] ^ bits[other]) <= 4 * tau)
-                use &= (x[live] == y[live]) | (own[live] != own[other])
-                if use.any():
-                    found.append(np.stack([line[live[use]], line[other[use]]]))
-                d += 1
-            if found:
-                pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-                yield _pair_batch(pairs[0], pairs[1])
-
-    return in_blocks(rows, ["role", "line"], LIST_BLOCK, run, "a long, b long").distinct()
+    def compare(batch):
+        names = ("key", "x", "y", "own", "role", "line", "bits")
+        together = np.ones(len(batch) - 1, bool)
+        for c in names[:3]:
+            v = batch.column(c).to_numpy()
+            together &= v[1:] == v[:-1]
+        at = np.flatnonzero(np.append(together, False) | np.append(False, together))
+        if not len(at):  # most segments stand in one line only
+            return None
+        columns = [batch.column(c).to_numpy()[at] for c in names]
+        order = np.lexsort(columns[5::-1])
+        columns = [c[order] for c in columns]
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:6]], axis=0)])
+        key, x, y, own, role, line, bits = (c[new] for c in columns)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        live, d, found = np.arange(len(key)), 1, []
+        while True:
+            live = live[live + d < len(key)]
+            live = live[group[live] == group[live + d]]
+            if not len(live):
+                break
+            other = live + d
+            use = ((role[live] == 0) | (role[other] == 0)) & (line[live] != line[other]) & (np.bitwise_count(bits[live] ^ bits[other]) <= 4 * tau)
+            use &= (x[live] == y[live]) | (own[live] != own[other])
+            if use.any():
+                found.append(np.stack([line[live[use]], line[other[use]]]))
+            d += 1
+        if not found:
+            return None
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return _pair_batch(pairs[0], pairs[1])
+
+    return in_blocks(rows, LIST_BLOCK, compare, "a long, b long").distinct()
 
 
 def texts_of(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ a partner shares a combination. Frequent tokens are dealt to groups, as many as
 without wasting too many tokens, so a set gives combinations in proportion to its size.
 
 Equal sets collapse to one node first, and a first round links nodes to a few of their nearest neighbours: a
-large group of near copies becomes a component before tokens are counted, and the exact round draws pairs only
-between components. Parity bitmaps bound the difference of two sets from below, so most pairs that would fail
-are never drawn.
+large group of near copies becomes a component before tokens are counted. A second round links each node to the
+nearest ones in the nearest other components of its lists, and the exact round draws pairs only between
+components that are still apart: what the first round left of a group doesn't meet it in all pairs. Parity
+bitmaps bound the difference of two sets from below, so most pairs that would fail are never drawn.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from docspark.operators.components import connected_components
 
 from . import kernel as K
-from .common import cut, in_blocks, join_small, shuffle_width
+from .common import cut, in_blocks, join_small, shuffle_width, whole_lists
 
 #: Components beyond which a token leaves class 1, and class 2.
 CLASS_BOUNDS = (32, 1024)
@@ -114,37 +115,6 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, low array<long>, bits binary")
 
 
-def whole_lists(batches, names: tuple[str, ...] = ("key",)):
-    """Batches sorted by ``names``, dealt anew so that the rows of equal ones fall in one batch."""
-    held = []
-
-    def change(batch):
-        out = np.zeros(len(batch), bool)
-        for n in names:
-            v = batch.column(n).to_numpy()
-            out[1:] |= v[1:] != v[:-1]
-        return out
-
-    def same(x, y):
-        return all(x.column(n)[len(x) - 1].as_py() == y.column(n)[0].as_py() for n in names)
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        if held and not same(held[-1], batch):
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        starts = np.flatnonzero(change(batch))
-        if len(starts):
-            held.append(batch.slice(0, int(starts[-1])))
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = [batch.slice(int(starts[-1]))]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -392,54 +362,71 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"__a": F.min("comp").over(key), "__b": F.max("comp").over(key)}).filter("__a != __b").drop("__a", "__b")
 
 
-def pairs_between(rows: DataFrame, percent: int) -> DataFrame:
+def nearest_of(i: np.ndarray, j: np.ndarray, comp: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of those pairs that lead from row ``i`` to the nearest row of one of the ``KEEP`` nearest components."""
+    order = np.lexsort((apart, comp[j], i))
+    new = np.ones(len(order), bool)
+    new[1:] = (i[order][1:] != i[order][:-1]) | (comp[j[order]][1:] != comp[j[order]][:-1])
+    at = order[new]
+    at = at[np.lexsort((apart[at], i[at]))]
+    return at[np.arange(len(at)) - np.searchsorted(i[at], i[at]) < KEEP]
+
+
+def pairs_between(rows: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Distinct pairs of nodes of different components that share a key and may reach the threshold.
 
     ``rows``: ``key, comp, node, n, guest, bits``. Sizes and bitmaps rule pairs out. Lists are compared block by block; of a
-    long one only rows outside its largest component are held against the others.
+    long one only rows outside its largest component are held against the others. With ``nearest`` a row gives at most
+    ``KEEP`` of its pairs in a list, so their number goes with the rows, whatever the lists' lengths.
     """
 
     def may(i, j, comp, n, guest, maps):
         size = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
         use = size & (comp[i] != comp[j]) & ((guest[i] == 0) | (guest[j] == 0))
         i, j = i[use], j[use]
-        ok = may_link(maps.apart(i, j), n[i] + n[j], percent)
-        return i[ok], j[ok]
-
-    def run(batches):
-        for batch in whole_lists(batches, ("key", "x", "y")):
-            key, comp, node, guest, x, y, own = (batch.column(c).to_numpy() for c in ("key", "comp", "node", "guest", "x", "y", "own"))
-            n = batch.column("n").to_numpy().astype(np.int64)
-            maps, found = Bitmaps(batch.column("bits")), []
-            change = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            first = np.flatnonzero(np.concatenate([[True], change]))
-            length = np.diff(np.append(first, len(key)))
-            group = np.repeat(np.arange(len(first)), length)
-            short = (length <= SHORT_LIST) & (x[first] == y[first])
-            live = np.flatnonzero(np.repeat(short, length))
-            for d in range(1, SHORT_LIST):
-                live = live[live + d < len(key)]
-                live = live[group[live] == group[live + d]]
-                if not len(live):
-                    break
-                found.append(may(live, live + d, comp, n, guest, maps))
-            for begin, size in zip(first[~short], length[~short], strict=True):
-                at = np.arange(begin, begin + size)
-                values, counts = np.unique(comp[at], return_counts=True)
-                main = comp[at] == values[np.argmax(counts)]
-                cross = x[begin] != y[begin]  # two blocks: rows of one are held against those of the other
-                for t in np.flatnonzero(~main):
-                    others = main | (np.arange(size) > t)
-                    if cross:
-                        others &= own[at] != own[begin + t]
-                    others = at[others]
-                    found.append(may(np.full(len(others), begin + t), others, comp, n, guest, maps))
-            if found:
-                i, j = (np.concatenate(z) for z in zip(*found, strict=True))
-                pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
-                yield _pair_batch(pairs[0], pairs[1])
-
-    return in_blocks(rows, ["n", "node"], LIST_BLOCK, run, "a long, b long").distinct()
+        apart = maps.apart(i, j)
+        ok = may_link(apart, n[i] + n[j], percent)
+        return i[ok], j[ok], apart[ok]
+
+    def compare(batch):
+        key, comp, node, guest, x, y, own = (batch.column(c).to_numpy() for c in ("key", "comp", "node", "guest", "x", "y", "own"))
+        n = batch.column("n").to_numpy().astype(np.int64)
+        maps, found = Bitmaps(batch.column("bits")), []
+        change = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        first = np.flatnonzero(np.concatenate([[True], change]))
+        length = np.diff(np.append(first, len(key)))
+        group = np.repeat(np.arange(len(first)), length)
+        short = (length <= SHORT_LIST) & (x[first] == y[first])
+        live = np.flatnonzero(np.repeat(short, length))
+        for d in range(1, SHORT_LIST):
+            live = live[live + d < len(key)]
+            live = live[group[live] == group[live + d]]
+            if not len(live):
+                break
+            found.append(may(live, live + d, comp, n, guest, maps))
+        for begin, size in zip(first[~short], length[~short], strict=True):
+            at = np.arange(begin, begin + size)
+            values, counts = np.unique(comp[at], return_counts=True)
+            main = comp[at] == values[np.argmax(counts)]
+            cross = x[begin] != y[begin]  # two blocks: rows of one are held against those of the other
+            for t in np.flatnonzero(~main):
+                others = main | (np.arange(size) > t)
+                if cross:
+                    others &= own[at] != own[begin + t]
+                others = at[others]
+                i, j, apart = may(np.full(len(others), begin + t), others, comp, n, guest, maps)
+                keep = nearest_of(i, j, comp, apart) if nearest else slice(None)
+                found.append((i[keep], j[keep], apart[keep]))
+        if not found:
+            return None
+        i, j, apart = (np.concatenate(z) for z in zip(*found, strict=True))
+        if nearest:
+            keep = nearest_of(i, j, comp, apart)
+            i, j = i[keep], j[keep]
+        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+        return _pair_batch(pairs[0], pairs[1])
+
+    return in_blocks(rows, LIST_BLOCK, compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -466,9 +453,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = frequent_tokens(reps.filter("doc_id = comp").select("doc_id", "text"), words)
     lists = cut(shared_lists(index_rows(reps, words, percent, frequent)))
     bits = nodes.select(F.col("node").alias("__n"), "bits")
-    more_pairs = cut(pairs_between(lists.join(bits, F.col("node") == F.col("__n")).drop("__n"), percent))
-    more_links = verified(docs, more_pairs, words, percent)
-    final = connected_components(first_links.union(more_links), "a", "b").withColumnRenamed("node", "__node")
+    lists = lists.join(bits, F.col("node") == F.col("__n")).drop("__n")
+    near_links = cut(verified(docs, cut(pairs_between(lists, percent, nearest=True)), words, percent))
+    links = first_links.union(near_links)
+    comps = cut(connected_components(links, "a", "b").select(F.col("node").alias("__n"), F.col("component").alias("__c")))
+    lists = lists.join(comps, F.col("node") == F.col("__n"), "left").withColumn("comp", F.coalesce("__c", "comp")).drop("__n", "__c")
+    more_links = verified(docs, cut(pairs_between(lists, percent)), words, percent)
+    final = connected_components(links.union(more_links), "a", "b").withColumnRenamed("node", "__node")
     out = named.join(final, F.col("node") == F.col("__node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"), "sig")
 

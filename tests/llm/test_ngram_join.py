@@ -122,3 +122,20 @@ def test_long_text_and_boilerplate(spark):
     rows += [(200, " ".join(long)), (201, " ".join([*long[:30_000], "x", *long[30_000:]]))]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
+
+
+def test_group_that_the_first_round_leaves_apart(spark, monkeypatch):
+    """Near copies that the first round doesn't link give candidates in proportion to their number, in the lists and in all."""
+    monkeypatch.setattr(ngram_join, "LOOK", 0)
+    r, made, whole = random.Random(3), [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda docs, pairs, *a: (made.append(pairs.count()), whole(docs, pairs, *a))[1])
+    base, n = [f"w{i}" for i in range(200)], 150
+    rows = []
+    for i in range(n):
+        words = list(base)
+        words[r.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
+    assert {c for _, _, c in brute(rows)} == {0}
+    assert sum(made) < 40 * n < n * (n - 1) // 2
