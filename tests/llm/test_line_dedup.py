@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from docspark.llm import line_dedup
+from docspark.llm.common import bounded_lists
 
 
 def distance(a, b):
@@ -60,3 +62,30 @@ def test_near_lines(spark, monkeypatch, tau, block):
     got = line_dedup.near_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), tau=tau, least=10)
     assert sorted(tuple(x) for x in got.collect()) == want
     assert len(links) > 10
+
+
+def test_lists_are_compared_in_one_pass(spark):
+    """Segments are sorted once: no window numbers them, and lists within the limit don't pass through a second shuffle."""
+    docs = spark.createDataFrame([(i, f"the same line but for {i % 9}\nanother one, number {i}") for i in range(60)], "doc_id long, text string")
+    pairs = line_dedup.candidate_pairs(line_dedup.segment_keys(docs, 10, 2), 2)
+    assert "Window" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() > 36
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10])
+def test_bounded_lists(limit):
+    r = random.Random(limit)
+    keys = [k for k in range(60) for _ in range(r.choice([1, 1, 2, 3, 4, 7, 25]))]
+    table = pa.table({"key": keys, "row": list(range(len(keys)))})
+    short, long = [], {}
+    for batch, block in bounded_lists((b for b in table.to_batches(max_chunksize=r.choice([1, 2, 5, 11]))), limit):
+        rows = batch.to_pylist()
+        if block is None:
+            short += rows
+            assert all(x["key"] not in long for x in rows)
+        else:
+            for x, b in zip(rows, block.tolist(), strict=True):
+                long.setdefault(x["key"], []).append((x["row"], b))
+    count = {k: keys.count(k) for k in keys}
+    assert [x["row"] for x in short] == [i for i, k in enumerate(keys) if count[k] <= limit]
+    assert long == {k: [(i, n // limit) for n, i in enumerate(j for j, x in enumerate(keys) if x == k)] for k in count if count[k] > limit}
