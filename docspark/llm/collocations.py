@@ -26,6 +26,8 @@ from .common import cut, join_small, shuffle_width
 CELLS, RANGES = 1 << 27, 128
 #: Words that a task holds before it passes their counts on.
 HELD = 1 << 20
+#: Words (8 bytes each) up to which their names are broadcast.
+NAMED = 2_000_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -144,80 +146,131 @@ def frequency_filter(texts: DataFrame, most: int, least: int) -> bytes:
     return bytes(out)
 
 
+def _rooms(words: Words, marks: np.ndarray, most: int, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many words a phrase from each word may have, and whether a word is in a phrase of two or more."""
+    room, joined = np.zeros(len(words.hashes), np.int64), np.zeros(len(words.hashes), bool)
+    for k, (cells, inside) in enumerate(_cells(words, marks, most)):
+        room += (room == k) & inside & (_hot(bits, cells) if bits is not None else True)
+    for i in range(most):
+        joined[np.flatnonzero((room > 1) & (room > i)) + i] = True
+    return room, joined
+
+
+def joined_words(texts: DataFrame, most: int, filtered) -> DataFrame:
+    """``lang, hash, word`` of the words that candidates may have: those in phrases of two or more that the filter lets pass. A task sends each once."""
+
+    def run(batches):
+        bits, seen = None if filtered is None else np.frombuffer(filtered.value, np.uint8), {}
+        for words, langs, marks in _word_runs(batches):
+            joined = _rooms(words, marks, most, bits)[1]
+            for code in np.unique(words.langs).tolist():
+                at = np.flatnonzero(joined & (words.langs == code))
+                some, first = np.unique(words.hashes[at], return_index=True)
+                known = seen.setdefault(langs[code], {})
+                for h, i in zip(some.tolist(), at[first].tolist(), strict=True):
+                    if h not in known:
+                        known[h] = words.raw(i)
+        for lang, known in seen.items():
+            hashes = np.fromiter(known, np.uint64, len(known))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(known), pa.string()), pa.array(hashes.view(np.int64)), pa.array(list(known.values()), pa.string())], ["lang", "hash", "word"])
+
+    return texts.mapInArrow(run, "lang string, hash long, word string").distinct()
+
+
 def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
     """``lang, h1..h<most>, word, weight``: a word gives the phrase that begins with it and ends with its piece, after ``most`` words, or before the filter rules a longer one out.
 
     So rows of ``most`` words are the edges, and rows of fewer (then 0) are phrases that end there. Rows of weight 0 spell the words
-    that candidates may have; a row of no words counts all words of the language.
+    that candidates may have; a row of no words counts all words of the language. A word is named by its place among these, so that a
+    phrase takes one number in the shuffle, and other words have no rows; where they are too many for that or for a broadcast, it is named by its hash.
     """
     filtered = texts.sparkSession.sparkContext.broadcast(frequency_filter(texts, most, least)) if least > 1 else None
     names = [f"h{i}" for i in range(1, most + 1)]
-
-    def out(lang, rows, words, weight):
-        columns = [pa.array([lang] * rows.shape[1], pa.string()), *(pa.array(h.view(np.int64)) for h in rows), pa.array(words, pa.string()), pa.array(weight)]
-        return pa.RecordBatch.from_arrays(columns, ["lang", *names, "word", "weight"])
-
-    def flush(held, spelled, totals):
+    spelled = cut(joined_words(texts, most, filtered))
+    room_for, width = min(NAMED, (1 << 63 // most) - 2), 63 // most
+    hashes = spelled.select("hash").distinct()
+    few = hashes.limit(room_for + 1).toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
+    table = texts.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= room_for else None
+
+    def named(h):
+        """Places from 1 on, 0 for other words; hashes where there is no table."""
+        if table is None or not len(table.value):
+            return h if table is None else np.zeros_like(h)
+        at = np.minimum(np.searchsorted(table.value, h), len(table.value) - 1)
+        return np.where(table.value[at] == h, at.astype(np.uint64) + np.uint64(1), np.uint64(0))
+
+    def out(lang, rows, weight):
+        if table is not None:
+            rows = [_packed(rows, width)]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(weight), pa.string()), *(pa.array(h.view(np.int64)) for h in rows), pa.array(weight)], ["lang", *sent, "weight"])
+
+    def flush(held, totals):
         for lang, parts in held.items():
-            rows, weight = _counted(np.concatenate(parts, axis=1))
-            yield out(lang, rows, [None] * len(weight), weight)
-        for lang, known in spelled.items():
-            rows = np.zeros((most, len(known)), np.uint64)
-            rows[0] = np.fromiter(known, np.uint64, len(known))
-            yield out(lang, rows, list(known.values()), np.zeros(len(known), np.int64))
+            yield out(lang, *_counted(np.concatenate(parts, axis=1), width if table is not None else None))
         for lang, n in totals.items():
-            yield out(lang, np.zeros((most, 1), np.uint64), [None], np.array([n]))
+            yield out(lang, np.zeros((most, 1), np.uint64), np.array([n]))
 
     def walk(batches):
         bits = None if filtered is None else np.frombuffer(filtered.value, np.uint8)
-        held, spelled, totals, size = {}, {}, {}, 0
+        held, totals, size = {}, {}, 0
         for words, langs, marks in _word_runs(batches):
             n = len(words.hashes)
             if not n:
                 continue
-            room = np.zeros(n, np.int64)
-            for k, (cells, inside) in enumerate(_cells(words, marks, most)):
-                room += (room == k) & inside & (_hot(bits, cells) if bits is not None else True)
-            rows = np.zeros((most, n), np.uint64)
+            names_here, rows = named(words.hashes), np.zeros((most, n), np.uint64)
+            room = np.where(names_here == 0, 0, _rooms(words, marks, most, bits)[0])
             for i in range(most):
                 at = np.flatnonzero(room > i)
-                rows[i, at] = words.hashes[at + i]
-            joined = np.zeros(n, bool)
-            for i in range(most):
-                joined[np.flatnonzero((room > 1) & (room > i)) + i] = True
+                rows[i, at] = names_here[at + i]
             for code in np.unique(words.langs).tolist():
                 mine, lang = words.langs == code, langs[code]
                 totals[lang] = totals.get(lang, 0) + int(mine.sum())
                 held.setdefault(lang, []).append(rows[:, mine & (room > 0)])
-                known = spelled.setdefault(lang, {})
-                at = np.flatnonzero(mine & joined)
-                some, first = np.unique(words.hashes[at], return_index=True)
-                for h, i in zip(some.tolist(), at[first].tolist(), strict=True):
-                    if h not in known:
-                        known[h] = words.raw(i)
             size += n
             if size >= HELD:
-                yield from flush(held, spelled, totals)
-                held, spelled, totals, size = {}, {}, {}, 0
-        yield from flush(held, spelled, totals)
+                yield from flush(held, totals)
+                held, totals, size = {}, {}, 0
+        yield from flush(held, totals)
+
+    def spell(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(named(batch.column("hash").to_numpy().view(np.uint64)).view(np.int64)), batch.column("word")], ["lang", "h1", "word"])
 
-    found = texts.mapInArrow(walk, ", ".join(["lang string", *(f"{h} long" for h in names), "word string", "weight long"]))
-    return found.groupBy("lang", *names, "word").agg(F.sum("weight").alias("weight"))
+    sent = names if table is None else ["phrase"]
+    found = texts.mapInArrow(walk, ", ".join(["lang string", *(f"{h} long" for h in sent), "weight long"]))
+    found = found.groupBy("lang", *sent).agg(F.sum("weight").alias("weight"))
+    if table is not None:
+        mask = F.lit((1 << width) - 1)
+        found = found.select("lang", *(F.shiftright("phrase", width * (most - i)).bitwiseAND(mask).alias(h) for i, h in enumerate(names, 1)), "weight")
+    none = F.lit(0).cast("long")
+    words = spelled.mapInArrow(spell, "lang string, h1 long, word string").select("lang", "h1", *(none.alias(h) for h in names[1:]), "word", none.alias("weight"))
+    return found.select("lang", *names, F.lit(None).cast("string").alias("word"), "weight").union(words)
+
+
+def _packed(rows: np.ndarray, width: int) -> np.ndarray:
+    key = np.zeros(rows.shape[1], np.uint64)
+    for h in rows:
+        key = (key << np.uint64(width)) | h
+    return key
 
 
 def _hot(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(rows: np.ndarray, width: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns and how often each is there, in the order of their first words, which compresses well in the shuffle.
 
-    The key only brings equals together; columns are compared whole.
+    Names of ``width`` bits are sorted as one number; of hashes a key brings equals together, and columns are compared whole.
     """
-    key = np.zeros(rows.shape[1], np.uint64)
-    for h in rows:
-        key = K.mix(key * _STEP + h)
-    rows = rows[:, np.lexsort((key, rows[0]))]
+    if width is None:
+        key = np.zeros(rows.shape[1], np.uint64)
+        for h in rows:
+            key = K.mix(key * _STEP + h)
+        order = np.lexsort((key, rows[0]))
+    else:
+        order = np.argsort(_packed(rows, width))
+    rows = rows[:, order]
     new = np.ones(rows.shape[1], bool)
     new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
     first = np.flatnonzero(new)

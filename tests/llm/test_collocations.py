@@ -73,3 +73,16 @@ def test_scores_beyond_64_bits(spark):
     n = 10**12
     df = spark.createDataFrame([(n, n + 1, n + 3)], "a long, l long, r long")
     assert df.select(collocations._score(df["a"], df["l"], df["r"])).first()[0] == 1_000_000 * n * n // ((n + 1) * (n + 3))
+
+
+@pytest.mark.parametrize("named", [0, 10**6])
+def test_words_by_name_or_hash(spark, monkeypatch, named):
+    """Where the words have names a phrase is one number in the shuffle; either way the rows are those of plain counting."""
+    monkeypatch.setattr(collocations, "NAMED", named)
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(30)] + [f"rare{i}" for i in range(400)]
+    rows = [(r.choice(["en", "fr"]), " ".join(r.choice(words[:30] if r.random() < 0.9 else words) for _ in range(60))) for _ in range(60)]
+    docs = frame(spark, rows).repartition(3)
+    assert sorted(tuple(x)[:8] for x in collocations.collocations(docs, least=4).collect()) == by_counting(rows, least=4)
+    plan = collocations.graph(docs.select("lang", "text"), 3, 4)._jdf.queryExecution().executedPlan().toString()
+    assert ("hashpartitioning(lang" in plan) and (("phrase#" in plan) == (named > 0))
