@@ -11,6 +11,7 @@ one is no candidate, so no candidate's counts change, and most phrases that occu
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ CELLS, RANGES = 1 << 27, 128
 HELD = 1 << 20
 #: Words (8 bytes each) up to which their names are broadcast.
 NAMED = 2_000_000
+#: Of so many parts of the texts (the last number), those read when words are gathered first, second, and so on.
+SHARES = (1, 4, 16, 64)
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -157,30 +160,57 @@ def _rooms(words: Words, marks: np.ndarray, most: int, bits: np.ndarray | None)
 
 
 def joined_words(texts: DataFrame, most: int, filtered) -> DataFrame:
-    """``lang, hash, word`` of the words that candidates may have: those in phrases of two or more that the filter lets pass. A task sends each once."""
+    """``hash, word`` of the words that candidates may have: those in phrases of two or more that the filter lets pass.
+
+    A task sends each once. Texts are read in shares, each with three times the texts of those before it, and a word of an earlier
+    share isn't sent again. So a word comes from the few tasks of the first share that has it, and the rows go with the
+    number of words and not with that of tasks. Words beyond the first ``NAMED`` are sent by each task that has them.
+    """
+    spark, known, parts = texts.sparkSession, None, []
 
     def run(batches):
-        bits, seen = None if filtered is None else np.frombuffer(filtered.value, np.uint8), {}
-        for words, langs, marks in _word_runs(batches):
-            joined = _rooms(words, marks, most, bits)[1]
-            for code in np.unique(words.langs).tolist():
-                at = np.flatnonzero(joined & (words.langs == code))
-                some, first = np.unique(words.hashes[at], return_index=True)
-                known = seen.setdefault(langs[code], {})
-                for h, i in zip(some.tolist(), at[first].tolist(), strict=True):
-                    if h not in known:
-                        known[h] = words.raw(i)
-        for lang, known in seen.items():
-            hashes = np.fromiter(known, np.uint64, len(known))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(known), pa.string()), pa.array(hashes.view(np.int64)), pa.array(list(known.values()), pa.string())], ["lang", "hash", "word"])
+        bits, old = None if filtered is None else np.frombuffer(filtered.value, np.uint8), np.zeros(0, np.uint64) if known is None else known.value
+        seen = {}
+        for words, _, marks in _word_runs(batches):
+            at = np.flatnonzero(_rooms(words, marks, most, bits)[1])
+            some, first = np.unique(words.hashes[at], return_index=True)
+            new = ~_among(old, some)[0]
+            for h, i in zip(some[new].tolist(), at[first[new]].tolist(), strict=True):
+                if h not in seen:
+                    seen[h] = words.raw(i)
+        hashes = np.fromiter(seen, np.uint64, len(seen))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(list(seen.values()), pa.string())], ["hash", "word"])
+
+    place = F.pmod(F.xxhash64("text"), F.lit(SHARES[-1]))
+    for low, high in zip((0, *SHARES), SHARES, strict=False):
+        share = texts.filter((place >= low) & (place < high)).mapInArrow(run, "hash long, word string")
+        parts.append(cut(share.distinct()))
+        if high < SHARES[-1]:
+            known = spark.sparkContext.broadcast(_first_hashes(_union(parts), NAMED))
+    return _union(parts).dropDuplicates(["hash"])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _first_hashes(rows: DataFrame, most: int) -> np.ndarray:
+    """Up to ``most`` hashes, in order."""
+    return np.sort(rows.select("hash").limit(most).toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+
 
-    return texts.mapInArrow(run, "lang string, hash long, word string").distinct()
+def _among(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``h`` the ordered ``table`` has, and where."""
+    if not len(table):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return table[at] == h, at
 
 
 def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
     """``lang, h1..h<most>, word, weight``: a word gives the phrase that begins with it and ends with its piece, after ``most`` words, or before the filter rules a longer one out.
 
-    So rows of ``most`` words are the edges, and rows of fewer (then 0) are phrases that end there. Rows of weight 0 spell the words
+    So rows of ``most`` words are the edges, and rows of fewer (then 0) are phrases that end there. Rows of weight 0 and no language spell the words
     that candidates may have; a row of no words counts all words of the language. A word is named by its place among these, so that a
     phrase takes one number in the shuffle, and other words have no rows; where they are too many for that or for a broadcast, it is named by its hash.
     """
@@ -188,16 +218,15 @@ def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
     names = [f"h{i}" for i in range(1, most + 1)]
     spelled = cut(joined_words(texts, most, filtered))
     room_for, width = min(NAMED, (1 << 63 // most) - 2), 63 // most
-    hashes = spelled.select("hash").distinct()
-    few = hashes.limit(room_for + 1).toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
-    table = texts.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= room_for else None
+    few = _first_hashes(spelled, room_for + 1)
+    table = texts.sparkSession.sparkContext.broadcast(few) if len(few) <= room_for else None
 
     def named(h):
         """Places from 1 on, 0 for other words; hashes where there is no table."""
-        if table is None or not len(table.value):
-            return h if table is None else np.zeros_like(h)
-        at = np.minimum(np.searchsorted(table.value, h), len(table.value) - 1)
-        return np.where(table.value[at] == h, at.astype(np.uint64) + np.uint64(1), np.uint64(0))
+        if table is None:
+            return h
+        there, at = _among(table.value, h)
+        return np.where(there, at.astype(np.uint64) + np.uint64(1), np.uint64(0))
 
     def out(lang, rows, weight):
         if table is not None:
@@ -234,7 +263,7 @@ def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
 
     def spell(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(named(batch.column("hash").to_numpy().view(np.uint64)).view(np.int64)), batch.column("word")], ["lang", "h1", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(named(batch.column("hash").to_numpy().view(np.uint64)).view(np.int64)), batch.column("word")], ["h1", "word"])
 
     sent = names if table is None else ["phrase"]
     found = texts.mapInArrow(walk, ", ".join(["lang string", *(f"{h} long" for h in sent), "weight long"]))
@@ -243,7 +272,7 @@ def graph(texts: DataFrame, most: int, least: int) -> DataFrame:
         mask = F.lit((1 << width) - 1)
         found = found.select("lang", *(F.shiftright("phrase", width * (most - i)).bitwiseAND(mask).alias(h) for i, h in enumerate(names, 1)), "weight")
     none = F.lit(0).cast("long")
-    words = spelled.mapInArrow(spell, "lang string, h1 long, word string").select("lang", "h1", *(none.alias(h) for h in names[1:]), "word", none.alias("weight"))
+    words = spelled.mapInArrow(spell, "h1 long, word string").select(F.lit(None).cast("string").alias("lang"), "h1", *(none.alias(h) for h in names[1:]), "word", none.alias("weight"))
     return found.select("lang", *names, F.lit(None).cast("string").alias("word"), "weight").union(words)
 
 
@@ -378,9 +407,9 @@ def collocations(
 
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     few = cut(found.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place"))
-    words = g.filter("word is not null").select("lang", "h1", "word")
+    words = g.filter("word is not null").select("h1", "word")
     for i in range(1, most + 1):
-        few = few.join(words.select("lang", F.col("h1").alias(f"h{i}"), F.col("word").alias(f"w{i}")), ["lang", f"h{i}"], "left")
+        few = few.join(words.select(F.col("h1").alias(f"h{i}"), F.col("word").alias(f"w{i}")), f"h{i}", "left")
     few = few.withColumn("phrase", F.concat_ws(" ", *(f"w{i}" for i in range(1, most + 1))))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     totals = g.filter("h1 = 0").select("lang", F.col("weight").alias("n"))

@@ -86,3 +86,23 @@ def test_words_by_name_or_hash(spark, monkeypatch, named):
     assert sorted(tuple(x)[:8] for x in collocations.collocations(docs, least=4).collect()) == by_counting(rows, least=4)
     plan = collocations.graph(docs.select("lang", "text"), 3, 4)._jdf.queryExecution().executedPlan().toString()
     assert ("hashpartitioning(lang" in plan) and (("phrase#" in plan) == (named > 0))
+
+
+def test_words_are_sent_by_few_tasks(spark, monkeypatch):
+    """Rows that spell words go with the number of words, not with that of tasks times words."""
+    r = random.Random(12)
+    words = [f"v{i}" for i in range(300)]
+    rows = [(r.choice(["en", "fr"]), " ".join(r.choice(words) for _ in range(100))) for _ in range(640)]
+    texts = frame(spark, rows).repartition(16).select("lang", "text")
+    sent, plain = [], type(texts).mapInArrow
+
+    def counted(self, *args, **options):
+        out = plain(self, *args, **options)
+        sent.append(out)
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(type(texts), "mapInArrow", counted)
+        found = collocations.joined_words(texts, 3, None)
+    assert sorted(x["word"] for x in found.collect()) == sorted(words)
+    assert sum(x.count() for x in sent) <= 8 * len(words)
