@@ -156,6 +156,8 @@ class PrefixTable:
 class Encoder(tokens.Encoder):
     """Ids of texts under one model; lives as long as its Python worker."""
 
+    _encoded = tokens.Encoder._each
+
     def __init__(self, path: str) -> None:
         self.model = Model(path)
         self.tokenizer = PrefixTable(self.model)

@@ -24,7 +24,7 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 OTHER, LETTER, NUMBER, BLANK, UNKNOWN = 0, 1, 2, 3, 4
 #: A worker forgets its table beyond so many distinct pre-tokens, which bounds its memory.
 MOST_KNOWN = 1 << 18
-#: Pre-tokens that the library encodes in one call; its results weigh about a kilobyte each until they are read.
+#: Pre-tokens that the library encodes in one call.
 AT_ONCE = 4096
 
 _classes: np.ndarray | None = None
@@ -130,7 +130,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = tuple(t.content.encode() for t in added.values())
+        # Bytes that each id stands for: a character of a byte-level token is a byte.
+        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()} | {i: len(t.content.encode()) for i, t in added.items()}
+        self.widths = np.zeros(max(sizes, default=0) + 1, np.int64)
+        self.widths[list(sizes)] = list(sizes.values())
         self.clear()
 
     def clear(self) -> None:
@@ -167,13 +172,28 @@ class Encoder:
             left[at] = False
             todo, slot = todo[left], (slot[left] + 1) & (self.slots - 1)
 
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids; each piece is an input of its own."""
+        got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        return np.array([len(ids) for ids in got], np.int64), np.array([x for ids in got for x in ids], np.uint32)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, but the pieces are the words of one input, which gives one result, without offsets.
+
+        The bytes that ids stand for tell where each piece ends. Where they don't meet the pieces' ends, as under a tokenizer that changes
+        or drops characters, each piece is an input.
+        """
+        (got,) = self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        widths = self.widths[ids]
+        reach, ends = np.concatenate([[0], np.cumsum(widths)]), np.cumsum([len(p.encode()) for p in pieces])
+        at = np.minimum(np.searchsorted(reach, ends), len(ids))
+        if at[-1] == len(ids) and (reach[at] == ends).all() and (widths > 0).all():
+            return np.diff(at, prepend=0), ids
+        return self._each(pieces)
+
     def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        sizes, parts = [], []
-        for i in range(0, len(pieces), AT_ONCE):
-            got = [e.ids for e in self.tokenizer.encode_batch(pieces[i : i + AT_ONCE], add_special_tokens=False)]
-            sizes += map(len, got)
-            parts.append(np.fromiter((x for ids in got for x in ids), np.uint32))
-        counts, flat = np.array(sizes, np.int64), np.concatenate(parts)
+        counts, flat = (np.concatenate(x) for x in zip(*(self._encoded(pieces[i : i + AT_ONCE]) for i in range(0, len(pieces), AT_ONCE)), strict=True))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.known + len(h) > len(self.first):
@@ -204,7 +224,7 @@ class Encoder:
         if len(unknown):
             new, first = np.unique(h[unknown], return_index=True)
             raw = block.data.tobytes()
-            self._learn(new, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[unknown[first]], ends[unknown[first]], strict=True)])
+            self._learn(new, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[unknown[first]].tolist(), ends[unknown[first]].tolist(), strict=True)])
             place[unknown] = self._find(h[unknown])
         return place, np.searchsorted(starts, block.ptr)
 

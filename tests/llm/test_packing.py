@@ -95,6 +95,30 @@ def test_ids_are_the_tokenizers():
             assert ids[ptr[i] : ptr[i + 1]].tolist() == library.encode(texts[block.row + i], add_special_tokens=False).ids
 
 
+def test_new_pretokens_are_one_input():
+    """The library gives one result for thousands of new pre-tokens; where ids don't tell their ends, each is an input."""
+    text = " ".join(f"w{i}x é{i} 中{i % 7}" for i in range(900))
+    library = Tokenizer.from_file(tokens.default_path())
+    want = library.encode(text, add_special_tokens=False).ids
+    (block,) = kernel.blocks(pa.array([text]))
+
+    class Counted:
+        one, calls = library, []
+
+        def __getattr__(self, name):
+            self.calls.append(name)
+            return getattr(self.one, name)
+
+    for spoilt in (False, True):
+        encoder = tokens.Encoder(tokens.default_path())
+        encoder.tokenizer = Counted()
+        encoder.tokenizer.calls.clear()
+        if spoilt:
+            encoder.widths[want[0]] += 1
+        assert encoder.encode(block)[0].tolist() == want
+        assert ("encode_batch" in encoder.tokenizer.calls) == spoilt
+
+
 def test_histogram(docs):
     lengths = [len(x) - 1 for x in encoded()]
     got = token_counts.token_lengths(docs)
