@@ -178,6 +178,21 @@ def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(halves[0])
 
 
+def polynomial(sums: np.ndarray, size: int) -> np.ndarray:
+    """The first polynomial's value of each span of ``size`` bytes, in order; equal bytes give equal values wherever they stand."""
+    s, down = sums[0], tables()[0][1]
+    whole = s[size:] + _ABOVE
+    whole -= s[:-size]
+    whole = _mod(whole)
+    for lo in range(0, len(whole), RUN):
+        part = whole[lo : lo + RUN]
+        part *= np.uint64(pow(pow(_BASES[0], lo, PRIME), -1, PRIME))
+        part[:] = _mod(part)
+        part *= down[: len(part)]
+        part[:] = _mod(part)
+    return whole
+
+
 def shingles(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words and the text of each; a text of fewer words gives one run of all."""
     n_words = np.diff(first)

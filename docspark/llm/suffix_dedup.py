@@ -27,25 +27,23 @@ GRAM = 40
 HOT = 2000
 
 
-def anchors(block: K.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window start in order: its text, its place in the block, and its anchor's place.
+def anchors(block: K.Block, length: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window start in order: its text, its place in the block, and its anchor's place. ``sums``: ``K.prefix`` of the block.
 
-    An anchor is the leftmost gram of least hash in the window.
+    An anchor is the leftmost gram of least value in the window, by the first polynomial alone: grams of equal value
+    only share a place in the order.
     """
     none = np.zeros(0, np.int64)
     n, w = len(block.data), length - GRAM + 1
     if n < length:
         return none, none, none
-    sums = K.prefix(block.data)
-    at = np.arange(n - GRAM + 1)
-    h = K.hashes(sums, at, at + GRAM)
-    # Sliding minimum by doubling; the left one of equal hashes stays.
-    least, span = at, 1
+    # Sliding minimum by doubling over values with places below them, so the left one of equal values stays.
+    least, span = K.polynomial(sums, GRAM) << np.uint64(32) | np.arange(n - GRAM + 1, dtype=np.uint64), 1
     while span < w:
         step = min(span, w - span)
-        left, right = least[:-step], least[step:]
-        least = np.where(h[right] < h[left], right, left)
+        least = np.minimum(least[:-step], least[step:])
         span += step
+    least = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.maximum(0, np.diff(block.ptr) - length + 1)
     owner = np.repeat(np.arange(len(block)), sizes)
     start = block.ptr[owner] + K.ragged(sizes)
@@ -56,21 +54,18 @@ def _runs(owner: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])) if len(anchor) else np.zeros(0, np.int64)
 
 
-def _gram_hash(block: K.Block, at: np.ndarray) -> np.ndarray:
-    return K.hashes(K.prefix(block.data), at, at + GRAM)
-
-
 def all_anchors(docs: DataFrame, length: int) -> DataFrame:
     """``key, doc, tie, at``: gram hash and place of every anchor."""
 
     def run(batches):
         for batch in batches:
             for block in K.blocks(batch.column("text")):
-                owner, _, anchor = anchors(block, length)
+                sums = K.prefix(block.data)
+                owner, _, anchor = anchors(block, length, sums)
                 first = _runs(owner, anchor)
                 owner, anchor = owner[first], anchor[first]
                 part, rows = batch.slice(block.row, len(block)), pa.array(owner)
-                yield pa.RecordBatch.from_arrays([_longs(_gram_hash(block, anchor)), part.column("doc").take(rows), part.column("tie").take(rows), pa.array((anchor - block.ptr[owner]).astype(np.int32))], ["key", "doc", "tie", "at"])
+                yield pa.RecordBatch.from_arrays([_longs(K.hashes(sums, anchor, anchor + GRAM)), part.column("doc").take(rows), part.column("tie").take(rows), pa.array((anchor - block.ptr[owner]).astype(np.int32))], ["key", "doc", "tie", "at"])
 
     return docs.select("doc", "tie", "text").mapInArrow(run, "key long, doc long, tie long, at int")
 
@@ -107,7 +102,8 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for block in K.blocks(batch.column("text")):
                 part = batch.slice(block.row, len(block))
-                owner, start, anchor = anchors(block, length)
+                sums = K.prefix(block.data)
+                owner, start, anchor = anchors(block, length, sums)
                 if not len(owner):
                     continue
                 places, hots = part.column("at"), part.column("hot")
@@ -119,7 +115,7 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
                 last = np.append(first[1:], len(anchor)) - 1
                 state = flag[anchor[first]]
                 cold, hot = first[state == 0], np.flatnonzero(np.repeat(state == 1, last - first + 1))
-                sums, doc, tie = K.prefix(block.data), part.column("doc"), part.column("tie")
+                doc, tie = part.column("doc"), part.column("tie")
                 begin, end = start[cold], start[last[state == 0]] + length
                 raw = block.data.tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -187,6 +183,15 @@ def longest_previous(suffix: np.ndarray, size: np.ndarray, group: np.ndarray, pl
     return out
 
 
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def removed_runs(rows: DataFrame, length: int) -> DataFrame:
     """``doc, tie, begin, end``: parts of the documents that a longest previous factor covers."""
 
@@ -206,7 +211,8 @@ def removed_runs(rows: DataFrame, length: int) -> DataFrame:
                 group = np.cumsum(np.concatenate([[True], key[cold][1:] != key[cold][:-1]]))
                 # Rows are in the order of places, so the first of equal contexts is the earliest.
                 base = ptr[0]
-                h = K.hashes(K.prefix(data[base : ptr[-1]]), ptr[:-1] - base, ptr[1:] - base)
+                sums = K.prefix(data[base : ptr[-1]])
+                h = K.hashes(sums, ptr[:-1] - base, ptr[1:] - base)
                 _, first = np.unique(K.mix(h + group.astype(np.uint64)), return_index=True)
                 new = np.zeros(len(cold), bool)
                 new[first] = True
@@ -218,6 +224,10 @@ def removed_runs(rows: DataFrame, length: int) -> DataFrame:
                 windows = size[at] - length + 1
                 owner = np.repeat(at, windows)
                 offset = K.ragged(windows)
+                # A factor of ``length`` needs a second suffix of the group that begins with the same string.
+                begin = ptr[owner] + offset - base
+                twice = _repeated(K.mix(K.hashes(sums, begin, begin + length) + group[owner].astype(np.uint64)))
+                owner, offset = owner[twice], offset[twice]
                 wide = -(-int(size.max()) // 8) * 8
                 view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(wide, np.uint8)]), wide)
                 cuts = [0]  # whole groups of about so many suffixes at a time

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docspark.llm import suffix_dedup
@@ -70,3 +71,43 @@ def test_longest_previous_factor():
 
 def test_empty(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string, id int, at int")).count() == 0
+
+
+def test_only_repeated_strings_are_sorted(monkeypatch):
+    """Of contexts that share a gram, suffixes go to the sort if their first ``length`` bytes recur; a block's sums are taken once."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).encode()
+    gram, shared = word(40), word(130)
+    contexts = [*((1, word(60) + gram + word(60)) for _ in range(20)), (2, shared + b"x" + word(20)), (2, shared + b"y" + word(20))]
+    n = len(contexts)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in contexts]), pa.array([0] * n), pa.array(range(n)), pa.array([0] * n), pa.array([0] * n, pa.int32()), pa.array([c for _, c in contexts])],
+        suffix_dedup.PLACES,
+    )
+
+    class Rows:
+        sparkSession = None
+
+        def __init__(self, batch):
+            self.batch = batch
+
+        def repartition(self, *_):
+            return self
+
+        select = sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([self.batch])))
+
+    sizes, sums, sort, prefix = [], [], suffix_dedup.longest_previous, suffix_dedup.K.prefix
+    monkeypatch.setattr(suffix_dedup, "shuffle_width", lambda _: 4)
+    monkeypatch.setattr(suffix_dedup, "longest_previous", lambda suffix, *rest: sizes.append(len(suffix)) or sort(suffix, *rest))
+    monkeypatch.setattr(suffix_dedup.K, "prefix", lambda data: sums.append(len(data)) or prefix(data))
+    (out,) = suffix_dedup.removed_runs(Rows(batch), 100)
+    assert out.to_pylist() == [{"doc": n - 1, "tie": 0, "begin": 0, "end": 130}]
+    assert sum(sizes) == 2 * 31
+    sums.clear()
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([(shared + gram).decode()] * 2)], ["doc", "tie", "text"])
+    (out,) = suffix_dedup.all_anchors(Rows(docs), 100)
+    of = lambda doc: [x["at"] for x in out.to_pylist() if x["doc"] == doc]
+    assert of(1) == of(2) != [] and len(sums) == 1
