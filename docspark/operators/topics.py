@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docspark.operators.components import connected_components
 from docspark.operators.neighbours import train_cells
 from docspark.operators.neighbours import unit as _unit
-from docspark.operators.vectors import cosine, dot, l2_normalize
+from docspark.operators.vectors import block_best, dot, in_blocks, l2_normalize
 from docspark.storage import cut
 
 
@@ -173,33 +173,32 @@ def refresh_suggestions(groups: DataFrame, decided: DataFrame, n: int = 20) -> t
     return out, fresh.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - n).alias("remaining"))
 
 
-def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, planes: int = 4, tables: int = 24, seed: int = 7) -> DataFrame:
+def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, planes: int = 4, tables: int = 24, seed: int = 7, block: int = 4096, part: int = 16_384) -> DataFrame:
     """``query_id, id, score, place``: approximate neighbours; candidates share one of ``tables`` buckets, and are then ranked exactly.
 
-    A bucket is the signs of ``planes`` random projections. Queries and vectors meet by an equi-join on the buckets, so each vector
-    is held against few queries. Score (1 + cos) / 2, ties by id; recall grows with ``tables`` and falls with ``planes``.
+    A bucket is the signs of ``planes`` random projections. Score (1 + cos) / 2, ties by id; recall grows with ``tables`` and falls with
+    ``planes``. With few planes most pairs share a bucket, so pairs aren't shuffled: a block of queries meets a part of the vectors in one task,
+    which compares their buckets and keeps each query's best. A pair is compared once, whether or not it shares a bucket.
+    Vectors of another dimension, null or not finite meet none.
     """
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dimension))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("vector").value_lengths().fill_null(0).to_numpy()
-            good = batch.filter(pa.array(sizes == dimension))
-            if not len(good):
-                continue
-            v = good.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(good), dimension)
-            bits = (v @ normals.T > 0).reshape(len(good), tables, planes)
-            key = bits @ (1 << np.arange(planes)) + (np.arange(tables) << planes)
-            rows = pa.array(np.repeat(np.arange(len(good)), tables))
-            yield pa.RecordBatch.from_arrays([good.column("id").take(rows), pa.array(key.reshape(-1).astype(np.int64))], ["id", "key"])
-
-    cast = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    q, v = cast(queries, "query_id"), cast(vectors, "id")
-    left = q.mapInArrow(keys, "id long, key long").select(F.col("id").alias("query_id"), "key")
-    pairs = left.join(v.mapInArrow(keys, "id long, key long"), "key").select("query_id", "id").distinct()
-    near = pairs.join(q.select(F.col("id").alias("query_id"), F.col("vector").alias("qv")), "query_id").join(v, "id")
-    scored = near.select("query_id", "id", F.round((1 + cosine(F.col("qv"), F.col("vector"))) / 2, 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= k)
+    def share_a_bucket(x: np.ndarray, y: np.ndarray) -> Callable[[int, int], np.ndarray]:
+        weights = 1 << np.arange(planes)
+        a, b = (((u @ normals.T > 0).reshape(len(u), tables, planes) @ weights).astype(np.min_scalar_type(1 << planes)).T.copy() for u in (x, y))
+
+        def share(low: int, high: int) -> np.ndarray:
+            out = a[0, low:high, None] == b[0]
+            for t in range(1, tables):
+                out |= a[t, low:high, None] == b[t]
+            return out
+
+        return share
+
+    vector = F.col("vector").cast("array<double>")
+    good = (F.size(vector) == dimension) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sides = lambda df, i, asks: df.filter(good).select(F.lit(asks).alias("asks"), F.col(i).cast("long").alias("id"), vector.alias("vector"), F.size("vector").alias("dim"))
+    return in_blocks(sides(queries, "query_id", True), sides(vectors, "id", False), "dim", k, block, part, block_best(k, share_a_bucket))
 
 
 def rerank(candidates: DataFrame, scorer: Callable[[list[str], list[str]], np.ndarray], batch: int = 30) -> DataFrame:

@@ -36,8 +36,12 @@ def mean_vector(df: DataFrame, key: str, col: str) -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
 
 
-def block_best(k: int):
-    """For ``applyInArrow``: of rows ``asks, id, vector`` of one dimension, the ``k`` best of each asking vector among the others."""
+def block_best(k: int, may_meet=None, rows_at_once: int = 256):
+    """For ``applyInArrow``: of rows ``asks, id, vector`` of one dimension, the ``k`` best of each asking vector among the others.
+
+    ``may_meet``, if given, makes of the asking and the other vectors a function that tells of a range of the asking ones which others
+    each may meet, as a Boolean matrix. ``rows_at_once`` asking vectors have their scores in memory.
+    """
 
     def best(table: pa.Table) -> pa.Table:
         def unit(asks: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +52,23 @@ def block_best(k: int):
         if not 0 < sum(table.column("asks").to_pylist()) < table.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         (ids, x), (own, y) = unit(True), unit(False)
-        score = np.round((1 + x @ y.T) / 2, 6)
-        # All that may be among the best by score, then those by score and id.
-        rows, top = np.arange(len(ids)), np.empty((len(ids), min(k, len(own))), np.int64)
-        for i in rows:
-            near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k]) if k < len(own) else np.arange(len(own))
-            top[i] = near[np.lexsort((own[near], -score[i, near]))[:k]]
-        rows, top = np.repeat(rows, top.shape[1]), top.reshape(-1)
-        return pa.table({"query_id": ids[rows], "id": own[top], "score": score[rows, top]})
+        meet = may_meet(x, y) if may_meet else None
+        at, top, scores = [], [], []
+        for low in range(0, len(ids), rows_at_once):
+            score = np.round((1 + x[low : low + rows_at_once] @ y.T) / 2, 6)
+            allowed = meet(low, low + len(score)) if meet else None
+            # All that may be among the best by score, then those by score and id.
+            for i in range(len(score)):
+                near = np.flatnonzero(allowed[i]) if meet else np.arange(len(own))
+                mine = score[i, near]
+                if k < len(near):
+                    best = mine >= np.partition(mine, -k)[-k]
+                    near, mine = near[best], mine[best]
+                order = np.lexsort((own[near], -mine))[:k]
+                at.append(np.full(len(order), low + i))
+                top.append(near[order])
+                scores.append(mine[order])
+        return pa.table({"query_id": ids[np.concatenate(at)], "id": own[np.concatenate(top)], "score": np.concatenate(scores)})
 
     return best
 
@@ -71,13 +84,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 102
     good = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull())
     q = queries.filter(good).select(F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), vector.alias("vector"), F.size("vector").alias("dim"))
     v = vectors.filter(good).select(F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vector.alias("vector"), F.size("vector").alias("dim"))
-    counts = q.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).join(v.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")), "dim")  # a row for each dimension
+    return in_blocks(q, v, "dim", k, block, part, block_best(k))
+
+
+def in_blocks(q: DataFrame, v: DataFrame, kind: str, k: int, block: int, part: int, best) -> DataFrame:
+    """The ``k`` best of each query, where blocks of queries and parts of vectors (``asks, id, vector``) of one ``kind`` meet in ``best``."""
+    counts = q.groupBy(kind).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).join(v.groupBy(kind).agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")), kind)  # a row for each kind
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("id"), n)
-    q = q.join(F.broadcast(counts), "dim").select("dim", dealt("blocks").alias("b"), spread("parts").alias("p"), "asks", "id", "vector")
-    v = v.join(F.broadcast(counts), "dim").select("dim", spread("blocks").alias("b"), dealt("parts").alias("p"), "asks", "id", "vector")
+    q = q.join(F.broadcast(counts), kind).select(kind, dealt("blocks").alias("b"), spread("parts").alias("p"), "asks", "id", "vector")
+    v = v.join(F.broadcast(counts), kind).select(kind, spread("blocks").alias("b"), dealt("parts").alias("p"), "asks", "id", "vector")
 
-    found = q.unionByName(v).groupBy("dim", "b", "p").applyInArrow(block_best(k), "query_id long, id long, score double")
+    found = q.unionByName(v).groupBy(kind, "b", "p").applyInArrow(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

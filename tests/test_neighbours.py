@@ -54,3 +54,23 @@ def test_odd_rows(spark):
     empty = fresh_folder(spark, "index")
     assert neighbours.write_index(e.limit(0), empty, 2) == 0
     assert neighbours.search_index(spark, empty, q, 2, 3).collect() == []
+
+
+def test_planes_against_plain_python(spark):
+    random = np.random.default_rng(5)
+    x = random.standard_normal((300, 6))
+    x[7] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (400, None), (401, [1.0])]
+    e = spark.createDataFrame(rows, "id long, vector array<double>")
+    normals = np.random.default_rng(7).standard_normal((3 * 5, 6))
+    sign = (x @ normals.T > 0).reshape(len(x), 3, 5)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = []
+    for q in range(0, 300, 9):
+        near = [i for i in [*range(300), 5] if (sign[q] == sign[i]).all(axis=1).any()]
+        want += [(q, i) for _, i in sorted((-round((1 + float(unit[q] @ unit[i])) / 2, 6), i) for i in near)[:4]]
+    for block, part in ((4096, 16_384), (10, 25)):
+        found = topics.vector_topk_lsh(e.filter("id % 9 = 0").withColumnRenamed("id", "query_id"), e, 4, 6, planes=5, tables=3, block=block, part=part)
+        assert sorted((r.query_id, r.id) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("keys=[query_id") == 0  # before: all pairs of a bucket were made distinct by a shuffle
