@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.components import connected_components
@@ -20,6 +20,13 @@ from docspark.storage import cut
 
 #: Vectors at most that the pivots of ``semantic_pairs`` are fitted on, and pivots at most.
 PIVOT_SAMPLE, MOST_PIVOTS = 8192, 256
+#: Files of a tile, in which parts go through the shuffle together.
+TILE = 4096
+
+
+def _floats(df: DataFrame) -> Column:
+    """The vectors as they are if they are single numbers, which take half the room; else as doubles."""
+    return F.col("vector") if dict(df.dtypes)["vector"] == "array<float>" else F.col("vector").cast("array<double>")
 
 
 def _parts(profiles: DataFrame, part: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -28,7 +35,7 @@ def _parts(profiles: DataFrame, part: int) -> tuple[DataFrame, DataFrame, np.nda
     A part holds about ``part`` files of one bucket and pivot; its radius is the largest angle to the pivot. The pivots are
     k-means centroids of a sample of ``PIVOT_SAMPLE`` vectors at most, those of the smallest hashed ids.
     """
-    p = profiles.filter("vector is not null and bucket is not null").select("bucket", F.col("file_id").cast("long").alias("file_id"), F.col("vector").cast("array<double>").alias("vector"))
+    p = profiles.filter("vector is not null and bucket is not null").select("bucket", F.col("file_id").cast("long").alias("file_id"), _floats(profiles).alias("vector"))
     sample = np.array([r["vector"] for r in p.orderBy(F.xxhash64("file_id"), "file_id").limit(PIVOT_SAMPLE).select("vector").collect()], np.float64)
     if not len(sample):
         sample = np.zeros((1, 1))
@@ -37,13 +44,13 @@ def _parts(profiles: DataFrame, part: int) -> tuple[DataFrame, DataFrame, np.nda
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cos = _unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) @ pivots.T
+            cos = _unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)) @ pivots.T
             own = cos.argmax(axis=1)
             angle = np.arccos(np.clip(cos[np.arange(len(own)), own], -1, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "pivot", "angle"])
 
-    bucket = dict(p.dtypes)["bucket"]
-    placed = cut(p.mapInArrow(near, f"bucket {bucket}, file_id long, vector array<double>, pivot int, angle double"))
+    kinds = dict(p.dtypes)
+    placed = cut(p.mapInArrow(near, f"bucket {kinds['bucket']}, file_id long, vector {kinds['vector']}, pivot int, angle double"))
     sizes = placed.groupBy("bucket", "pivot").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
     placed = placed.join(sizes, ["bucket", "pivot"]).withColumn("own", F.pmod(F.xxhash64("file_id"), "parts")).drop("parts")
     return placed, placed.groupBy("bucket", "pivot", "own").agg(F.max("angle").alias("radius")), pivots
@@ -64,27 +71,46 @@ def _blocks(parts: DataFrame, pivots: np.ndarray, threshold: float) -> tuple[Dat
 def semantic_pairs(profiles: DataFrame, threshold: float = 0.8, part: int = 1024) -> DataFrame:
     """``left_file_id, right_file_id, confidence``: files of one bucket (``file_id, bucket, vector``) of at least this cosine.
 
-    Files are dealt to parts of about ``part`` by bucket and nearest pivot. Two parts meet in one task as one matrix product, unless the
-    angle between their pivots shows by the triangle inequality that none of their files are near enough. A task's memory doesn't grow with
+    Files are dealt to parts of about ``part`` by bucket and nearest pivot. Two parts are multiplied as matrices, unless the
+    angle between their pivots shows by the triangle inequality that none of their files are near enough. Parts travel in tiles of some
+    ``TILE`` files, a task has two tiles, so a vector is sent as often as its bucket has tiles and a task's memory doesn't grow with
     the bucket. Vectors of a bucket have one length; null buckets and vectors have no pairs.
     """
     placed, parts, pivots = _parts(profiles, part)
-    kept = _blocks(cut(parts), pivots, threshold)[0].select("bucket", "p1", "o1", "p2", "o2")
-    sides = [placed.join(kept.withColumnsRenamed({f"p{n}": "pivot", f"o{n}": "own"}).withColumns({f"p{n}": F.col("pivot"), f"o{n}": F.col("own")}), ["bucket", "pivot", "own"]).select("bucket", "p1", "o1", "p2", "o2", F.lit(n).alias("side"), "file_id", "vector") for n in (1, 2)]
-    blocks = sides[0].unionByName(sides[1].filter("p1 != p2 or o1 != o2"))
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("pivot", "own")) - 1
+    parts = cut(parts.withColumn("tile", F.floor(at / max(TILE // part, 1)).cast("int")))
+    kept = _blocks(parts, pivots, threshold)[0].select("bucket", "p1", "o1", "p2", "o2")
+    for n in (1, 2):
+        kept = kept.join(parts.select("bucket", F.col("pivot").alias(f"p{n}"), F.col("own").alias(f"o{n}"), F.col("tile").alias(f"t{n}")), ["bucket", f"p{n}", f"o{n}"])
+    kept = cut(kept.select("bucket", "t1", "t2").distinct())
+    tiled = placed.join(parts, ["bucket", "pivot", "own"]).drop("angle")
+    sides = [tiled.join(kept.withColumn("tile", F.col(f"t{n}")), ["bucket", "tile"]).select("bucket", "t1", "t2", F.lit(n).alias("side"), "pivot", "own", "radius", "file_id", "vector") for n in (1, 2)]
+    blocks = sides[0].unionByName(sides[1].filter("t1 != t2"))
+    apart, most = np.arccos(np.clip(pivots @ pivots.T, -1, 1)), math.acos(max(min(threshold - 1e-6, 1.0), -1.0)) + 1e-9
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, left = _unit(np.stack(pdf["vector"].to_numpy())), (pdf["side"] == 1).to_numpy()
-        ids, same = pdf["file_id"].to_numpy(), pdf["p1"].iloc[0] == pdf["p2"].iloc[0] and pdf["o1"].iloc[0] == pdf["o2"].iloc[0]
-        right = left if same else ~left
-        score = np.round(v[left] @ v[right].T, 6)
-        i, j = np.nonzero(score >= threshold)
-        x, y, s = ids[left][i], ids[right][j], score[i, j]
-        keep = x < y if same else x != y
-        x, y, s = x[keep], y[keep], s[keep]
-        return pd.DataFrame({"left_file_id": np.minimum(x, y), "right_file_id": np.maximum(x, y), "confidence": s})
+        pdf = pdf.sort_values(["side", "pivot", "own"], ignore_index=True)
+        v, ids = _unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64)), pdf["file_id"].to_numpy()
+        side, pivot, own, radius = (pdf[c].to_numpy() for c in ("side", "pivot", "own", "radius"))
+        first = np.flatnonzero(np.concatenate([[True], (side[1:] != side[:-1]) | (pivot[1:] != pivot[:-1]) | (own[1:] != own[:-1])]))
+        part_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        apart_tiles = side[-1] != side[0]
+        found = []
+        for a in np.flatnonzero(side[first] == 1):
+            others = side[first] == 2 if apart_tiles else np.arange(len(first)) >= a
+            near = (pivot[first] == pivot[first[a]]) | (apart[pivot[first], pivot[first[a]]] - radius[first] - radius[first[a]] <= most)
+            left, right = np.flatnonzero(part_of == a), np.flatnonzero((others & near)[part_of])
+            if not len(right):
+                continue
+            score = np.round(v[left] @ v[right].T, 6)
+            i, j = np.nonzero(score >= threshold)
+            x, y, s = ids[left[i]], ids[right[j]], score[i, j]
+            keep = np.where(part_of[right[j]] == a, x < y, x != y)
+            found.append((np.minimum(x, y)[keep], np.maximum(x, y)[keep], s[keep]))
+        x, y, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"left_file_id": x, "right_file_id": y, "confidence": s})
 
-    return blocks.groupBy("bucket", "p1", "o1", "p2", "o2").applyInPandas(match, "left_file_id long, right_file_id long, confidence double")
+    return blocks.groupBy("bucket", "t1", "t2").applyInPandas(match, "left_file_id long, right_file_id long, confidence double")
 
 
 def block_share(profiles: DataFrame, threshold: float = 0.8, part: int = 1024) -> tuple[int, int]:
@@ -112,7 +138,7 @@ def seed_expand_groups(profiles: DataFrame, consumed: DataFrame, threshold: floa
     free = profiles.join(consumed.select("file_id"), "file_id", "left_anti").filter("vector is not null and bucket is not null")
     if cap is not None:
         free = free.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("file_id"))).filter(F.col("place") <= cap)
-    free = cut(free.select("bucket", F.col("file_id").cast("long").alias("file_id"), F.col("vector").cast("array<double>").alias("vector")))
+    free = cut(free.select("bucket", F.col("file_id").cast("long").alias("file_id"), _floats(free).alias("vector")))
     pairs = cut(semantic_pairs(free, threshold))
     both = pairs.select(F.col("left_file_id").alias("file_id"), F.col("right_file_id").alias("other"), F.col("confidence").alias("similarity"))
     both = both.union(pairs.select("right_file_id", "left_file_id", "confidence"))
