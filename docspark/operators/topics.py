@@ -133,7 +133,8 @@ def seed_expand_groups(profiles: DataFrame, consumed: DataFrame, threshold: floa
 
     Similar files form a graph, whose components don't touch each other. Each round gives a task the ``seeds`` best free files of a component, each with
     its nearest free neighbours, as many as could be taken before its turn and ``k`` more; so the task takes what one pass
-    over the whole bucket would, and holds rows of that number only. What was taken leaves the graph for the next round.
+    over the whole bucket would, and holds rows of that number only. A file has one turn: what it couldn't take then it can't later. A round
+    reads the pairs and writes only the files that were taken and those that still wait, so what is written doesn't grow with pairs times rounds.
     """
     free = profiles.join(consumed.select("file_id"), "file_id", "left_anti").filter("vector is not null and bucket is not null")
     if cap is not None:
@@ -163,17 +164,22 @@ def seed_expand_groups(profiles: DataFrame, consumed: DataFrame, threshold: floa
         return pd.DataFrame(out, columns=["seed_file_id", "file_id", "similarity", "confidence"])
 
     schema = "seed_file_id long, file_id long, similarity double, confidence double"
-    groups, left = profiles.sparkSession.createDataFrame([], schema), cut(both)
+    groups, waiting, taken = profiles.sparkSession.createDataFrame([], schema), order, None
     best = Window.partitionBy("component").orderBy(F.desc("nearest"), F.desc("mean"), "file_id")
-    while left.limit(1).count():
-        turn = left.select("file_id").distinct().join(order, "file_id").withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= seeds).drop("turn")
-        lists = left.join(turn, "file_id").withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("similarity"), "other"))).filter(F.col("r") <= most).drop("r")
+    while True:
+        turn = cut(waiting.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= seeds).drop("turn"))
+        if not turn.limit(1).count():
+            return groups
+        near = both.join(turn, "file_id")
+        if taken is not None:
+            near = near.join(taken, F.col("other") == F.col("used"), "left_anti")
+        lists = near.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("similarity"), "other"))).filter(F.col("r") <= most).drop("r")
         found = cut(lists.groupBy("component").applyInPandas(expand, schema))
         groups = groups.unionByName(found)
         used = found.select(F.explode(F.array("seed_file_id", "file_id")).alias("used")).distinct()
-        rest = left.join(used, F.col("file_id") == F.col("used"), "left_anti")
-        left = cut(rest.join(used, F.col("other") == F.col("used"), "left_anti"))
-    return groups
+        taken = cut(used if taken is None else taken.unionByName(used))
+        rest = waiting.join(turn.select("file_id"), "file_id", "left_anti")
+        waiting = cut(rest.join(taken, F.col("file_id") == F.col("used"), "left_anti"))
 
 
 def _bucket_means(free: DataFrame) -> DataFrame:
